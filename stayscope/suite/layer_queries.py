@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stayscope.operators import dedup, extract, quality
+from stayscope.functions.columns import round_to
 from stayscope.suite.registry import query
 
 BRONZE_SHOWN = [
@@ -49,7 +50,7 @@ def _(x):
     "f5_p10_silver",
     """SELECT bronze_id, subject_id, hadm_id, stay_id, charttime, itemid, label, category, concept_id, concept_name,
               'Measurement' AS concept_domain, 'MIMIC-IV' AS vocabulary_id, sofa_system, sofa_parameter_type,
-              value_original, valuenum_original, valueuom_original, round(valuenum_std, 6) AS valuenum_std, unit_std,
+              value_original, valuenum_original, valueuom_original, rnd(valuenum_std, 6) AS valuenum_std, unit_std,
               source_table, source_fluid,
               CASE WHEN converted THEN '{"UNIT_CONVERTED":true}' ELSE '{}' END AS quality_flags, transformation_log
        FROM cv_silver""",
@@ -57,6 +58,6 @@ def _(x):
 def _(x):
     return (
         x.silver.drop("storetime")
-        .withColumn("valuenum_std", F.round("valuenum_std", 6))
+        .withColumn("valuenum_std", round_to("valuenum_std", 6))
         .withColumn("quality_flags", F.to_json("quality_flags"))
     )

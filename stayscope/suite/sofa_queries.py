@@ -4,24 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stayscope.functions.columns import round_to
 from stayscope.suite.registry import query
 
 SOFA_SHOWN = """subject_id, stay_id, charttime, window_start, window_end, respiratory_score, cardiovascular_score,
  hepatic_score, coagulation_score, renal_score, neurological_score, total_sofa_score,
- round(pao2_fio2_ratio, 4) AS pao2_fio2_ratio, round(mean_arterial_pressure, 4) AS mean_arterial_pressure,
- round(bilirubin_level, 4) AS bilirubin_level, round(platelet_count, 4) AS platelet_count,
- round(creatinine_level, 4) AS creatinine_level, round(urine_output_24h, 4) AS urine_output_24h,
+ rnd(pao2_fio2_ratio, 4) AS pao2_fio2_ratio, rnd(mean_arterial_pressure, 4) AS mean_arterial_pressure,
+ rnd(bilirubin_level, 4) AS bilirubin_level, rnd(platelet_count, 4) AS platelet_count,
+ rnd(creatinine_level, 4) AS creatinine_level, rnd(urine_output_24h, 4) AS urine_output_24h,
  gcs_total, ventilated, respiratory_data_available, cardiovascular_data_available, hepatic_data_available,
  coagulation_data_available, renal_data_available, neurological_data_available,
- round(data_completeness_score, 6) AS data_completeness_score"""
+ rnd(data_completeness_score, 6) AS data_completeness_score"""
 
 
 @query("c7_sofa_scores_enhanced", f"SELECT {SOFA_SHOWN} FROM cv_sofa")
 def _(x):
     rounded = {
-        c: F.round(c, 4)
+        c: round_to(c, 4)
         for c in ("pao2_fio2_ratio", "mean_arterial_pressure", "bilirubin_level", "platelet_count", "creatinine_level", "urine_output_24h")
     }
     return x.sofa.drop("vasopressor_doses").withColumns(
-        {**rounded, "data_completeness_score": F.round("data_completeness_score", 6)}
+        {**rounded, "data_completeness_score": round_to("data_completeness_score", 6)}
     )

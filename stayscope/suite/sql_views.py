@@ -235,8 +235,23 @@ def _needed(text: str, seen: list[str]) -> list[str]:
     return seen
 
 
+def expand_rnd(sql: str) -> str:
+    """``rnd(x, n)`` is rounding half away from zero with the same tolerance as ``round_to``."""
+    while (at := sql.find("rnd(")) >= 0:
+        depth, i, comma = 1, at + 4, -1
+        while depth:
+            ch = sql[i]
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 1:
+                comma = i
+            i += 1
+        inner, digits = sql[at + 4 : comma], sql[comma + 1 : i - 1]
+        sql = f"{sql[:at]}round(CAST({inner} AS DOUBLE) + sign({inner}) * 1e-9,{digits}){sql[i:]}"
+    return sql
+
+
 def with_views(sql: str) -> str:
-    sql = sql.strip().rstrip(";")
+    sql = expand_rnd(sql.strip().rstrip(";"))
     names = _needed(sql, [])
     if not names:
         return sql
