@@ -58,7 +58,7 @@ def stay_windows(stays: DataFrame, hours: int = 24, max_windows: int = 7) -> Dat
         from_micros(begin).alias("window_start"),
         from_micros(F.least(begin + width, stop)).alias("window_end"),
         (F.col("_i") + 1).alias("window_number"),
-        F.floor(F.col("_i") * hours / 24 + 1).cast("int").alias("icu_day"),
+        (F.col("_i") + 1).alias("icu_day"),
     )
 
 

@@ -43,7 +43,7 @@ def _(x):
 
 @query("f1_f2_bronze_flags", f"SELECT id, {BRONZE_SQL}, is_outlier, is_suspicious FROM cv_bronze")
 def _(x):
-    return x.bronze.select("id", *BRONZE_SHOWN, "is_outlier", "is_suspicious")
+    return x.bronze_plan.select("id", *BRONZE_SHOWN, "is_outlier", "is_suspicious")
 
 
 @query(
@@ -57,7 +57,7 @@ def _(x):
 )
 def _(x):
     return (
-        x.silver.drop("storetime")
+        x.silver_plan.drop("storetime")
         .withColumn("valuenum_std", round_to("valuenum_std", 6))
         .withColumn("quality_flags", F.to_json("quality_flags"))
     )

@@ -1,13 +1,20 @@
-"""The layers most queries start from, built lazily from the driver views."""
+"""The layers most queries start from.
+
+``*_plan`` are lazy all the way from the source tables. ``bronze``, ``silver``
+and the scores are written once per application and folder, as layer tables are
+meant to be, because many queries and several branches of one query read them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from stayscope.operators import extract, quality
 from stayscope.plans import sofa
+from stayscope.session import written_table
 from stayscope.sources.driver_views import ClinicalViews
 
 
@@ -15,6 +22,7 @@ class Layers:
     def __init__(self, views: ClinicalViews):
         self.views = views
         self.spark = views.spark
+        self._tables: dict[str, DataFrame] = {}
 
     @cached_property
     def bronze_chart(self) -> DataFrame:
@@ -40,22 +48,42 @@ class Layers:
     def bronze_unflagged(self) -> DataFrame:
         return extract.build_bronze([self.bronze_chart, self.bronze_lab, self.bronze_output, self.bronze_input])
 
-    @cached_property
-    def bronze(self) -> DataFrame:
-        return quality.finish_bronze(self.bronze_unflagged, self.views.concept_map)
-
     @cached_property
     def rules(self) -> DataFrame:
         return quality.unit_rules(self.spark)
 
-    @cached_property
+    @property
+    def bronze_plan(self) -> DataFrame:
+        return quality.finish_bronze(self.bronze_unflagged, self.views.concept_map)
+
+    @property
+    def silver_plan(self) -> DataFrame:
+        return quality.build_silver(self.bronze_plan, self.views.concept_map, self.rules)
+
+    @property
+    def sofa_plan(self) -> DataFrame:
+        return sofa.sofa_scores(self.silver, "enhanced")
+
+    def written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The layer as a table, written on first use and shared by all its readers."""
+        if name not in self._tables:
+            self._tables[name] = written_table(build(), name)
+        return self._tables[name]
+
+    @property
+    def bronze(self) -> DataFrame:
+        return self.written("bronze", lambda: self.bronze_plan)
+
+    @property
     def silver(self) -> DataFrame:
-        return quality.build_silver(self.bronze, self.views.concept_map, self.rules)
+        return self.written(
+            "silver", lambda: quality.build_silver(self.bronze, self.views.concept_map, self.rules)
+        )
 
-    @cached_property
+    @property
     def sofa(self) -> DataFrame:
-        return sofa.sofa_scores(self.silver, "enhanced")
+        return self.written("sofa_enhanced", lambda: self.sofa_plan)
 
-    @cached_property
-    def sofa_table(self) -> DataFrame:
-        return sofa.sofa_scores(self.silver, "table")
+    @property
+    def sofa_by_table(self) -> DataFrame:
+        return self.written("sofa_table", lambda: sofa.sofa_scores(self.silver, "table"))

@@ -23,6 +23,6 @@ def _(x):
         c: round_to(c, 4)
         for c in ("pao2_fio2_ratio", "mean_arterial_pressure", "bilirubin_level", "platelet_count", "creatinine_level", "urine_output_24h")
     }
-    return x.sofa.drop("vasopressor_doses").withColumns(
+    return x.sofa_plan.drop("vasopressor_doses").withColumns(
         {**rounded, "data_completeness_score": round_to("data_completeness_score", 6)}
     )
