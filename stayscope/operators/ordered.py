@@ -1,9 +1,8 @@
 """Order-dependent operators that never put one group into one task.
 
-Running totals, quantiles and ranks work on value histograms. Each group's value
-range is cut into a bounded number of buckets by a monotone formula; totals per
-bucket are added up first, then only the values inside one bucket are sorted
-together. A group that holds a third of the data is spread over many tasks.
+Running totals, quantiles and ranks work on value histograms. Values fall into
+buckets by a monotone formula; totals per bucket are added up first, then only
+the values inside one bucket are sorted together. A group that holds a third of the data is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -17,41 +16,37 @@ from pyspark.sql import functions as F
 from stayscope.functions.columns import columns_except, join_null_safe, micros
 from stayscope.session import reliable_checkpoint
 
-_STEPS_PER_OCTAVE = 128
-_OCTAVES = 32
+_STEPS_PER_OCTAVE = 4096
+_FINEST = float(2**20)
 
 
-def _bucket(v: Column, lo: Column, hi: Column) -> Column:
-    """Monotone bucket of ``v``, finest near both ends of [lo, hi]; at most 8193 values."""
-    unit = F.lit(float(2**_OCTAVES)) / (hi - lo)
-    from_lo = F.floor(F.log2(1.0 + (v - lo) * unit) * _STEPS_PER_OCTAVE)
-    to_hi = F.floor(F.log2(1.0 + (hi - v) * unit) * _STEPS_PER_OCTAVE)
-    return F.when(hi > lo, from_lo - to_hi).otherwise(F.lit(0)).cast("int")
+def _bucket(v: Column) -> Column:
+    """Monotone bucket of ``v``: logarithmic steps of 0.017 % on both sides of zero.
+
+    It depends on the value alone, so no pass over the data is needed to place
+    bounds, and a recomputed task puts every row into the same bucket again.
+    """
+    octaves = F.log2(1.0 + F.abs(v) * _FINEST)
+    return (F.signum(v) * F.floor(octaves * _STEPS_PER_OCTAVE)).cast("bigint")
 
 
 def running_totals(hist: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``<w>_before`` (sum over smaller values) and ``<w>_total`` for each weight.
 
     ``hist`` holds one row per group and value, so it is already as small as the
-    data allow; no value may be NULL.
+    data allow; no value may be NULL. The table of bucket totals has at most a
+    few hundred thousand rows per group, however many values there are.
     """
     by = list(by)
-    v = F.col(value).cast("double")
-    ends = [F.min(v).alias("_lo"), F.max(v).alias("_hi")]
-    totals = [F.sum(w).alias(f"{w}_total") for w in weights]
-    if by:
-        placed = join_null_safe(hist, hist.groupBy(*by).agg(*ends, *totals), by)
-        placed = placed.withColumn("_bucket", _bucket(v, F.col("_lo"), F.col("_hi")))
-    else:
-        whole = hist.agg(F.struct(*ends, *totals).alias("s")).scalar()
-        placed = hist.select("*", *[whole[f"{w}_total"].alias(f"{w}_total") for w in weights])
-        placed = placed.withColumn("_bucket", _bucket(v, whole["_lo"], whole["_hi"]))
+    placed = hist.withColumn("_bucket", _bucket(F.col(value).cast("double")))
     earlier_buckets = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    group = W.partitionBy(*by)
     starts = placed.groupBy(*by, "_bucket").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     starts = starts.select(
         *by,
         "_bucket",
         *[F.coalesce(F.sum(f"_{w}").over(earlier_buckets), F.lit(0)).alias(f"_{w}_start") for w in weights],
+        *[F.sum(f"_{w}").over(group).alias(f"{w}_total") for w in weights],
     )
     smaller = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     placed = join_null_safe(placed, starts, [*by, "_bucket"])

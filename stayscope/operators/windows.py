@@ -82,7 +82,8 @@ def policy_windows(df: DataFrame, hours: int, by: Sequence[str] = STAY, time: st
     """Right-closed bins from each stay's first event; the first bin includes its left edge.
 
     Edges run while they do not pass the last event plus one hour, and events
-    beyond the last edge get no bin (``time_window`` is NULL).
+    beyond the last edge get no bin (``time_window`` is NULL). ``stay_start_us`` is
+    the first event in microseconds, from which times of a bin may be measured.
     """
     width = hours * MICROS_PER_HOUR
     rows = _with_bounds(df, by, time)
@@ -91,7 +92,7 @@ def policy_windows(df: DataFrame, hours: int, by: Sequence[str] = STAY, time: st
     bin_ = F.greatest(F.ceil(offset / width) - 1, F.lit(0)).cast("int")
     inside = offset <= edges * width
     has_bin = edges >= 1
-    return rows.withColumn("time_window", F.when(inside & has_bin, bin_)).drop("_t0", "_t1")
+    return rows.withColumn("time_window", F.when(inside & has_bin, bin_)).drop("_t1").withColumnRenamed("_t0", "stay_start_us")
 
 
 def latest_by_concept(df: DataFrame, keys: Sequence[str], value: str = "valuenum_std", time: str = "charttime", tie: str = "bronze_id") -> DataFrame:

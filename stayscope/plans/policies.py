@@ -12,6 +12,7 @@ from stayscope.functions.columns import from_micros, join_null_safe, micros
 from stayscope.functions.policy_scores import SCORES, score
 from stayscope.operators.ordered import exact_quantiles
 from stayscope.operators.windows import policy_windows
+from stayscope.session import written_table
 
 
 @dataclass(frozen=True)
@@ -93,9 +94,10 @@ def _combine(df: DataFrame, keys: Sequence[str], method: str, with_time: bool) -
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
     out = base.join(exact_quantiles(rows, keys, "value", {"value": 0.5}), list(keys))
     if with_time:
-        timed = rows.withColumn("_us", micros("charttime"))
-        middle = exact_quantiles(timed, keys, "_us", {"_mid": 0.5})
-        out = out.join(middle, list(keys)).withColumn("charttime", from_micros(F.floor("_mid").cast("bigint"))).drop("_mid")
+        timed = rows.withColumn("_us", micros("charttime") - F.col("stay_start_us"))
+        middle = exact_quantiles(timed, [*keys, "stay_start_us"], "_us", {"_mid": 0.5})
+        when = from_micros(F.col("stay_start_us") + F.floor("_mid").cast("bigint"))
+        out = out.join(middle, list(keys)).withColumn("charttime", when).drop("_mid", "stay_start_us")
     return out
 
 
@@ -123,13 +125,13 @@ def impute_columns(df: DataFrame, method: str, columns: Sequence[str]) -> DataFr
         return df
     if method == "mean":
         fill = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
-        known = {c: fill[c] for c in columns}
     else:
         long = df.select(*columns).unpivot([], list(columns), "column", "v")
         medians = exact_quantiles(long, ["column"], "v", {"m": 0.5})
-        table = medians.agg(F.map_from_entries(F.collect_list(F.struct("column", "m")))).scalar()
-        known = {c: F.try_element_at(table, F.lit(c)) for c in columns}
-    return df.select(*[F.coalesce(F.col(c), known[c]).alias(c) if c in columns else F.col(c) for c in df.columns])
+        fill = medians.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in columns])).scalar()
+    # one column holds all fill values, so the subquery is planned once
+    filled = df.withColumn("_fill", fill)
+    return filled.select(*[F.coalesce(F.col(c), F.col(f"_fill.{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def add_scores(df: DataFrame, variant: str = "full") -> DataFrame:
@@ -171,14 +173,18 @@ def prepare_scores(df: DataFrame, policy: ScorePolicy, parameters: Sequence[str]
 def run_policy(silver: DataFrame, policy: ScorePolicy, concepts: Mapping[str, str] = PARAMETERS, count_ids: bool = True) -> DataFrame:
     """Windows, outlier removal, aggregation, pivot, imputation and scores of one policy.
 
-    Windows are cut before outliers go, so removed rows still shape the bins.
+    Windows are cut before outliers go, so removed rows still shape the bins. The
+    kept rows and the pivoted rows feed several branches each (quantiles, fill
+    values) and are therefore written to the shared folder in between.
     """
     rows = policy_windows(policy_input(silver), policy.window_hours)
     if policy.outliers == "iqr":
         rows = drop_outliers_iqr(rows, policy.threshold)
     elif policy.outliers == "percentile":
         rows = drop_outliers_band(rows, policy.threshold)
-    wide = pivot_measurements(aggregate_policy(rows, policy), concepts)
+    if policy.aggregation == "median":
+        rows = written_table(rows, "policy-rows")
+    wide = written_table(pivot_measurements(aggregate_policy(rows, policy), concepts), "policy-wide")
     columns = list(concepts.values())
     scored = add_scores(impute_columns(wide, policy.imputation, columns))
     counted = [*columns, *((*ROW_KEYS[:3], *SCORES) if count_ids else ())]
