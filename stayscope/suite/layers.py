@@ -23,6 +23,7 @@ class Layers:
         self.views = views
         self.spark = views.spark
         self._tables: dict[str, DataFrame] = {}
+        self.models: dict = {}
 
     @cached_property
     def bronze_chart(self) -> DataFrame:
