@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -10,10 +9,11 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayscope.operators.ordered import exact_quantiles, running_totals
+from stayscope.operators.neighbours import nearest
+from stayscope.operators.ordered import exact_quantiles, global_positions, running_totals
+from stayscope.session import written_table
 
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -52,63 +52,41 @@ def scale_columns(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataF
     return placed.select(*[scaled(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def smote(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], k: int = 3, seed: int = 42, max_minority_rows: int = 20_000, buckets: int = 16) -> DataFrame:
-    """Oversample the minority class to balance by interpolating towards near neighbours.
+def smote(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
+    """Oversample the minority class to balance by moving towards near neighbours.
 
-    Neighbours are exact inside cells of the feature space: rows are cut into
-    equal slices along a random projection, and each row meets its own and the two
-    adjacent slices, which keeps the work per row constant. With up to
-    ``max_minority_rows`` minority rows there is a single slice, so neighbours are
-    exact over the whole class.
+    Every minority row serves equally often, the first rows by position once
+    more, so that the classes end up exactly equal. Neighbour and step are picked
+    by a seeded hash of row and copy.
     """
-    counts = {int(r[label]): r["count"] for r in df.groupBy(label).count().collect()}  # two rows
+    counts = {int(r[label]): r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
+    doubles = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
+    doubles = doubles.withColumn("synthetic", F.lit(False))
     if len(counts) < 2:
-        return df.withColumn("synthetic", F.lit(False))
+        return doubles
     minority = min(counts, key=lambda c: (counts[c], -c))
     have, need = counts[minority], max(counts.values()) - counts[minority]
     if need == 0 or have < 2:
-        return df.withColumn("synthetic", F.lit(False))
-    points = df.filter(F.col(label) == minority).select(
-        F.xxhash64(*keys, F.lit(seed)).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.struct(*df.columns).alias("row")
-    )
-    slices = max(1, math.ceil(have / max_minority_rows) * buckets) if have > max_minority_rows else 1
-    if slices > 1:
-        weights = [math.sin(seed + 12.9898 * (i + 1)) for i in range(len(cols))]
-        along = sum((F.col("x")[i] * w for i, w in enumerate(weights)), F.lit(0.0))
-        points = points.withColumn("_p", along)
-        edges = F.percentile_approx("_p", F.array(*[F.lit(i / slices) for i in range(1, slices)]), 10_000)
-        points = points.withColumn("_e", points.agg(edges).scalar())
-        points = points.withColumn("slice", F.size(F.filter("_e", lambda e: e < F.col("_p"))))
-        near = points.withColumn("slice", F.explode(F.array(F.col("slice") - 1, F.col("slice"), F.col("slice") + 1)))
-    else:
-        points = points.withColumn("slice", F.lit(0))
-        near = points
-    near = near.select("slice", F.col("id").alias("other"), F.col("x").alias("y"))
-    distance = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    best = (
-        points.join(near, "slice").filter(F.col("id") != F.col("other")).groupBy("id")
-        .agg(F.min_by(F.struct("x", "row"), F.lit(0)).alias("me"), F.slice(F.array_sort(F.collect_list(F.struct(distance.alias("d"), "other", "y"))), 1, k).alias("near"))
+        return doubles
+    chosen = df.filter(F.col(label) == minority)
+    numbered = global_positions(chosen, keys, "id")
+    points = written_table(
+        numbered.select("id", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.struct(*df.columns).alias("row")), "minority"
     )
-    # every minority row is used need // have times, and the first need % have by hash once more
-    first = W.orderBy("id")
+    near = nearest(points, k).select("id", "other", "position")
     each, extra = divmod(need, have)
-    ranked = best.withColumn("_r", F.row_number().over(first))
-    copies = ranked.withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.col("_r") <= extra, each).otherwise(each - 1)))) if each else ranked.filter(F.col("_r") <= extra).withColumn("copy", F.lit(0))
-    pick = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("near")).cast("int")
+    copies = points.withColumn("_n", F.when(F.col("id") <= extra, each + 1).otherwise(each)).filter("_n > 0")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    pick = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.lit(min(k, have - 1))) + 1
     u = F.pmod(F.xxhash64("id", "copy", F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30)
-    made = copies.withColumn("_y", F.col("near")[pick]["y"]).withColumn("_u", u)
-    mixed = F.zip_with("me.x", "_y", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    made = made.withColumn("_z", F.transform(mixed, lambda s: s["a"] + (s["b"] - s["a"]) * F.col("_u")))
-    types = dict(df.dtypes)
-    new = made.select(
-        *[
-            (F.col("_z")[list(cols).index(c)] if c in cols else F.col(f"me.row.{c}").cast(types[c])).alias(c)
-            for c in df.columns
-        ],
+    drawn = copies.withColumn("position", pick.cast("int")).withColumn("u", u).join(near, ["id", "position"])
+    drawn = drawn.join(points.select(F.col("id").alias("other"), F.col("x").alias("y")), "other")
+    moved = F.zip_with("x", "y", lambda a, b: a + (b - a) * F.col("u"))
+    new = drawn.withColumn("_z", moved).select(
+        *[F.col("_z")[list(cols).index(c)].alias(c) if c in cols else F.col(f"row.{c}").alias(c) for c in df.columns],
         F.lit(True).alias("synthetic"),
     )
-    doubles = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
-    return doubles.withColumn("synthetic", F.lit(False)).unionByName(new)
+    return doubles.unionByName(new)
 
 
 def fit_lr(train: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, max_iter: int = 1000) -> PipelineModel:
