@@ -4,34 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-ITEM = StructType.fromDDL(
-    "itemid int, label string, category string, fluid string, unit string, `table` string, measurement_count long, "
-    "patient_count long, stay_count long, min_value double, max_value double, median_value double, "
-    "search_term_matched string, system string"
+ITEM = (
+    "struct<itemid: int, label: string, category: string, fluid: string, unit: string, "
+    "measurement_count: bigint, patient_count: bigint, stay_count: bigint, min_value: double, max_value: double, "
+    "median_value: double, search_term_matched: string>"
 )
-CONCEPT = StructType.fromDDL(
-    "concept_id int, concept_name string, source_itemid string, source_table string, sofa_system string, "
-    "standard_unit string, min_value double, max_value double, conversion_factor double, original_unit string, "
-    "measurement_count long, patient_count long"
+CONCEPT = (
+    "struct<concept_id: int, concept_name: string, source_itemid: string, source_table: string, sofa_system: string, "
+    "standard_unit: string, min_value: double, max_value: double, conversion_factor: double, original_unit: string, "
+    "measurement_count: bigint, patient_count: bigint>"
 )
 
 
-def _read_map(spark: SparkSession, path: str, value_type: DataType) -> DataFrame:
+def _read_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
     """One JSON object per file, parsed as a map with a fixed value type."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.from_json("value", MapType(StringType(), value_type)).alias("m"))
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.from_json("value", f"map<string, {value_type}>").alias("m"))
 
 
 def load_item_catalog(spark: SparkSession, path: str) -> DataFrame:
     """System, source and item levels exploded to one row per item."""
-    nested = _read_map(spark, path, MapType(StringType(), ArrayType(ITEM)))
+    nested = _read_map(spark, path, f"map<string, array<{ITEM}>>")
     systems = nested.select(F.explode("m").alias("sofa_system", "sources"))
     sources = systems.select("sofa_system", F.explode("sources").alias("source_table", "items"))
     rows = sources.select("sofa_system", "source_table", F.inline("items"))
     unit = F.when(~F.lower("unit").isin("none", ""), F.col("unit"))
-    return rows.withColumn("unit", unit).drop("table", "system")
+    return rows.withColumn("unit", unit)
 
 
 def load_concept_map(spark: SparkSession, path: str) -> DataFrame:
@@ -52,7 +51,7 @@ def catalog_json(catalog: DataFrame) -> DataFrame:
     per_system = per_source.groupBy("sofa_system").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_table", "items")))).alias("sources")
     )
-    whole = per_system.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("sofa_system", "sources")))).alias("m"))
+    whole = per_system.agg(F.map_from_entries(F.collect_list(F.struct("sofa_system", "sources"))).alias("m"))
     return whole.select(F.to_json("m").alias("value"))
 
 
