@@ -70,7 +70,7 @@ def nan_to_null(c: Column | str) -> Column:
 def number_text(v: Column | str) -> Column:
     """Plain decimal text without exponent or trailing zeros."""
     fixed = col(v).cast("decimal(28,6)").cast("string")
-    return F.regexp_replace(fixed, r"\.?0+$", "")
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit("."))
 
 
 def columns_except(df: DataFrame, names: Sequence[str]) -> list[str]:

@@ -22,7 +22,8 @@ def dedup_unique_key(df: DataFrame, keys: Sequence[str], prefer: str = "id") ->
     rest = [prefer, *columns_except(df, [*keys, prefer])]
     # an incomplete key gets the row's own id as an extra key, so it meets no other row
     alone = F.when(~complete, F.col(prefer)).alias("_alone")
-    unique = df.groupBy(*keys, alone).agg(F.min(F.struct(*rest)).alias("_kept"))
+    # rows of equal key are found by sorting; a hash in front settles nearly all comparisons
+    unique = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys, alone).agg(F.min(F.struct(*rest)).alias("_kept"))
     return unique.select(*[F.col(c) if c in keys else F.col(f"_kept.{c}").alias(c) for c in df.columns])
 
 

@@ -8,21 +8,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayscope.operators.ordered import asof_backward, exact_quantiles
+from stayscope.session import written_table
 
 WINDOW = ["subject_id", "stay_id", "window_number"]
 
 
-def aggregate_parameters(events: DataFrame, rules: DataFrame, keys: Sequence[str] = WINDOW, value: str = "value", time: str = "charttime", tie: str = "bronze_id") -> DataFrame:
+def window_aggregates(events: DataFrame, keys: Sequence[str] = WINDOW, value: str = "value", time: str = "charttime", tie: str = "bronze_id") -> DataFrame:
+    """All aggregates a rule may ask for, per window and concept, from one pass."""
+    return events.groupBy(*keys, "concept_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(value).alias("_min"), F.max(value).alias("_max"), F.avg(value).alias("_mean"),
+        F.sum(value).alias("_sum"), F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(time, tie))).alias("_last"),
+    )
+
+
+def pick_parameters(aggregates: DataFrame, rules: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
     """One row per window and parameter with the aggregate its rule names.
 
-    ``rules`` holds (parameter, concept_id, aggregation). All aggregates come
-    from one pass; the rule then picks one.
+    ``rules`` holds (parameter, concept_id, aggregation).
     """
-    known = events.filter(F.col(value).isNotNull()).join(rules.select("concept_id").distinct(), "concept_id", "left_semi")
-    all_five = known.groupBy(*keys, "concept_id").agg(
-        F.min(value).alias("_min"), F.max(value).alias("_max"), F.avg(value).alias("_mean"), F.sum(value).alias("_sum"),
-        F.max_by(value, F.struct(time, tie)).alias("_last"),
-    )
     chosen = (
         F.when(F.col("aggregation") == "min", F.col("_min"))
         .when(F.col("aggregation") == "max", F.col("_max"))
@@ -30,7 +33,12 @@ def aggregate_parameters(events: DataFrame, rules: DataFrame, keys: Sequence[str
         .when(F.col("aggregation") == "sum", F.col("_sum"))
         .otherwise(F.col("_last"))
     )
-    return all_five.join(rules, "concept_id").select(*keys, "parameter", chosen.alias("parameter_value"))
+    picked = aggregates.join(rules, "concept_id").select(*keys, "parameter", chosen.alias("parameter_value"))
+    return picked.filter(F.col("parameter_value").isNotNull())
+
+
+def aggregate_parameters(events: DataFrame, rules: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
+    return pick_parameters(window_aggregates(events, keys), rules, keys)
 
 
 def population_medians(events: DataFrame, cohort: DataFrame | None = None, min_count: int = 10, value: str = "value") -> DataFrame:
@@ -65,7 +73,7 @@ def complete_parameters(windows: DataFrame, events: DataFrame, aggregated: DataF
     # the rules list the score's few parameters; each window is expanded by that fixed list
     listed = rules.agg(F.collect_list(F.struct("parameter", "concept_id"))).scalar()
     wanted = windows.select(*WINDOW, "window_start", F.inline(listed))
-    grid = wanted.join(aggregated, [*WINDOW, "parameter"], "left")
+    grid = written_table(wanted.join(aggregated, [*WINDOW, "parameter"], "left"), "window-parameters")
     have = grid.filter(F.col("parameter_value").isNotNull()).withColumn("imputed", F.lit(False))
     gaps = grid.filter(F.col("parameter_value").isNull()).drop("parameter_value")
     if lookback_hours is None:

@@ -88,6 +88,26 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     )
 
 
+def medians_of_many_groups(df: DataFrame, by: Sequence[str], cols: Sequence[str], largest: int = 10_000) -> DataFrame:
+    """Exact medians of several columns for very many, mostly tiny groups.
+
+    Groups of at most ``largest`` rows use the built-in percentile, whose memory
+    that size bounds; any larger group goes the distributed way. Both are exact.
+    Group keys must not be NULL.
+    """
+    by = list(by)
+    big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > largest).select(*by)
+    small = df.join(big, by, "left_anti").groupBy(*by).agg(
+        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in cols]
+    )
+    rest = df.join(big, by, "left_semi")
+    parts = [exact_quantiles(rest, by, c, {f"_m_{c}": 0.5}).withColumnRenamed(f"_m_{c}", c) for c in cols]
+    large = parts[0]
+    for part in parts[1:]:
+        large = large.join(part, by)
+    return small.unionByName(large)
+
+
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value with its count ``n`` and tie-averaged ``rank`` (from 1)."""
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))

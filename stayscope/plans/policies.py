@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stayscope.functions.columns import from_micros, join_null_safe, micros
 from stayscope.functions.policy_scores import SCORES, score
-from stayscope.operators.ordered import exact_quantiles
+from stayscope.operators.ordered import exact_quantiles, medians_of_many_groups
 from stayscope.operators.windows import policy_windows
 from stayscope.session import written_table
 
@@ -91,14 +91,12 @@ def _combine(df: DataFrame, keys: Sequence[str], method: str, with_time: bool) -
         return rows.groupBy(*keys).agg(F.avg("value").alias("value"), *time, F.count(F.lit(1)).alias("n"))
     if method != "median":
         raise ValueError(f"unknown aggregation {method}")
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
-    out = base.join(exact_quantiles(rows, keys, "value", {"value": 0.5}), list(keys))
-    if with_time:
-        timed = rows.withColumn("_us", micros("charttime") - F.col("stay_start_us"))
-        middle = exact_quantiles(timed, [*keys, "stay_start_us"], "_us", {"_mid": 0.5})
-        when = from_micros(F.col("stay_start_us") + F.floor("_mid").cast("bigint"))
-        out = out.join(middle, list(keys)).withColumn("charttime", when).drop("_mid", "stay_start_us")
-    return out
+    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first, *([F.min("stay_start_us").alias("_t0")] if with_time else []))
+    if not with_time:
+        return base.join(medians_of_many_groups(rows, keys, ["value"]), list(keys))
+    timed = rows.withColumn("_us", micros("charttime") - F.col("stay_start_us"))
+    out = base.join(medians_of_many_groups(timed, keys, ["value", "_us"]), list(keys))
+    return out.withColumn("charttime", from_micros(F.col("_t0") + F.floor("_us").cast("bigint"))).drop("_us", "_t0")
 
 
 def aggregate_policy(df: DataFrame, policy: ScorePolicy) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from stayscope.functions import sofa_rules as rules_
 from stayscope.functions.columns import is_true
 from stayscope.operators.extract import eligible_stays, label_cohort
-from stayscope.operators.imputation import WINDOW, aggregate_parameters, complete_parameters, population_medians
+from stayscope.operators.imputation import WINDOW, complete_parameters, pick_parameters, population_medians, window_aggregates
 from stayscope.operators.windows import events_in_windows, stay_windows
+from stayscope.session import written_table
 
 PARAMETERS = [
     "pao2", "fio2", "spo2", "map", "platelets", "bilirubin", "gcs_total", "creatinine", "urine_output_24h",
@@ -97,10 +98,12 @@ def windowed_scores(events: DataFrame, stays: DataFrame, rules: DataFrame, cohor
     eligible = eligible_stays(stays, settings.min_stay_hours, settings.max_stay_days).drop("duration_hours")
     windows = stay_windows(eligible, settings.hours, settings.max_windows)
     placed = events_in_windows(windows, events, stays, settings.hours)
-    sizes = placed.groupBy(*WINDOW).agg(F.count(F.lit(1)).alias("measurements"))
+    # small beside the events: one row per window and concept, read by the gate and by the rules
+    aggregates = written_table(window_aggregates(placed), "window-aggregates")
+    sizes = aggregates.groupBy(*WINDOW).agg(F.sum("rows").alias("measurements"))
     kept = windows.join(sizes.filter(F.col("measurements") >= settings.min_measurements), WINDOW)
     medians = population_medians(events, cohort, settings.median_min_count) if settings.use_medians else None
-    aggregated = aggregate_parameters(placed, rules)
+    aggregated = pick_parameters(aggregates, rules)
     complete = complete_parameters(kept, events, aggregated, rules, medians, settings.lookback_hours)
     wide = complete.groupBy(*WINDOW).agg(
         *[F.max(F.when(F.col("parameter") == p, F.col("parameter_value"))).alias(p) for p in PARAMETERS],

@@ -111,23 +111,27 @@ class ClinicalViews:
         k = F.get_json_object("props", "$.k").cast("int")
         block = F.when(F.dayofmonth("ts") <= 10, 0).when(F.dayofmonth("ts") <= 20, 1).otherwise(2)
         repeats = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        events = self.table("events").withColumn("rep", F.explode(repeats))
         stored = (
             F.when((F.col("rep") == 1) & (F.col("event_id") % 20 == 0), F.lit(None))
             .when(F.col("rep") == 1, F.expr("ts + INTERVAL '2' HOUR"))
             .otherwise(F.expr("ts + INTERVAL '1' HOUR"))
         )
+        # what depends on the event alone is computed before the event is expanded
+        events = self.table("events").select(
+            "event_id", "event_type", "ts", "value", k.alias("k"), F.col("user_id").alias("subject_id"),
+            (F.col("user_id") * 10 + block).alias("stay_id"), F.explode(repeats).alias("rep"),
+        )
         # the item catalog is a constant of this module
         return events.join(F.broadcast(self.items), "event_type").select(
             ((F.col("event_id") * 2 + F.col("rep")) * 32 + F.col("slot")).alias("row_id"),
             "event_id",
-            F.col("user_id").alias("subject_id"),
-            (F.col("user_id") * 10 + block).alias("hadm_id"),
-            (F.col("user_id") * 10 + block).alias("stay_id"),
+            "subject_id",
+            F.col("stay_id").alias("hadm_id"),
+            "stay_id",
             F.col("ts").alias("charttime"),
             stored.alias("storetime"),
             "itemid", "label", "category", "fluid", "sofa_system", "source_table", "unit",
-            (F.col("base") + F.col("scale") * F.col("value") + k % F.col("modulus")).alias("valuenum"),
+            (F.col("base") + F.col("scale") * F.col("value") + F.col("k") % F.col("modulus")).alias("valuenum"),
         )
 
     @cached_property

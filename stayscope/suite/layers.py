@@ -71,19 +71,25 @@ class Layers:
             self._tables[name] = written_table(build(), name)
         return self._tables[name]
 
+    def plan_of(self, layer: str) -> DataFrame:
+        """One layer's step, reading the written layer before it."""
+        if layer == "bronze":
+            return self.bronze_plan
+        if layer == "silver":
+            return quality.build_silver(self.bronze, self.views.concept_map, self.rules)
+        return self.sofa_plan
+
     @property
     def bronze(self) -> DataFrame:
-        return self.written("bronze", lambda: self.bronze_plan)
+        return self.written("bronze", lambda: self.plan_of("bronze"))
 
     @property
     def silver(self) -> DataFrame:
-        return self.written(
-            "silver", lambda: quality.build_silver(self.bronze, self.views.concept_map, self.rules)
-        )
+        return self.written("silver", lambda: self.plan_of("silver"))
 
     @property
     def sofa(self) -> DataFrame:
-        return self.written("sofa_enhanced", lambda: self.sofa_plan)
+        return self.written("sofa_enhanced", lambda: self.plan_of("sofa"))
 
     @property
     def sofa_by_table(self) -> DataFrame:
