@@ -132,8 +132,10 @@ def impute_columns(df: DataFrame, method: str, columns: Sequence[str]) -> DataFr
     return filled.select(*[F.coalesce(F.col(c), F.col(f"_fill.{c}")).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def add_scores(df: DataFrame, variant: str = "full") -> DataFrame:
-    return df.select("*", *[score(s, variant).cast("int").alias(s) for s in SCORES])
+def add_scores(df: DataFrame, variant: str = "full", extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """The four published scores; ``extra`` adds a user's own as name and column expression."""
+    own = [c.alias(name) for name, c in (extra or {}).items()]
+    return df.select("*", *[score(s, variant).cast("int").alias(s) for s in SCORES], *own)
 
 
 def add_quality(df: DataFrame, counted: Sequence[str]) -> DataFrame:

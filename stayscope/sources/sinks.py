@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """Map columns as JSON text, for sinks without a map type."""
     maps = [f.name for f in df.schema if f.dataType.typeName() in ("map", "struct")]
@@ -41,7 +44,9 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    _flat(df).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header; timestamps keep their microseconds."""
+    writer = _flat(df).write.mode("overwrite").option("header", True)
+    writer.option("timestampFormat", CSV_TIME).option("timestampNTZFormat", CSV_TIME).csv(path)
 
 
 def save_model(model: PipelineModel, path: str, metadata: Mapping[str, object]) -> None:

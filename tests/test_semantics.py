@@ -107,3 +107,20 @@ def test_repartitioned_input_gives_the_same_scores(spark):
     keys = ["stay_id", "charttime"]
     close = [c for c in one.columns if c not in ("urine_output_24h",)]
     assert one.select(close).orderBy(keys).collect() == two.select(close).orderBy(keys).collect()
+
+
+def test_schema_validator(spark):
+    from stayscope.operators.validate import v_schema
+
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    got = {r["column_name"]: (r["present"], r["data_type"]) for r in v_schema(df, ["a", "c"]).collect()}
+    assert got == {"a": (True, "int"), "c": (False, None)}
+
+
+def test_large_and_small_groups_agree_on_medians(spark):
+    from stayscope.operators.ordered import medians_of_many_groups
+
+    df = spark.range(600).selectExpr("CASE WHEN id < 300 THEN -1 ELSE id % 50 END AS g", "cast(id * 7 % 101 AS double) AS v", "id AS w")
+    small = {r["g"]: (r["v"], r["w"]) for r in medians_of_many_groups(df, ["g"], ["v", "w"]).collect()}
+    mixed = {r["g"]: (r["v"], r["w"]) for r in medians_of_many_groups(df, ["g"], ["v", "w"], largest=10).collect()}
+    assert len(small) == 51 and small == mixed
