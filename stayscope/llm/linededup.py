@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, range_hash, signed, text_bytes
+from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, range_hash, signed, text_bytes, with_fields
 from stayscope.session import written_table
 
 
@@ -89,7 +90,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """``docs`` with the remaining lines as text; null texts stay null. ``n_chars``, if there, is counted anew."""
     columns = docs.columns
     inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")] or [F.lit(0).alias("_")]).alias("_rest"))
-    schema = inner.schema.add("_n", "long")
+    schema = with_fields(inner.schema, _n=LongType())
 
     def clean(part: pa.RecordBatch) -> pa.RecordBatch:
         kept = [x for x, _, _ in _keep(part)]

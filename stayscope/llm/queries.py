@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import linededup
+from stayscope.llm import bpecount, langid, linededup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> str:
+    """Vocabulary file of a public tokenizer; installed on driver and workers alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -41,3 +48,19 @@ marked AS (SELECT k.*, o.line_key IS NOT NULL AS gone FROM keyed k LEFT JOIN oft
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
+
+
+@_query
+def op4_token_counts(spark, folder):
+    return bpecount.token_counts(documents(spark, folder), tokenizer_file("byte_bpe_50k.json"), limit=512)
+
+
+@_query
+def op8_sharding(spark, folder):
+    return sharding.shard_table(documents(spark, folder), shards=8)
+
+
+@_query
+def op9_language_id(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    return langid.identify(docs, parts=3, part=1)

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DataType, StructField, StructType
 
 SLICE_BYTES = 4 << 20
 _SPACE = bytes([9, 10, 11, 12, 13, 32])
@@ -122,3 +123,8 @@ def sequence_hash(symbols: np.ndarray, k: int, seed: int = 2) -> np.ndarray:
 def signed(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit numbers as Spark longs of the same bits."""
     return pa.array(x.view(np.int64))
+
+
+def with_fields(schema: StructType, **fields: DataType) -> StructType:
+    """A new schema with more fields; the given one may be a frame's own."""
+    return StructType([*schema.fields, *(StructField(k, v) for k, v in fields.items())])
