@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import bpecount, langid, linededup, sharding
+from stayscope.llm import bpecount, langid, linededup, orderminhash, pieces, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +64,13 @@ def op8_sharding(spark, folder):
 def op9_language_id(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     return langid.identify(docs, parts=3, part=1)
+
+
+@_query
+def op2_document_fingerprints(spark, folder):
+    return orderminhash.fingerprints(documents(spark, folder), k=2, take=2, tuples=32)
+
+
+@_query
+def op5_sentencepiece(spark, folder):
+    return pieces.encoding_report(documents(spark, folder), tokenizer_file("piece_bpe_32k.model"))

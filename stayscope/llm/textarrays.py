@@ -88,14 +88,14 @@ def _tables(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if seed not in _POWERS or len(_POWERS[seed][1]) < n:
         rng = np.random.Generator(np.random.PCG64(seed))
         byte = rng.integers(1, 2**63, 256, dtype=np.uint64)
-        base = int(rng.integers(2**40, 2**62)) * 8 + 5
+        base = int(rng.integers(2**40, 2**61)) * 8 + 5
         _POWERS[seed] = (byte, powers(base, n), powers(pow(base, -1, 2**64), n))
     return _POWERS[seed]
 
 
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2 ... modulo 2**64."""
-    out = np.full(max(n, 1), base, np.uint64)
+    out = np.full(max(n, 1), np.uint64(base))
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -113,7 +113,7 @@ def sequence_hash(symbols: np.ndarray, k: int, seed: int = 2) -> np.ndarray:
     n = len(symbols) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64(int(np.random.Generator(np.random.PCG64(seed)).integers(2**40, 2**62)) * 8 + 5)
+    base = np.uint64(int(np.random.Generator(np.random.PCG64(seed)).integers(2**40, 2**61)) * 8 + 5)
     out = np.zeros(n, np.uint64)
     for i in range(k):
         out = out * base + symbols[i : i + n]
