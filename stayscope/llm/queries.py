@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import bpecount, langid, linededup, orderminhash, pieces, sharding
+from stayscope.llm import bpecount, langid, linededup, orderminhash, pieces, sharding, simhash, substringdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +74,27 @@ def op2_document_fingerprints(spark, folder):
 @_query
 def op5_sentencepiece(spark, folder):
     return pieces.encoding_report(documents(spark, folder), tokenizer_file("piece_bpe_32k.model"))
+
+
+@_query
+def op6_simhash(spark, folder):
+    return simhash.near_duplicates(documents(spark, folder), shingle=3, distance=3)
+
+
+@_query
+def op10_substring_dedup(spark, folder):
+    return substringdedup.repeat_report(documents(spark, folder), substringdedup.Repeats(window=50))
+
+
+ORACLE["op10_substring_dedup"] = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS at_word FROM d WHERE len(w) >= 50),
+windows AS (SELECT doc_id, at_word, md5(array_to_string(w[at_word:at_word + 49], ' ')) AS h FROM starts),
+least AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(at_word, at_word + 49)) AS k FROM windows JOIN least USING (h) WHERE first_doc < doc_id),
+each_word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+kept AS (
+  SELECT e.doc_id, count(*) AS n_words, count(g.k) AS n_removed, string_agg(word, ' ' ORDER BY e.k) FILTER (g.k IS NULL) AS kept
+  FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
