@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import bpecount, langid, linededup, orderminhash, pieces, sharding, simhash, substringdedup
+from stayscope.llm import bpecount, decontamination, langid, linededup, orderminhash, pieces, sharding, simhash, substringdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -98,3 +98,26 @@ kept AS (
   FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.k = g.k GROUP BY e.doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+
+@_query
+def op3_decontamination(spark, folder):
+    return decontamination.contamination_report(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), width=13)
+
+
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
+
+ORACLE["op3_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+b_starts AS (SELECT item_id, w, least(13, len(w)) AS size, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS k FROM b WHERE len(w) > 0),
+b_windows AS (SELECT DISTINCT item_id, size, array_to_string(w[k:k + size - 1], ' ') AS phrase FROM b_starts),
+sizes AS (SELECT DISTINCT size FROM b_windows),
+d_starts AS (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS k FROM d, sizes WHERE len(w) >= size),
+d_windows AS (SELECT doc_id, size, k, array_to_string(w[k:k + size - 1], ' ') AS phrase FROM d_starts),
+met AS (SELECT doc_id, d_windows.size, k, item_id FROM d_windows JOIN b_windows USING (size, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + size - 1)) AS p FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
