@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from stayscope.llm.textarrays import WORDLIKE, firsts, joined, map_slices, range_hash, signed, slices, text_bytes, with_fields, words
+from stayscope.llm.textarrays import WORDLIKE, firsts, joined, map_slices, packed, range_hash, signed, slices, text_bytes, unpacked, with_fields, words
 from stayscope.session import written_table
 
 _BUCKET_BITS = 6
@@ -227,3 +227,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, width: int = 13) ->
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of (doc_id, text)."""
     found = contamination(docs.select("doc_id", "text"), items, width)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array("items")).cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
+    """``docs`` without the contaminated rows."""
+    return unpacked(contamination(packed(docs), items, width, rest=("_rest",)).filter(~is_contaminated()), docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
-from stayscope.llm.textarrays import map_slices, with_fields
+from stayscope.llm.textarrays import map_slices, packed, unpacked, with_fields
 
 UNKNOWN = "und"
 _DIM = 4096
@@ -144,3 +144,17 @@ def identify(docs: DataFrame, parts: int = 3, part: int = 1, max_rows: int = 160
     out = held_out(F.col("doc_id"), parts, part)
     codes = fit(docs.filter(~out), max_rows)
     return predict(docs.select("doc_id", "text", out.alias("held_out")), codes).drop("text")
+
+
+def is_rejected():
+    """No letter, or no language that holds at least half of the weight."""
+    return (F.col("lang_pred") == UNKNOWN) | (F.col("score") < 0.5)
+
+
+def known_language(docs: DataFrame, max_rows: int = 1600) -> DataFrame:
+    """``docs`` (with lang) without the rejected rows; learned from all labelled rows. Without labels nothing can be rejected but texts without a letter."""
+    codes = fit(docs, max_rows)
+    found = predict(packed(docs), codes)
+    if not codes.languages:
+        return unpacked(found.filter(F.col("text").rlike(r"\p{L}")), docs.columns)
+    return unpacked(found.filter(~is_rejected()), docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, range_hash, signed, text_bytes, with_fields
+from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, packed, range_hash, signed, text_bytes, unpacked, with_fields
 from stayscope.session import written_table
 
 
@@ -89,7 +89,7 @@ def _with_drops(docs: DataFrame, min_docs: int) -> DataFrame:
 def drop_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """``docs`` with the remaining lines as text; null texts stay null. ``n_chars``, if there, is counted anew."""
     columns = docs.columns
-    inner = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")] or [F.lit(0).alias("_")]).alias("_rest"))
+    inner = packed(docs)
     schema = with_fields(inner.schema, _n=LongType())
 
     def clean(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -100,7 +100,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
         return pa.record_batch([part.column("doc_id"), text, part.column("_rest"), n], ["doc_id", "text", "_rest", "_n"])
 
     out = map_slices(_with_drops(inner, min_docs), clean, schema)
-    return out.select(*[F.col(c) if c in ("doc_id", "text") else F.col("_n").alias(c) if c == "n_chars" else F.col("_rest").getField(c).alias(c) for c in columns])
+    return unpacked(out, columns, n_chars=F.col("_n"))
 
 
 def line_report(docs: DataFrame, min_docs: int = 10) -> DataFrame:

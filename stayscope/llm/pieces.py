@@ -27,8 +27,9 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from stayscope.llm.textarrays import map_slices
+from stayscope.llm.textarrays import map_slices, with_fields
 
 MARK = "▁"
 # Piece kinds of the model format, and the penalty of an unknown character
@@ -146,16 +147,18 @@ def loaded(path: str) -> Model:
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of every row of (doc_id, text); no shuffle."""
+    """``docs`` with ``ids`` in place of ``text``; no shuffle."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         ids = [loaded(path).encode(x or "") for x in part.column("text").to_pylist()]
         offsets = np.zeros(len(ids) + 1, np.int32)
         np.cumsum([len(x) for x in ids], out=offsets[1:])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.record_batch([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*kept, "ids"])
 
-    return map_slices(docs.select("doc_id", "text"), rows, "doc_id long, ids array<int>", limit=1 << 20)
+    schema = with_fields(StructType([f for f in docs.schema if f.name != "text"]), ids=ArrayType(IntegerType()))
+    return map_slices(docs, rows, schema, limit=1 << 20)
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:

@@ -185,3 +185,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, bucket
     group = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(group, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """``docs`` with one document of each component: the one of the least id."""
+    first = near_duplicates(docs, shingle, distance).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    return docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"]), "left_semi")

@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 SLICE_BYTES = 4 << 20
@@ -128,3 +129,16 @@ def signed(x: np.ndarray) -> pa.Array:
 def with_fields(schema: StructType, **fields: DataType) -> StructType:
     """A new schema with more fields; the given one may be a frame's own."""
     return StructType([*schema.fields, *(StructField(k, v) for k, v in fields.items())])
+
+
+def packed(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, *more, _rest): all other columns in one struct, where their names clash with nothing."""
+    kept = ("doc_id", "text", *more)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in kept]
+    return docs.select(*kept, F.struct(*rest or [F.lit(0).alias("_")]).alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The ``columns`` that a frame had before ``packed``, in their order; ``changed`` replaces some that were in the struct."""
+    top = set(df.columns)
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(c) if c in ("doc_id", "text") and c in top else F.col("_rest").getField(c).alias(c) for c in columns])
