@@ -23,6 +23,8 @@ from pyspark.sql.types import LongType
 from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, packed, range_hash, signed, text_bytes, unpacked, with_fields
 from stayscope.session import written_table
 
+_SALTS = 16
+
 
 def _lines(texts: list[bytes]):
     """Ranges of all lines, the first line of each text, and both hashes of each key (0, 0: empty key)."""
@@ -56,12 +58,15 @@ def common_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     """(doc_id, drop): the keys that each document must lose, for documents that have any.
 
     The distinct pairs are written once. Counting combines before its shuffle,
-    so a line of every document costs one row a task; the semi join on the key
-    is one that Spark splits when a key is hot.
+    so a line of every document costs one row a task; for the semi join each
+    common key is repeated for ``_SALTS`` parts of the documents, so that a hot
+    line's documents go to as many tasks.
     """
     pairs = written_table(line_keys(docs), "line-keys")
-    often = pairs.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("hi", "lo")
-    return pairs.join(often, ["hi", "lo"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
+    often = pairs.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    often = often.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    return dealt.join(often, ["hi", "lo", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
 
 
 def _keep(part: pa.RecordBatch):
