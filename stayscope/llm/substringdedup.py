@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, mix, powers, range_hash, sequence_hash, text_bytes, words
 from stayscope.session import written_table
 
+_SALTS = 16
+
 
 @dataclass(frozen=True)
 class Repeats:
@@ -140,7 +142,10 @@ def removals(docs: DataFrame, size: Repeats = Repeats()) -> DataFrame:
     keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     prefixes = written_table(_prefixes(keyed, size), "prefixes")
     shared = prefixes.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    own = prefixes.join(shared.select("prefix", (F.col("n") > size.group).alias("big")), "prefix").distinct()
+    # a prefix that very many documents have goes to as many tasks as there are salts
+    shared = shared.select("prefix", (F.col("n") > size.group).alias("big"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+    dealt = prefixes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    own = dealt.join(shared, ["prefix", "salt"]).select("doc_id", "prefix", "big").distinct()
     wanted = own.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("big"), F.col("prefix"))).alias("small"), F.collect_list(F.when(F.col("big"), F.col("prefix"))).alias("large"))
     chosen = keyed.join(wanted, keyed["doc_id"] == wanted["_id"]).drop("_id")
 
@@ -167,7 +172,7 @@ def removals(docs: DataFrame, size: Repeats = Repeats()) -> DataFrame:
             ["doc_id", "text_key", "place", "prefix", "name", "span"],
         )
 
-    found = map_slices(chosen, stretches, "doc_id long, text_key long, place long, prefix long, name long, span binary")
+    found = map_slices(chosen, stretches, "doc_id long, text_key long, place long, prefix long, name long, span binary", limit=2 << 20)
     found = written_table(found, "stretches")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = found.filter("span IS NOT NULL").repartition(parts, "prefix").sortWithinPartitions("prefix")

@@ -81,17 +81,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+_BASE = 0x3A0D15EA5E5 * 8 + 5
 
 
 def _tables(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number per byte, and powers of an odd base and of its inverse."""
-    if seed not in _POWERS or len(_POWERS[seed][1]) < n:
-        rng = np.random.Generator(np.random.PCG64(seed))
-        byte = rng.integers(1, 2**63, 256, dtype=np.uint64)
-        base = int(rng.integers(2**40, 2**61)) * 8 + 5
-        _POWERS[seed] = (byte, powers(base, n), powers(pow(base, -1, 2**64), n))
-    return _POWERS[seed]
+    """A random number per byte and seed, and powers of an odd base and of its inverse."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [powers(_BASE, n), powers(pow(_BASE, -1, 2**64), n)]
+    byte = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64)
+    return (byte, *_POWERS)
 
 
 def powers(base: int, n: int) -> np.ndarray:
