@@ -56,9 +56,29 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
 
     Used where one layer feeds several branches: it is computed once, readers
     prune columns and push filters down, and a lost executor costs nothing but
-    its own reads.
+    its own reads. The files stay until ``delete_written``.
     """
+    return written_path(df, name)[0]
+
+
+def written_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``written_table``, with the path, for callers that drop the table early."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table in whatever store it lies; frames over it cannot be read afterwards."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def delete_written(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote; to be called when their results are no longer needed."""
+    delete_path(spark, _application_folder(spark))
