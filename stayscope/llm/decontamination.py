@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from stayscope.llm.textarrays import WORDLIKE, firsts, joined, map_slices, packed, range_hash, signed, slices, text_bytes, unpacked, with_fields, words
-from stayscope.session import written_table
+from stayscope.session import delete_path, written_path, written_table
 
 _BUCKET_BITS = 6
+_SLICE = 2 << 20
+_SALTS = 8
 _SPAN = StructType([StructField("item_id", StringType()), StructField("low", LongType()), StructField("high", LongType())])
 
 
@@ -43,14 +45,14 @@ def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return range_hash(low, start, end, seed=51), firsts(start, begin)
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The written index of (doc_id, text): one row per block and bucket; bucket -1 names the block's documents."""
+def build_index(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The index of (doc_id, text) and where it is written: one row per block and bucket; bucket -1 names the block's documents."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
     def blocks(batches):
         number = 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=_SLICE):
                 block = (TaskContext.get().partitionId() << 32) | number
                 number += 1
                 term, first = _terms(text_bytes(part))
@@ -65,7 +67,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["block", "bucket", "terms", "counts", "places"])
 
-    return written_table(keyed.mapInArrow(blocks, "block long, bucket int, terms binary, counts binary, places binary"), "postings")
+    return written_path(keyed.mapInArrow(blocks, "block long, bucket int, terms binary, counts binary, places binary"), "postings")
 
 
 def query_windows(items: DataFrame, width: int) -> DataFrame:
@@ -140,7 +142,10 @@ def candidates(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame
     each = Window.partitionBy("window").orderBy("n", "offset")
     rare = seen.withColumn("rank", F.row_number().over(each)).withColumn("least", F.min("n").over(Window.partitionBy("window")))
     rare = written_table(rare.filter(f"least > 0 AND rank <= {1 if slop else 2}").select("window", "size", "offset", "term", "rank"), "rare-terms")
-    placed = postings(index, rare).join(rare, "term").select("block", "window", "size", "rank", (F.col("place") - (0 if slop else F.col("offset"))).alias("start"))
+    # a frequent term's places go to as many tasks as there are salts
+    salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = postings(index, rare).withColumn("salt", F.pmod(F.xxhash64("block", "place"), F.lit(_SALTS)).cast("int"))
+    placed = dealt.join(salted, ["term", "salt"]).select("block", "window", "size", "rank", (F.col("place") - (0 if slop else F.col("offset"))).alias("start"))
     if not slop:
         met = placed.filter("start >= 0").groupBy("block", "window", "start", "size").agg(F.count_distinct("rank").alias("met"))
         placed = met.filter(F.col("met") == F.least("size", F.lit(2)))
@@ -184,10 +189,13 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int
     window is met where all its words lie within ``slop`` words more than it has,
     in any order. ``spans`` are (item_id, first word, past last word).
     """
-    index = build_index(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
+    index, path = build_index(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
     windows = query_windows(items, width)
     found = candidates(index, windows, slop).join(windows, "window").select("doc_id", "text_key", F.struct("item_id", "start", "terms").alias("match"))
     per_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("match").alias("matches"))
+    # the candidates are all that is needed further on
+    per_doc = written_table(per_doc, "window-candidates")
+    delete_path(docs.sparkSession, path)
     inner = docs.select("doc_id", "text", *rest)
     both = inner.join(per_doc, (inner["doc_id"] == per_doc["_id"]) & (F.xxhash64(inner["text"]) == per_doc["_key"]), "left").drop("_id", "_key")
     kept = inner.columns
@@ -215,7 +223,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int
         columns = [*(part.column(c) for c in kept), pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("item_id", pa.string()), ("low", pa.int64()), ("high", pa.int64())])))]
         return pa.record_batch(columns, [*kept, "n_words", "n_hit", "items", "spans"])
 
-    return map_slices(both, rows, schema)
+    return map_slices(both, rows, schema, limit=_SLICE)
 
 
 def is_contaminated():

@@ -97,7 +97,7 @@ def _quantiles(drawn: list, pieces: int, whole_groups: bool) -> list[tuple[int,
     return [(drawn[i][0], _LOWEST if whole_groups else drawn[i][1]) for i in at]
 
 
-def plan_shards(keys: DataFrame, shards: int = 8, ranges: int = 512, sample: int = 20_000, tolerance: float = 0.002) -> Layout:
+def plan_shards(keys: DataFrame, shards: int = 8, ranges: int = 512, sample: int = 20_000, tolerance: float = 0.01) -> Layout:
     """Splitters for ``keys``; they are read a few times, so pass a written table."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     bounds = sorted(set(_quantiles(_sample(keys, total, sample, 0), ranges, True)))
