@@ -35,7 +35,7 @@ MARK = "▁"
 # Piece kinds of the model format, and the penalty of an unknown character
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _PENALTY = 10.0
-_KEPT_PARTS = 400_000
+_KEPT_PARTS = 200_000
 
 
 class Model:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _SPACE = bytes([9, 10, 11, 12, 13, 32])
 #: True for bytes of words cut at white space
 NOT_SPACE = np.array([b not in _SPACE for b in range(256)])
