@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, k: int = 2, take: int = 2, tuples: int = 32) -
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = _in_ranges(docs.select("doc_id", "text"), parts)
-    ordered = ranged.repartition(parts, "range").sortWithinPartitions("range", "ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    ordered = ranged.repartitionById(parts + 1, F.col("range") + 1).sortWithinPartitions("range", "ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
 
     def report(rows: list[tuple]) -> pa.RecordBatch:
         """Rows are (doc_id, text, text of the next)."""
