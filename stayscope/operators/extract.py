@@ -164,10 +164,14 @@ def sample_items(bronze: DataFrame, itemids: Sequence[int], n: int = 20) -> Data
     ).limit(n)
 
 
-def eligible_stays(stays: DataFrame, min_hours: float = 24.0, max_days: float = 30.0) -> DataFrame:
-    """Stays whose duration lies within both bounds, ends included."""
-    hours = hours_between("intime", "outtime")
-    return stays.withColumn("duration_hours", hours).filter(F.col("duration_hours").between(min_hours, max_days * 24.0))
+def eligible_stays(stays: DataFrame, min_hours: float | None = None, max_days: float | None = None) -> DataFrame:
+    """Stays whose duration lies within the bounds that are given, ends included."""
+    kept = stays.withColumn("duration_hours", hours_between("intime", "outtime"))
+    if min_hours is not None:
+        kept = kept.filter(F.col("duration_hours") >= min_hours)
+    if max_days is not None:
+        kept = kept.filter(F.col("duration_hours") <= max_days * 24.0)
+    return kept
 
 
 def diagnosis_cohort(diagnoses: DataFrame, codes: Sequence[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from stayscope.session import written_table
 
 def sample_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` rows picked by a seeded hash of their keys, the same for any partitioning."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary")), *keys).limit(n)
 
 
 def column_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -100,8 +100,8 @@ def fit_lr(train: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, ma
     return Pipeline(stages=stages).fit(train)
 
 
-def fit_rf(train: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 12, seed: int = 42) -> PipelineModel:
-    """Random forest; depth is bounded because Spark grows a tree level by level."""
+def fit_rf(train: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 30, seed: int = 42) -> PipelineModel:
+    """Random forest; 30 is the deepest that Spark grows, a leaf may end earlier."""
     stages = [
         VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"),
         RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", impurity="gini", seed=seed),

@@ -21,35 +21,50 @@ _FINEST = float(2**20)
 
 
 def _bucket(v: Column) -> Column:
-    """Monotone bucket of ``v``: logarithmic steps of 0.017 % on both sides of zero.
-
-    It depends on the value alone, so no pass over the data is needed to place
-    bounds, and a recomputed task puts every row into the same bucket again.
-    """
+    """Monotone bucket of ``v``: logarithmic steps of 0.017 % on both sides of zero."""
     octaves = F.log2(1.0 + F.abs(v) * _FINEST)
     return (F.signum(v) * F.floor(octaves * _STEPS_PER_OCTAVE)).cast("bigint")
 
 
+def value_buckets(hist: DataFrame, by: Sequence[str], value: str, per_bucket: int = 1024) -> DataFrame:
+    """Add ``_bucket`` and ``_part``, which order as the values do.
+
+    Values that lie close together for their size, as epochs and ids do, share
+    a logarithmic bucket; it is cut into equal steps between its own least and
+    greatest value, as many as it has values for. All bounds are exact, so a
+    recomputed task puts every row into the same place again.
+    """
+    by = list(by)
+    v = F.col(value).cast("double")
+    placed = hist.withColumn("_bucket", _bucket(v))
+    spans = placed.groupBy(*by, "_bucket").agg(F.min(v).alias("_low"), F.max(v).alias("_high"), F.count(F.lit(1)).alias("_values"))
+    placed = join_null_safe(placed, spans, [*by, "_bucket"])
+    steps = F.ceil(F.col("_values") / per_bucket)
+    part = F.when((steps > 1) & (F.col("_high") > F.col("_low")), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * steps))
+    return placed.withColumn("_part", F.coalesce(part, F.lit(0)).cast("bigint")).drop("_low", "_high", "_values")
+
+
 def running_totals(hist: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``<w>_before`` (sum over smaller values) and ``<w>_total`` for each weight.
 
     ``hist`` holds one row per group and value, so it is already as small as the
-    data allow; no value may be NULL. The table of bucket totals has at most a
-    few hundred thousand rows per group, however many values there are.
+    data allow; no value may be NULL. The table of bucket totals has about a row
+    for a thousand values.
     """
     by = list(by)
-    placed = hist.withColumn("_bucket", _bucket(F.col(value).cast("double")))
-    earlier_buckets = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    placed = value_buckets(hist, by, value)
+    earlier_buckets = W.partitionBy(*by).orderBy("_bucket", "_part").rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*by)
-    starts = placed.groupBy(*by, "_bucket").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    starts = placed.groupBy(*by, "_bucket", "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     starts = starts.select(
         *by,
         "_bucket",
+        "_part",
         *[F.coalesce(F.sum(f"_{w}").over(earlier_buckets), F.lit(0)).alias(f"_{w}_start") for w in weights],
         *[F.sum(f"_{w}").over(group).alias(f"{w}_total") for w in weights],
     )
-    smaller = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = join_null_safe(placed, starts, [*by, "_bucket"])
+    smaller = W.partitionBy(*by, "_bucket", "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    placed = join_null_safe(placed, starts, [*by, "_bucket", "_part"])
     return placed.select(
         *hist.columns,
         *[
@@ -88,26 +103,6 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     )
 
 
-def medians_of_many_groups(df: DataFrame, by: Sequence[str], cols: Sequence[str], largest: int = 10_000) -> DataFrame:
-    """Exact medians of several columns for very many, mostly tiny groups.
-
-    Groups of at most ``largest`` rows use the built-in percentile, whose memory
-    that size bounds; any larger group goes the distributed way. Both are exact.
-    Group keys must not be NULL.
-    """
-    by = list(by)
-    big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > largest).select(*by)
-    small = df.join(big, by, "left_anti").groupBy(*by).agg(
-        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in cols]
-    )
-    rest = df.join(big, by, "left_semi")
-    parts = [exact_quantiles(rest, by, c, {f"_m_{c}": 0.5}).withColumnRenamed(f"_m_{c}", c) for c in cols]
-    large = parts[0]
-    for part in parts[1:]:
-        large = large.join(part, by)
-    return small.unionByName(large)
-
-
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value with its count ``n`` and tie-averaged ``rank`` (from 1)."""
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))

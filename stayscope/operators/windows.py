@@ -44,11 +44,13 @@ def daily_windows(df: DataFrame, hours: int = 24, by: Sequence[str] = STAY, time
     )
 
 
-def stay_windows(stays: DataFrame, hours: int = 24, max_windows: int = 7) -> DataFrame:
-    """Half-open windows from admission, the last one cut at discharge."""
+def stay_windows(stays: DataFrame, hours: int = 24, max_windows: int | None = None) -> DataFrame:
+    """Half-open windows from admission to discharge, where the last one is cut; all of them unless ``max_windows`` is given."""
     width = hours * MICROS_PER_HOUR
     start, stop = micros("intime"), micros("outtime")
-    count = F.least(F.ceil((stop - start) / width), F.lit(max_windows)).cast("int")
+    count = F.ceil((stop - start) / width).cast("int")
+    if max_windows is not None:
+        count = F.least(count, F.lit(max_windows))
     rows = stays.withColumn("_n", count).filter(F.col("_n") > 0)
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     begin = start + F.col("_i").cast("bigint") * width

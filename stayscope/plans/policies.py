@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stayscope.functions.columns import from_micros, join_null_safe, micros
 from stayscope.functions.policy_scores import SCORES, score
-from stayscope.operators.ordered import exact_quantiles, medians_of_many_groups
+from stayscope.operators.ordered import exact_quantiles
 from stayscope.operators.windows import policy_windows
 from stayscope.session import written_table
 
@@ -91,11 +91,16 @@ def _combine(df: DataFrame, keys: Sequence[str], method: str, with_time: bool) -
         return rows.groupBy(*keys).agg(F.avg("value").alias("value"), *time, F.count(F.lit(1)).alias("n"))
     if method != "median":
         raise ValueError(f"unknown aggregation {method}")
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first, *([F.min("stay_start_us").alias("_t0")] if with_time else []))
     if not with_time:
-        return base.join(medians_of_many_groups(rows, keys, ["value"]), list(keys))
+        # a whole stay may be hot: counted values, sorted by ranges
+        base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *first)
+        return base.join(exact_quantiles(rows, keys, "value", {"_median": 0.5}), list(keys)).withColumnRenamed("_median", "value")
+    # the window in the key bounds a group; the built-in percentile counts values before its one shuffle
     timed = rows.withColumn("_us", micros("charttime") - F.col("stay_start_us"))
-    out = base.join(medians_of_many_groups(timed, keys, ["value", "_us"]), list(keys))
+    out = timed.groupBy(*keys).agg(
+        F.percentile("value", F.lit(0.5)).alias("value"), F.percentile(F.col("_us").cast("double"), F.lit(0.5)).alias("_us"),
+        F.count(F.lit(1)).alias("n"), F.min("stay_start_us").alias("_t0"),
+    )
     return out.withColumn("charttime", from_micros(F.col("_t0") + F.floor("_us").cast("bigint"))).drop("_us", "_t0")
 
 

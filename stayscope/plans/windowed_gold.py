@@ -26,17 +26,17 @@ FLAGS = {
 
 @dataclass(frozen=True)
 class WindowSettings:
-    """Settings whose values the published code leaves open; these are our defaults."""
+    """Settings whose values the published code leaves open. No stay, window or score is dropped unless a bound is set."""
 
     hours: int = 24
-    max_windows: int = 7
-    min_measurements: int = 1
+    max_windows: int | None = None
+    min_measurements: int = 1  # a window without a measurement has nothing to score
     lookback_hours: float | None = 24.0
     use_medians: bool = True
     median_min_count: int = 10
-    max_missing: int = 3
-    min_stay_hours: float = 24.0
-    max_stay_days: float = 30.0
+    max_missing: int | None = None
+    min_stay_hours: float | None = None
+    max_stay_days: float | None = None
     # published behaviour loses the doses before scoring; True keeps them
     use_doses: bool = False
 
@@ -116,5 +116,11 @@ def windowed_scores(events: DataFrame, stays: DataFrame, rules: DataFrame, cohor
         {"is_mechanically_ventilated": F.lit(False), "pao2_fio2_imputed": F.lit(False)}
     )
     scored = score_windows(oxygen_ratios(filled), settings.use_doses)
-    scored = scored.filter(F.size("missing_components") <= settings.max_missing)
+    if settings.max_missing is not None:
+        scored = few_missing(scored, settings.max_missing)
     return label_cohort(scored, cohort)
+
+
+def few_missing(scored: DataFrame, most: int) -> DataFrame:
+    """Windows in which at most ``most`` organ systems have no value."""
+    return scored.filter(F.size("missing_components") <= most)

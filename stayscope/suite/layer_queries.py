@@ -115,7 +115,7 @@ def _(x):
     "SELECT subject_id, hadm_id, stay_id, intime, outtime, 240.0::DOUBLE AS duration_hours FROM cv_stays WHERE 240 BETWEEN 24 AND 720",
 )
 def _(x):
-    return extract.eligible_stays(x.views.stays)
+    return extract.eligible_stays(x.views.stays, min_hours=24, max_days=30)
 
 
 COHORT = "SELECT DISTINCT subject_id, hadm_id FROM cv_dx WHERE replace(icd_code, '.', '') IN ('J9601', 'J80')"

@@ -148,9 +148,20 @@ def ready(x):
     return models.scale_columns(df.filter("split = 'train'"), df, FITTED).withColumn(Y, F.col(Y).cast("int"))
 
 
-@query("m9_smote")
+VIEWS["cv_classes"] = f"SELECT {Y}, count(*) AS n FROM cv_split WHERE split = 'train' GROUP BY 1"
+
+
+@query(
+    "m9_smote",
+    f"""WITH scale AS (SELECT avg(total_sofa_score) AS m, stddev_pop(total_sofa_score) AS s FROM cv_split WHERE split = 'train')
+        SELECT {Y}, FALSE AS synthetic, count(*) AS rows, rnd(avg((total_sofa_score - m) / s), 4) AS mean_given FROM cv_split, scale WHERE split = 'train' GROUP BY 1
+        UNION ALL
+        SELECT {Y}, TRUE, (SELECT max(n) FROM cv_classes) - n, NULL FROM cv_classes
+        WHERE n >= 2 AND n < (SELECT max(n) FROM cv_classes)""",
+)
 def _(x):
-    return balanced(x).groupBy(Y, "synthetic").agg(F.count(F.lit(1)).alias("rows"), round_to(F.avg("total_sofa_score"), 4).alias("mean_total"))
+    given = F.when(~F.col("synthetic"), F.col("total_sofa_score"))
+    return balanced(x).groupBy(Y, "synthetic").agg(F.count(F.lit(1)).alias("rows"), round_to(F.avg(given), 4).alias("mean_given"))
 
 
 def balanced(x):
@@ -162,7 +173,7 @@ def fitted(x, kind):
     key = f"model-{kind}"
     if key not in x.models:
         train = x.written("balanced", lambda: balanced(x))
-        x.models[key] = models.fit_lr(train, FITTED, Y) if kind == "lr" else models.fit_rf(train, FITTED, Y, trees=20, depth=6)
+        x.models[key] = models.fit_lr(train, FITTED, Y) if kind == "lr" else models.fit_rf(train, FITTED, Y)
     return x.models[key]
 
 
@@ -186,8 +197,40 @@ def _(x):
     return models.best_model(models.evaluate(scored(x), Y, by=["model", "split"]))
 
 
+# The same two operators over the formula's predictions and their complement, where SQL has the numbers
+VIEWS["cv_two"] = f"""
+    SELECT 'formula' AS model, split, y, p FROM cv_pred UNION ALL SELECT 'reverse', split, y, 1 - p FROM cv_pred"""
+VIEWS["cv_two_metrics"] = """
+    SELECT model, split, (sum(rk) FILTER (WHERE y = 1) - max(np) * (max(np) + 1) / 2) / nullif(max(np) * max(nn), 0) AS auc,
+           coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1
+    FROM (SELECT *, rank() OVER (PARTITION BY model, split ORDER BY p) + (count(*) OVER (PARTITION BY model, split, p) - 1) / 2.0 AS rk,
+                 (sum(y) OVER g)::DOUBLE AS np, (sum(1 - y) OVER g)::DOUBLE AS nn, (sum((p >= 0.5 AND y = 1)::INT) OVER g)::DOUBLE AS tp,
+                 (sum((p >= 0.5 AND y = 0)::INT) OVER g)::DOUBLE AS fp, (sum((p < 0.5 AND y = 1)::INT) OVER g)::DOUBLE AS fn
+          FROM cv_two WINDOW g AS (PARTITION BY model, split))
+    GROUP BY 1, 2, tp, fp, fn"""
+
+
+def two_metrics(x):
+    p = predictions(x).withColumn("model", F.lit("formula"))
+    return models.evaluate(p.unionByName(p.withColumns({"model": F.lit("reverse"), "p": 1 - F.col("p")})), "y", by=["model", "split"])
+
+
+@query(
+    "m14_formula_gap",
+    """SELECT model, rnd(max(auc) FILTER (WHERE split = 'train') - max(auc) FILTER (WHERE split = 'val'), 6) AS auc_gap,
+              rnd(max(f1) FILTER (WHERE split = 'train') - max(f1) FILTER (WHERE split = 'val'), 6) AS f1_gap FROM cv_two_metrics GROUP BY 1""",
+)
+def _(x):
+    return rounded(models.overfit_gap(two_metrics(x)), "auc_gap", "f1_gap")
+
+
+@query("m14_formula_best", "SELECT model, rnd(auc, 6) AS roc_auc FROM cv_two_metrics WHERE split = 'test' ORDER BY coalesce(auc, -1) DESC, model LIMIT 1")
+def _(x):
+    return rounded(models.best_model(two_metrics(x)), "roc_auc")
+
+
 @query("m16_sampled_contributions")
 def _(x):
     df = ready(x)
     sample = models.sample_rows(df.filter("split = 'test'"), 50, KEYS)  # explanations of 50 rows are the feature
-    return explain.sampled_contributions(sample, fitted(x, "rf"), FITTED, KEYS, df.filter("split = 'train'"), m=4)
+    return explain.sampled_contributions(sample, fitted(x, "rf"), FITTED, KEYS, df.filter("split = 'train'"))

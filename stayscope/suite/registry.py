@@ -14,7 +14,11 @@ _LAYERS: dict[tuple[str, str], Layers] = {}
 
 
 def layers_of(spark: SparkSession, folder: str) -> Layers:
-    """One set of lazy DataFrames per application and folder; no data are kept."""
+    """One set of DataFrames per application and folder.
+
+    Layers that several queries read are written once and stay for the
+    application, so a folder must not change under it.
+    """
     key = (spark.sparkContext.applicationId, folder)
     if key not in _LAYERS:
         _LAYERS[key] = Layers(ClinicalViews(spark, folder))

@@ -20,11 +20,11 @@ RULES = [
 H = 86_400_000_000
 VIEWS["cv_rules"] = f"SELECT * FROM (VALUES {', '.join(str(r) for r in RULES)}) t(parameter, concept_id, aggregation)"
 VIEWS["cv_ev"] = "SELECT subject_id, stay_id, charttime, concept_id, concept_name, valuenum_std AS value, bronze_id FROM cv_silver"
-VIEWS["cv_cohort"] = "SELECT DISTINCT subject_id FROM cv_dx WHERE icd_code IN ('J96.01', 'J80') AND subject_id % 2 = 0"
+VIEWS["cv_cohort"] = "SELECT DISTINCT subject_id FROM cv_dx WHERE icd_code IN ('J96.01', 'J80')"
 VIEWS["cv_win"] = """
     SELECT subject_id, hadm_id, stay_id, intime, CAST(i + 1 AS INTEGER) AS window_number, CAST(i + 1 AS INTEGER) AS icu_day,
            intime + to_days(CAST(i AS INTEGER)) AS window_start, least(intime + to_days(CAST(i + 1 AS INTEGER)), outtime) AS window_end
-    FROM cv_stays, range(7) r(i) WHERE intime + to_days(CAST(i AS INTEGER)) < outtime"""
+    FROM (SELECT *, unnest(generate_series(0, CAST(ceil(epoch(outtime - intime) / 86400.0) AS BIGINT) - 1)) AS i FROM cv_stays)"""
 VIEWS["cv_inwin"] = """
     SELECT e.*, w.window_number, w.window_start, w.window_end, w.icu_day FROM cv_ev e
     JOIN cv_win w ON w.subject_id = e.subject_id AND w.stay_id = e.stay_id AND e.charttime >= w.window_start AND e.charttime < w.window_end"""
@@ -38,7 +38,7 @@ VIEWS["cv_med"] = """
     WHERE value IS NOT NULL AND subject_id IN (SELECT subject_id FROM cv_cohort) GROUP BY 1, 2 HAVING count(*) >= 10"""
 VIEWS["cv_kept"] = """
     SELECT w.*, n.measurements FROM cv_win w JOIN (SELECT subject_id, stay_id, window_number, count(*) AS measurements
-    FROM cv_inwin GROUP BY 1, 2, 3 HAVING count(*) >= 3) n USING (subject_id, stay_id, window_number)"""
+    FROM cv_inwin GROUP BY 1, 2, 3) n USING (subject_id, stay_id, window_number)"""
 VIEWS["cv_grid"] = """
     SELECT w.subject_id, w.stay_id, w.window_number, w.window_start, r.parameter, r.concept_id, p.parameter_value
     FROM cv_kept w CROSS JOIN cv_rules r
@@ -86,10 +86,9 @@ VIEWS["cv_g1gold"] = """
       coalesce(s_resp, 0) + coalesce(s_card, 0) + coalesce(s_coag, 0) + coalesce(s_liver, 0) + coalesce(s_cns, 0) + coalesce(s_renal, 0) AS total,
       (s_resp IS NULL)::INT + (s_card IS NULL)::INT + (s_coag IS NULL)::INT + (s_liver IS NULL)::INT + (s_cns IS NULL)::INT + (s_renal IS NULL)::INT AS n_missing,
       CASE WHEN subject_id IN (SELECT subject_id FROM cv_cohort) THEN 'ARI' ELSE 'OTHER' END AS disease_type
-    FROM cv_kept k JOIN cv_g1sub s USING (subject_id, stay_id, window_number)
-    WHERE (s_resp IS NULL)::INT + (s_card IS NULL)::INT + (s_coag IS NULL)::INT + (s_liver IS NULL)::INT + (s_cns IS NULL)::INT + (s_renal IS NULL)::INT <= 3"""
+    FROM cv_kept k JOIN cv_g1sub s USING (subject_id, stay_id, window_number)"""
 
-SETTINGS = windowed_gold.WindowSettings(min_measurements=3)
+SETTINGS = windowed_gold.WindowSettings()
 
 
 def rules(x):
@@ -103,7 +102,7 @@ def events(x):
 
 
 def cohort(x):
-    return extract.diagnosis_cohort(x.views.diagnoses, ["J96.01", "J80"]).filter("subject_id % 2 = 0").select("subject_id").distinct()
+    return extract.diagnosis_cohort(x.views.diagnoses, ["J96.01", "J80"]).select("subject_id").distinct()
 
 
 def stay_windows(x):
@@ -122,6 +121,11 @@ def gold_plan(x):
     return windowed_gold.windowed_scores(events(x), x.views.stays, rules(x), cohort(x), SETTINGS)
 
 
+@query("c18_few_missing", "SELECT stay_id, window_number, CAST(n_missing AS INTEGER) AS n_missing FROM cv_g1gold WHERE n_missing <= 3")
+def _(x):
+    return windowed_gold.few_missing(gold(x), 3).select("stay_id", "window_number", F.size("missing_components").alias("n_missing"))
+
+
 @query("t2_stay_windows", "SELECT * FROM cv_win")
 def _(x):
     return stay_windows(x)
@@ -148,7 +152,7 @@ def _(x):
        FROM cv_grid g LEFT JOIN cv_locf l USING (subject_id, stay_id, window_number, parameter) WHERE g.parameter_value IS NULL""",
 )
 def _(x):
-    sizes = placed(x).groupBy(*imputation.WINDOW).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").drop("n")
+    sizes = placed(x).groupBy(*imputation.WINDOW).agg(F.count(F.lit(1)).alias("n")).drop("n")
     kept = stay_windows(x).join(sizes, imputation.WINDOW)
     listed = F.array(*[F.struct(F.lit(p).alias("parameter"), F.lit(c).alias("concept_id")) for p, c, _a in RULES])
     grid = kept.select(*imputation.WINDOW, "window_start", F.inline(listed))

@@ -117,10 +117,18 @@ def test_schema_validator(spark):
     assert got == {"a": (True, "int"), "c": (False, None)}
 
 
-def test_large_and_small_groups_agree_on_medians(spark):
-    from stayscope.operators.ordered import medians_of_many_groups
+def test_a_long_stay_keeps_all_windows(spark):
+    from stayscope.operators.windows import stay_windows
 
-    df = spark.range(600).selectExpr("CASE WHEN id < 300 THEN -1 ELSE id % 50 END AS g", "cast(id * 7 % 101 AS double) AS v", "id AS w")
-    small = {r["g"]: (r["v"], r["w"]) for r in medians_of_many_groups(df, ["g"], ["v", "w"]).collect()}
-    mixed = {r["g"]: (r["v"], r["w"]) for r in medians_of_many_groups(df, ["g"], ["v", "w"], largest=10).collect()}
-    assert len(small) == 51 and small == mixed
+    stays = spark.sql("SELECT 1 AS subject_id, 2 AS hadm_id, 3 AS stay_id, timestamp_ntz'2024-01-01 00:00:00' AS intime, timestamp_ntz'2024-02-10 12:00:00' AS outtime")
+    assert stay_windows(stays).count() == 41
+    assert stay_windows(stays, max_windows=7).count() == 7
+
+
+def test_close_values_fall_into_many_buckets(spark):
+    from stayscope.operators.ordered import exact_quantiles, value_buckets
+
+    near = spark.range(100_000).selectExpr("cast(1.7e9 + id AS double) AS v", "1L AS n", "'g' AS g")
+    sizes = [r["count"] for r in value_buckets(near, ["g"], "v").groupBy("_bucket", "_part").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 3000
+    assert exact_quantiles(near, ["g"], "v", {"m": 0.5}).first()["m"] == 1.7e9 + 49_999.5
