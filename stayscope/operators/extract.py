@@ -174,11 +174,11 @@ def eligible_stays(stays: DataFrame, min_hours: float | None = None, max_days: f
     return kept
 
 
-def diagnosis_cohort(diagnoses: DataFrame, codes: Sequence[str]) -> DataFrame:
-    """Distinct patient and admission with one of the codes; dots are ignored."""
+def diagnosis_cohort(diagnoses: DataFrame, codes: Sequence[str], versions: Sequence[int] = (9, 10)) -> DataFrame:
+    """Distinct patient and admission with one of the codes in one of the code versions; dots are ignored."""
     plain = [c.replace(".", "") for c in codes]
     return (
-        diagnoses.filter(F.regexp_replace("icd_code", r"\.", "").isin(plain))
+        diagnoses.filter(F.col("icd_version").isin(list(versions)) & F.regexp_replace("icd_code", r"\.", "").isin(plain))
         .select("subject_id", "hadm_id")
         .distinct()
     )

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours in bounded blocks.
+"""Nearest neighbours: exact in bounded blocks, or near ones in linear work.
 
 Rows are numbered along one projection and cut into blocks of fixed size, so no
 block grows with ties or skew. Each block first searches itself, which bounds
@@ -78,3 +78,55 @@ def nearest(points: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
     other = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInPandas(across, CANDIDATES)
     order = W.partitionBy("id").orderBy("d", "other")
     return own.unionByName(other).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def near_neighbours(points: DataFrame, k: int, tables: int = 16, width: int = 64) -> DataFrame:
+    """(id, other, d, position) of about the ``k`` nearest other rows, found in linear work.
+
+    Rows are sorted along ``tables`` seeded directions; in each order a row meets
+    the ``width`` rows on either side of it, and its ``k`` best go on. No row
+    meets more than ``2 * tables * width`` others, whatever the number of rows;
+    the price is that a near row which is far in every order is missed.
+    Distances are exact. Rows at the edge of a partition meet those on one side.
+    """
+    spark = points.sparkSession
+    size = points.select(F.max(F.size("x"))).first()[0] or 1
+    rng = np.random.Generator(np.random.PCG64(17))
+    lines = rng.normal(size=(tables, size))
+    directions = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in lines])
+    spread = points.select("id", "x", F.posexplode(directions).alias("t", "w"))
+    placed = spread.select("t", F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("p"), "id", "x")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = placed.repartitionByRange(parts, "t", "p", "id").sortWithinPartitions("t", "p", "id").select("t", "id", "x")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            t, ids, x = b["t"].to_numpy(), b["id"].to_numpy(), np.stack(b["x"].to_numpy())
+            if held is not None:
+                t, ids, x = np.r_[held[0], t], np.r_[held[1], ids], np.vstack([held[2], x])
+            n, best = len(ids), []
+            for o in range(1, min(width, n - 1) + 1):
+                same = t[o:] == t[:-o]
+                d = np.sqrt(((x[o:] - x[:-o]) ** 2).sum(1))
+                d[~same] = np.inf
+                best.append((o, d))
+            # the best k of each row on both sides
+            dist, other = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+            for o, d in best:
+                for here, there, values in ((slice(0, n - o), slice(o, n), d), (slice(o, n), slice(0, n - o), d)):
+                    worst = dist[here].argmax(axis=1)
+                    rows = np.arange(n)[here]
+                    better = values < dist[rows, worst]
+                    dist[rows[better], worst[better]] = values[better]
+                    other[rows[better], worst[better]] = ids[there][better]
+            found = np.isfinite(dist).ravel()
+            yield pd.DataFrame({"id": np.repeat(ids, k)[found], "other": other.ravel()[found], "d": dist.ravel()[found]})
+            held = (t[-width:], ids[-width:], x[-width:])
+
+    # a pair that met in several orders, or again after a batch ended, counts once
+    met = ordered.mapInPandas(meet, CANDIDATES).groupBy("id", "other").agg(F.min("d").alias("d"))
+    order = W.partitionBy("id").orderBy("d", "other")
+    return met.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)

@@ -22,9 +22,14 @@ def count_by(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("records"))
 
 
+def key_counts(df: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
+    """Rows (``_rows``) and further sums per combination of ``keys``; several distinct counts then expand these, not the raw rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
+
+
 def coverage_totals(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count(F.lit(1)).alias("records"),
+    return key_counts(df, ["subject_id", "stay_id", "itemid"]).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("records"),
         F.count_distinct("subject_id").alias("patients"),
         F.count_distinct("stay_id").alias("stays"),
         F.count_distinct("itemid").alias("items"),
@@ -73,14 +78,15 @@ def layer_rates(bronze: DataFrame, silver: DataFrame) -> DataFrame:
 
 def silver_summary(df: DataFrame) -> DataFrame:
     """Scalar metrics of the first-generation silver table."""
-    return df.agg(
-        F.count(F.lit(1)).alias("total_records"),
+    flags = {c: F.when(F.col(c), 1).otherwise(0) for c in ("is_outlier", "error_flag")}
+    return key_counts(df, ["subject_id", "stay_id", "concept_id", "itemid"], **flags).agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_records"),
         F.count_distinct("subject_id").alias("unique_patients"),
         F.count_distinct("stay_id").alias("unique_stays"),
         F.count_distinct("concept_id").alias("unique_concepts"),
         F.count_distinct("itemid").alias("unique_items"),
-        F.sum(F.when(F.col("is_outlier"), 1).otherwise(0)).alias("outliers"),
-        F.sum(F.when(F.col("error_flag"), 1).otherwise(0)).alias("errors"),
+        F.sum("is_outlier").alias("outliers"),
+        F.sum("error_flag").alias("errors"),
     )
 
 

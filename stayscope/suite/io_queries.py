@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from stayscope.functions.columns import round_to
-from stayscope.operators import discovery
+from stayscope.operators import discovery, validate
 from stayscope.session import shared_folder
 from stayscope.sources import catalogs, sinks, tables
 from stayscope.suite.policy_queries import simple
@@ -70,3 +70,30 @@ def _(x):
     sinks.append_rows(simple(x, 1), path)
     sinks.append_rows(simple(x, 1), path)
     return x.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("io4_layer_table", "SELECT subject_id, stay_id, concept_id, count(*) AS n, count(value) AS known FROM cv_ev GROUP BY 1, 2, 3")
+def _(x):
+    table = f"layer_{uuid.uuid4().hex}"
+    sinks.write_layer(events(x).withColumn("part", F.col("concept_id") % 8), table, partition_by="part")
+    return x.spark.table(table).groupBy("subject_id", "stay_id", "concept_id").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("known"))
+
+
+@query(
+    "io12_concept_map",
+    """SELECT itemid, max(arg_max) AS concept_name FROM (SELECT itemid, arg_max(label, itemid) AS arg_max FROM cv_matched GROUP BY 1) GROUP BY 1""",
+)
+def _(x):
+    v = x.views
+    items = discovery.match_terms(discovery.discover_all(v.chartevents, v.labevents, v.outputevents, v.inputevents, v.d_items, v.d_labitems), discovery.search_terms(x.spark))
+    each = items.groupBy("itemid").agg(F.max_by("label", "itemid").alias("label"))
+    concept = F.struct(F.col("itemid").cast("string").alias("source_itemid"), F.col("itemid").cast("int").alias("concept_id"), F.col("label").alias("concept_name"))
+    path = _path(x, "concepts")
+    each.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("itemid").cast("string"), concept)))).alias("value")).write.text(path)
+    return catalogs.load_concept_map(x.spark, path).select("itemid", "concept_name")
+
+
+@query("v12_schema", "SELECT column_name, TRUE AS present, (SELECT count(*) FROM cv_silver) AS rows FROM (VALUES ('subject_id'), ('stay_id'), ('charttime'), ('concept_id')) t(column_name)")
+def _(x):
+    found = validate.v_schema(x.silver, ["subject_id", "stay_id", "charttime", "concept_id"])
+    return found.select("column_name", "present", x.silver.agg(F.count(F.lit(1))).scalar().alias("rows"))

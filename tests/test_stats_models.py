@@ -85,6 +85,20 @@ def test_nearest_is_exact_across_blocks(spark, block):
         assert sorted(got[i]) == pytest.approx(list(want[i]), abs=1e-9)
 
 
+def test_near_neighbours_recall_and_linear_work(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
+    got = {}
+    for r in neighbours.near_neighbours(df, 3).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1)[:, :3]
+    assert np.mean([len(got[i] & set(want[i].tolist())) / 3 for i in range(4000)]) > 0.8
+    assert all(len(v) == 3 for v in got.values())
+
+
 def test_smote_balances_and_stays_between_neighbours(spark):
     rng = random.Random(2)
     rows = [(i, 1 if i % 9 == 0 else 0, rng.gauss(i % 9 == 0, 1), rng.random()) for i in range(200)]
