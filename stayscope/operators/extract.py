@@ -175,10 +175,15 @@ def eligible_stays(stays: DataFrame, min_hours: float | None = None, max_days: f
 
 
 def diagnosis_cohort(diagnoses: DataFrame, codes: Sequence[str], versions: Sequence[int] = (9, 10)) -> DataFrame:
-    """Distinct patient and admission with one of the codes in one of the code versions; dots are ignored."""
+    """Distinct patient and admission with one of the codes in one of the code versions; dots are ignored.
+
+    Without a column ``icd_version`` all codes are of one version.
+    """
+    if "icd_version" in diagnoses.columns:
+        diagnoses = diagnoses.filter(F.col("icd_version").isin(list(versions)))
     plain = [c.replace(".", "") for c in codes]
     return (
-        diagnoses.filter(F.col("icd_version").isin(list(versions)) & F.regexp_replace("icd_code", r"\.", "").isin(plain))
+        diagnoses.filter(F.regexp_replace("icd_code", r"\.", "").isin(plain))
         .select("subject_id", "hadm_id")
         .distinct()
     )

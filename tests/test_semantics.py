@@ -132,3 +132,10 @@ def test_close_values_fall_into_many_buckets(spark):
     sizes = [r["count"] for r in value_buckets(near, ["g"], "v").groupBy("_bucket", "_part").count().collect()]
     assert len(sizes) > 50 and max(sizes) < 3000
     assert exact_quantiles(near, ["g"], "v", {"m": 0.5}).first()["m"] == 1.7e9 + 49_999.5
+
+
+def test_cohort_asks_for_the_code_version(spark):
+    from stayscope.operators.extract import diagnosis_cohort
+
+    df = spark.createDataFrame([(1, 1, "J80", 10), (2, 2, "J80", 11), (3, 3, "J80", 9)], "subject_id int, hadm_id int, icd_code string, icd_version int")
+    assert sorted(r["subject_id"] for r in diagnosis_cohort(df, ["J80"]).collect()) == [1, 3]
