@@ -39,7 +39,7 @@ _SALTS = 16
 class Repeats:
     window: int = 50
     prefix: int = 12
-    group: int = 4_000
+    group: int = 20_000
 
 
 def _least_run(gram: np.ndarray, span: int) -> np.ndarray:
