@@ -109,6 +109,14 @@ def fit_rf(train: DataFrame, cols: Sequence[str], label: str, trees: int = 100,
     return Pipeline(stages=stages).fit(train)
 
 
+def linear_terms(model: PipelineModel, cols: Sequence[str]) -> tuple[dict[str, float], float]:
+    """Coefficient of each input and the intercept of a ``fit_lr`` model, for inputs before its scaler."""
+    _, scaler, regression = model.stages
+    slope = [b / s if s else 0.0 for b, s in zip(regression.coefficients.toArray(), scaler.std.toArray())]
+    shift = sum(b * m for b, m in zip(slope, scaler.mean.toArray()))
+    return {c: float(b) for c, b in zip(cols, slope)}, float(regression.intercept - shift)
+
+
 def with_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("p", vector_to_array("probability")[1])
 

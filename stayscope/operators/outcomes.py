@@ -48,13 +48,15 @@ def outcome_table(scores: DataFrame, stays: DataFrame, admissions: DataFrame, pa
     best = scores.groupBy("patient_id", "hadm_id", "config_name").agg(
         *[F.max(s).alias(s) for s in ("apache_ii_score", "sofa_score", "saps_ii_score", "oasis_score")]
     )
-    per_stay = stays.select("hadm_id", "intime", "outtime").join(admissions, "hadm_id")
+    unit = F.col("first_careunit") if "first_careunit" in stays.columns else F.lit(None).cast("string")
+    per_stay = stays.select("hadm_id", "intime", "outtime", unit.alias("first_careunit")).join(admissions, "hadm_id")
     death = F.col("deathtime")
     stay_facts = per_stay.groupBy("hadm_id").agg(
         F.max(F.col("hospital_expire_flag") == 1).alias("hospital_mortality"),
         F.max(is_true((death >= F.col("intime")) & (death <= F.col("outtime")))).alias("icu_mortality"),
         F.max(is_true(death <= add_hours("admittime", 720))).alias("day_30_mortality"),
         F.min("admission_type").alias("admission_type"),
+        F.min_by("first_careunit", "intime").alias("first_careunit"),
         (F.max(hours_between("admittime", "dischtime")) / 24).alias("los_hospital"),
         (F.sum(hours_between("intime", "outtime")) / 24).alias("los_icu"),
     )

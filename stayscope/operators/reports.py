@@ -248,16 +248,25 @@ def sofa_report(scores: DataFrame, high: int = 10) -> DataFrame:
 
 
 def gold_summary(scores: DataFrame) -> DataFrame:
-    """First-generation score table in one row."""
-    return scores.agg(
-        _rows().alias("total_windows"),
+    """First-generation score table in one row; windows are added up per stay first."""
+    per_stay = scores.groupBy("subject_id", "stay_id").agg(
+        _rows().alias("_rows"),
+        F.sum("sofa_total").alias("_sum"),
+        F.count("sofa_total").alias("_scored"),
+        F.min("sofa_total").alias("_min"),
+        F.max("sofa_total").alias("_max"),
+        count_if(F.col("disease_type") == "ARI").alias("_ari"),
+        count_if(F.col("disease_type") == "OTHER").alias("_other"),
+    )
+    return per_stay.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_windows"),
         F.count_distinct("subject_id").alias("unique_patients"),
         F.count_distinct("stay_id").alias("unique_stays"),
-        round_to(F.avg("sofa_total"), 4).alias("avg_sofa"),
-        F.min("sofa_total").alias("min_sofa"),
-        F.max("sofa_total").alias("max_sofa"),
-        count_if(F.col("disease_type") == "ARI").alias("ari_windows"),
-        count_if(F.col("disease_type") == "OTHER").alias("other_windows"),
+        round_to(F.sum("_sum") / F.nullif(F.sum("_scored"), F.lit(0)), 4).alias("avg_sofa"),
+        F.min("_min").alias("min_sofa"),
+        F.max("_max").alias("max_sofa"),
+        F.coalesce(F.sum("_ari"), F.lit(0)).alias("ari_windows"),
+        F.coalesce(F.sum("_other"), F.lit(0)).alias("other_windows"),
     )
 
 
@@ -344,8 +353,14 @@ def profile_table(df: DataFrame) -> DataFrame:
     """Rows, distinct ids and true flags, chosen from the schema."""
     ids = [f.name for f in df.schema if f.name.endswith("_id") or f.name == "itemid"]
     flags = [f.name for f in df.schema if f.dataType.typeName() == "boolean"]
-    return df.agg(
-        _rows().alias("row_count"),
+    each = key_counts(df, ids, **{f"true_{c}": F.when(F.col(c), 1).otherwise(0) for c in flags})
+    return each.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
         *[F.count_distinct(c).alias(f"distinct_{c}") for c in ids],
-        *[count_if(F.col(c)).alias(f"true_{c}") for c in flags],
+        *[F.coalesce(F.sum(f"true_{c}"), F.lit(0)).alias(f"true_{c}") for c in flags],
     )
+
+
+def sample_row(df: DataFrame, *keys: str) -> DataFrame:
+    """One row of a table as an example: that of the least keys."""
+    return df.orderBy(*keys).limit(1)

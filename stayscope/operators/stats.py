@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayscope.functions import bins as bins_
+from stayscope.functions.columns import count_if
 from stayscope.functions.policy_scores import SCORES
+from stayscope.functions.sofa_rules import severity
 from stayscope.functions.tails import normal_p, student_p
 from stayscope.operators.ordered import exact_quantiles, running_totals
 
+# Bands of the total score
+SEVERITIES = ["Normal", "Mild", "Moderate", "Severe", "Critical"]
+
 
 def joint_counts(pairs: DataFrame, scores: Sequence[str] = SCORES) -> DataFrame:
     """Rows per score type and pair of values, incomplete pairs left out."""
@@ -258,10 +263,16 @@ def mortality_report(df: DataFrame, by: str = "config_name") -> DataFrame:
 
 
 def compare_cohorts(df: DataFrame, label: str, score: str = "sofa_score", outcome: str = "hospital_mortality") -> DataFrame:
-    """Score distribution, outcome rate and length of stay per cohort."""
+    """Score distribution with quartiles, severity bands, outcome rate and length of stay per cohort.
+
+    Scores are small integers, so ``percentile`` keeps only a handful of values in memory.
+    """
+    band = severity(F.col(score))
+    quarter = {"score_q25": 0.25, "score_median": 0.5, "score_q75": 0.75}
     return df.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("score_mean"), F.stddev_samp(score).alias("score_std"),
-        F.percentile(score, F.lit(0.5)).alias("score_median"),
+        *[F.percentile(score, F.lit(q)).alias(name) for name, q in quarter.items()],
+        *[count_if(band == name).alias(f"n_{name.lower()}") for name in SEVERITIES],
         F.avg(F.col(outcome).cast("double")).alias("mortality_rate"), F.avg("los_icu").alias("los_icu_mean"),
     )
 

@@ -175,3 +175,17 @@ def _(x):
 )
 def _(x):
     return x.silver.select("bronze_id", F.to_json("quality_flags").alias("quality_flags"), "transformation_log")
+
+
+@query(
+    "f8_suspicious_flag",
+    """SELECT id AS bronze_id, coalesce(valuenum > 150, FALSE) AS suspicious, coalesce(valuenum > 150, FALSE) AS logged FROM cv_bronze b JOIN cv_cmap m USING (itemid)""",
+)
+def _(x):
+    # without the quality filter doubtful rows reach silver; a bound stands for the bronze flag
+    doubtful = x.bronze.withColumn("is_suspicious", F.col("valuenum") > 150).withColumnRenamed("id", "bronze_id")
+    mapped = quality.apply_concepts(doubtful, x.views.concept_map).filter("concept_id IS NOT NULL")
+    done = quality.build_flags(quality.flag_outliers_std(quality.convert_units(mapped, x.rules)))
+    return done.select(
+        "bronze_id", quality.has_flag("SUSPICIOUS_VALUE").alias("suspicious"), F.col("transformation_log").contains("suspicious in Bronze").alias("logged")
+    )

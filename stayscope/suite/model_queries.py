@@ -99,6 +99,24 @@ def _(x):
     return rounded(explain.importance(contributions(x)), "importance", digits=5)
 
 
+SCORE_COEFFICIENTS = {"cardiovascular_score": 0.5, "renal_score": -0.25, "hepatic_score": 0.75, "data_completeness_score": 1.5}
+
+
+@query(
+    "m17_score_importance",
+    "WITH i AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, avg(abs({b} * ({c} - m))) AS importance FROM cv_lab48, (SELECT avg({c}) AS m FROM cv_lab48)"
+        for c, b in SCORE_COEFFICIENTS.items()
+        if c != "data_completeness_score"
+    )
+    + ") SELECT feature, rnd(importance, 5) AS importance, rnd(importance / sum(importance) OVER (), 5) AS share FROM i",
+)
+def _(x):
+    given = explain.linear_contributions(labelled(x), SCORE_COEFFICIENTS, KEYS)
+    return rounded(explain.score_importance(given), "importance", "share", digits=5)
+
+
 CASE = "CASE WHEN p >= 0.5 AND y = 1 THEN 'true_positive' WHEN p >= 0.5 THEN 'false_positive' WHEN y = 1 THEN 'false_negative' ELSE 'true_negative' END"
 
 
@@ -234,3 +252,38 @@ def _(x):
     df = ready(x)
     sample = models.sample_rows(df.filter("split = 'test'"), 50, KEYS)  # explanations of 50 rows are the feature
     return explain.sampled_contributions(sample, fitted(x, "rf"), FITTED, KEYS, df.filter("split = 'train'"))
+
+
+def fitted_contributions(x):
+    """Of every row, under the fitted regression, against the training rows."""
+    df = ready(x)
+    return explain.linear_contributions(df, models.linear_terms(fitted(x, "lr"), FITTED)[0], KEYS, df.filter("split = 'train'"))
+
+
+@query("m15_fitted_contributions")
+def _(x):
+    return fitted_contributions(x)
+
+
+@query("m15_fitted_adds_up", "SELECT stay_id, charttime, TRUE AS adds_up FROM cv_split")
+def _(x):
+    # contributions and the model's value at the training means give the log odds of its own prediction
+    df, model = ready(x), fitted(x, "lr")
+    slope, intercept = models.linear_terms(model, FITTED)
+    p = models.with_probability(model.transform(df)).select(*KEYS, "p")
+    total = fitted_contributions(x).groupBy(*KEYS).agg(F.sum("contribution").alias("total"))
+    middle = sum((F.avg(F.col(c).cast("double")) * b for c, b in slope.items()), F.lit(intercept))
+    at_means = df.filter("split = 'train'").agg(middle.alias("m")).scalar()
+    odds = F.col("total") + at_means
+    return p.join(total, KEYS).select(*KEYS, (F.abs(1 / (1 + F.exp(-odds)) - F.col("p")) < 1e-9).alias("adds_up"))
+
+
+@query("m17_fitted_importance")
+def _(x):
+    return explain.importance(fitted_contributions(x))
+
+
+@query("m19_fitted_cases")
+def _(x):
+    pred = scored(x).filter("model = 'lr'")
+    return explain.case_contributions(fitted_contributions(x), explain.pick_cases(pred, Y, KEYS), KEYS)

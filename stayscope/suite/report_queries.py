@@ -239,6 +239,14 @@ def _(x):
     return reports.profile_table(x.bronze)
 
 
+@query(
+    "a36_l4_sample_row",
+    "SELECT id, subject_id, stay_id, itemid, charttime, label, valuenum, valueuom, source_table FROM cv_bronze ORDER BY id LIMIT 1",
+)
+def _(x):
+    return reports.sample_row(x.bronze, "id").select("id", "subject_id", "stay_id", "itemid", "charttime", "label", "valuenum", "valueuom", "source_table")
+
+
 @query(
     "a33_describe_scores",
     " UNION ALL ".join(

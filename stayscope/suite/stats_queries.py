@@ -196,6 +196,7 @@ VIEWS["cv_outcome"] = expand_rnd(
     """SELECT b.patient_id, b.hadm_id, b.config_name, b.apache_ii_score, b.sofa_score, b.saps_ii_score, b.oasis_score,
               a.hospital_expire_flag = 1 AS hospital_mortality, coalesce(a.deathtime BETWEEN s.intime AND s.outtime, FALSE) AS icu_mortality,
               coalesce(a.deathtime <= a.admittime + INTERVAL 30 DAY, FALSE) AS day_30_mortality, a.admission_type,
+              CASE s.stay_id % 3 WHEN 0 THEN 'MICU' WHEN 1 THEN 'SICU' ELSE 'CCU' END AS first_careunit,
               10.0::DOUBLE AS los_hospital, 10.0::DOUBLE AS los_icu, p.age, p.gender
        FROM (SELECT patient_id, hadm_id, config_name, max(apache_ii_score) AS apache_ii_score, max(sofa_score) AS sofa_score,
                     max(saps_ii_score) AS saps_ii_score, max(oasis_score) AS oasis_score FROM cv_both GROUP BY 1, 2, 3) b
@@ -205,7 +206,9 @@ VIEWS["cv_outcome"] = expand_rnd(
 
 def outcome(x):
     v = x.views
-    return x.written("outcomes", lambda: outcomes.outcome_table(both(x), v.stays, v.admissions, v.patients))
+    unit = F.when(F.col("stay_id") % 3 == 0, "MICU").when(F.col("stay_id") % 3 == 1, "SICU").otherwise("CCU")
+    stays = v.stays.withColumn("first_careunit", unit)
+    return x.written("outcomes", lambda: outcomes.outcome_table(both(x), stays, v.admissions, v.patients))
 
 
 @query("c32_j5_outcome_table", "SELECT * FROM cv_outcome")
@@ -265,6 +268,9 @@ def _(x):
     "s18_compare_cohorts",
     """SELECT CASE WHEN patient_id IN (SELECT subject_id FROM cv_cohort) THEN 'disease' ELSE 'control' END AS cohort, count(*) AS n,
               rnd(avg(sofa_score), 6) AS score_mean, rnd(stddev_samp(sofa_score), 6) AS score_std, quantile_cont(sofa_score, 0.5)::DOUBLE AS score_median,
+              quantile_cont(sofa_score, 0.25)::DOUBLE AS score_q25, quantile_cont(sofa_score, 0.75)::DOUBLE AS score_q75,
+              count(*) FILTER (sofa_score = 0) AS n_normal, count(*) FILTER (sofa_score BETWEEN 1 AND 6) AS n_mild, count(*) FILTER (sofa_score BETWEEN 7 AND 12) AS n_moderate,
+              count(*) FILTER (sofa_score BETWEEN 13 AND 18) AS n_severe, count(*) FILTER (sofa_score > 18) AS n_critical,
               rnd(avg(hospital_mortality::INT), 6) AS mortality_rate, rnd(avg(los_icu), 6) AS los_icu_mean FROM cv_outcome GROUP BY 1""",
 )
 def _(x):
