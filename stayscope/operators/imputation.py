@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayscope.operators.ordered import asof_backward, exact_quantiles
-from stayscope.session import written_table
 
 WINDOW = ["subject_id", "stay_id", "window_number"]
 
@@ -21,20 +20,35 @@ def window_aggregates(events: DataFrame, keys: Sequence[str] = WINDOW, value: st
     )
 
 
+def _by_rule(aggregation) -> Column:
+    return (
+        F.when(aggregation == "min", F.col("_min"))
+        .when(aggregation == "max", F.col("_max"))
+        .when(aggregation == "mean", F.col("_mean"))
+        .when(aggregation == "sum", F.col("_sum"))
+        .otherwise(F.col("_last"))
+    )
+
+
 def pick_parameters(aggregates: DataFrame, rules: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
     """One row per window and parameter with the aggregate its rule names.
 
     ``rules`` holds (parameter, concept_id, aggregation).
     """
-    chosen = (
-        F.when(F.col("aggregation") == "min", F.col("_min"))
-        .when(F.col("aggregation") == "max", F.col("_max"))
-        .when(F.col("aggregation") == "mean", F.col("_mean"))
-        .when(F.col("aggregation") == "sum", F.col("_sum"))
-        .otherwise(F.col("_last"))
+    chosen = _by_rule(F.col("aggregation")).alias("parameter_value")
+    return aggregates.join(rules, "concept_id").select(*keys, "parameter", chosen).filter(F.col("parameter_value").isNotNull())
+
+
+def wide_parameters(aggregates: DataFrame, rules: DataFrame, parameters: Sequence[str], keys: Sequence[str] = WINDOW) -> DataFrame:
+    """One row per window: the number of its ``measurements`` and one column per parameter."""
+    # the rules list the score's few parameters
+    wanted = rules.groupBy("concept_id").agg(F.collect_list(F.struct("parameter", "aggregation")).alias("_wanted"))
+    rows = aggregates.join(wanted, "concept_id", "left").select("*", F.posexplode_outer("_wanted").alias("_k", "_rule"))
+    once = F.when(F.coalesce("_k", F.lit(0)) == 0, F.col("rows"))
+    value = _by_rule(F.col("_rule.aggregation"))
+    return rows.groupBy(*keys).agg(
+        F.sum(once).alias("measurements"), *[F.max(F.when(F.col("_rule.parameter") == p, value)).alias(p) for p in parameters]
     )
-    picked = aggregates.join(rules, "concept_id").select(*keys, "parameter", chosen.alias("parameter_value"))
-    return picked.filter(F.col("parameter_value").isNotNull())
 
 
 def aggregate_parameters(events: DataFrame, rules: DataFrame, keys: Sequence[str] = WINDOW) -> DataFrame:
@@ -67,25 +81,32 @@ def impute_locf(missing: DataFrame, events: DataFrame, lookback_hours: float = 2
     ).drop("_at")
 
 
-def complete_parameters(windows: DataFrame, events: DataFrame, aggregated: DataFrame, rules: DataFrame, medians: DataFrame | None, lookback_hours: float | None = 24.0) -> DataFrame:
-    """Every window and parameter with value and ``imputed`` flag: own value, then
-    the last observation, then the population median."""
-    # the rules list the score's few parameters; each window is expanded by that fixed list
+def fill_parameters(
+    wide: DataFrame, events: DataFrame, rules: DataFrame, parameters: Sequence[str], medians: DataFrame | None = None, lookback_hours: float | None = 24.0
+) -> DataFrame:
+    """``wide`` with empty parameters filled by the last observation, then the population median.
+
+    ``imputed`` lists the filled parameters. Only what is empty is expanded to
+    rows of its own.
+    """
+    # the rules list the score's few parameters
     listed = rules.agg(F.collect_list(F.struct("parameter", "concept_id"))).scalar()
-    wanted = windows.select(*WINDOW, "window_start", F.inline(listed))
-    grid = written_table(wanted.join(aggregated, [*WINDOW, "parameter"], "left"), "window-parameters")
-    have = grid.filter(F.col("parameter_value").isNotNull()).withColumn("imputed", F.lit(False))
-    gaps = grid.filter(F.col("parameter_value").isNull()).drop("parameter_value")
+    empty = F.array_compact(F.array(*[F.when(F.col(p).isNull(), F.lit(p)) for p in parameters]))
+    open_ = wide.select(*WINDOW, "window_start", empty.alias("_empty"), listed.alias("_listed"))
+    gaps = open_.select(*WINDOW, "window_start", F.inline(F.filter("_listed", lambda r: F.array_contains(F.col("_empty"), r["parameter"]))))
+    asked = rules.select("concept_id").distinct()
     if lookback_hours is None:
         gaps = gaps.withColumn("locf_value", F.lit(None).cast("double"))
     else:
-        gaps = impute_locf(gaps, events, lookback_hours)
-    if medians is None:
-        filled = gaps.withColumn("parameter_value", F.col("locf_value"))
-    else:
-        # one row per concept of the rules
-        gaps = gaps.join(medians.select("concept_id", "median_value"), "concept_id", "left")
-        filled = gaps.withColumn("parameter_value", F.coalesce("locf_value", "median_value"))
-    filled = filled.withColumn("imputed", F.col("parameter_value").isNotNull())
-    shown = [*WINDOW, "parameter", "parameter_value", "imputed"]
-    return have.select(*shown).unionByName(filled.select(*shown))
+        gaps = impute_locf(gaps, events.join(asked, "concept_id", "left_semi"), lookback_hours)
+    value = F.col("locf_value")
+    if medians is not None:
+        # one entry per concept of the rules, looked up in place: a join would shuffle by a handful of hot concepts
+        each = medians.join(asked, "concept_id", "left_semi").groupBy("concept_id").agg(F.max("median_value").alias("m"))
+        gaps = gaps.withColumn("_medians", each.agg(F.map_from_entries(F.collect_list(F.struct("concept_id", "m")))).scalar())
+        value = F.coalesce(value, F.try_element_at("_medians", F.col("concept_id")))
+    found = gaps.groupBy(*WINDOW).agg(*[F.max(F.when(F.col("parameter") == p, value)).alias(f"_{p}") for p in parameters])
+    joined = wide.join(found, WINDOW, "left")
+    filled = F.array_compact(F.array(*[F.when(F.col(p).isNull() & F.col(f"_{p}").isNotNull(), F.lit(p)) for p in parameters]))
+    kept = [c for c in wide.columns if c not in parameters]
+    return joined.select(*kept, *[F.coalesce(p, f"_{p}").alias(p) for p in parameters], filled.alias("imputed"))

@@ -170,8 +170,8 @@ def asof_backward(
     """Latest event value in ``[probe - lookback, probe)`` for each probe row.
 
     Time is cut into buckets as wide as the look-back. The answer lies in the
-    probe's own bucket, found by a window, or in the bucket before it, for which
-    one pre-aggregated row is joined. Adds ``value`` and ``event_time`` columns,
+    probe's own bucket or in the bucket before it, whose latest event is one
+    pre-aggregated row; both are found by one window. Adds ``value`` and ``event_time`` columns,
     NULL where nothing was found. ``tie`` orders events of equal time.
     """
     by = list(by)
@@ -189,8 +189,10 @@ def asof_backward(
     left = probes.select(
         *by, bucket(probe_time).alias("_b"), F.col(probe_time).alias("_t"), F.struct(*rest).alias("_row")
     )
+    previous = known.groupBy(*by, (F.col("_b") + 1).alias("_b")).agg(F.max("_hit").alias("_hit")).withColumn("_t", F.col("_hit.t"))
+    no_row = F.lit(None).cast(left.schema["_row"].dataType)
     stacked = left.withColumn("_hit", F.lit(None).cast(known.schema["_hit"].dataType)).unionByName(
-        known.withColumn("_row", F.lit(None).cast(left.schema["_row"].dataType))
+        known.unionByName(previous).withColumn("_row", no_row)
     )
     # a probe sorts before events of the same instant, so those stay outside the open bound
     upto = (
@@ -198,12 +200,10 @@ def asof_backward(
         .orderBy("_t", F.col("_row").isNull(), F.col("_hit.tie").asc_nulls_first())
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    own = stacked.withColumn("_own", F.last("_hit", ignorenulls=True).over(upto)).filter(F.col("_row").isNotNull())
-    previous = known.groupBy(*by, "_b").agg(F.max("_hit").alias("_prev")).withColumn("_b", F.col("_b") + 1)
-    joined = join_null_safe(own, previous, [*by, "_b"], "left")
-    hit = F.coalesce(F.col("_own"), F.col("_prev"))
+    hit = F.last("_hit", ignorenulls=True).over(upto)
+    joined = stacked.withColumn("_hit", hit).filter(F.col("_row").isNotNull())
     in_reach = micros(F.col("_hit.t")) >= micros(F.col("_t")) - width
-    joined = joined.withColumn("_hit", hit).withColumn("_hit", F.when(in_reach, F.col("_hit")))
+    joined = joined.withColumn("_hit", F.when(in_reach, F.col("_hit")))
     return joined.select(
         *by,
         *[F.col(f"_row.{c}").alias(c) for c in rest],

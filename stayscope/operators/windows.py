@@ -69,15 +69,32 @@ def window_index(time: Column | str, start: Column | str, hours: int) -> Column:
     return (F.floor((micros(time) - micros(start)) / (hours * MICROS_PER_HOUR)) + 1).cast("int")
 
 
-def events_in_windows(windows: DataFrame, events: DataFrame, stays: DataFrame, hours: int = 24, outlier: str | None = "is_outlier") -> DataFrame:
-    """Events with ``start <= t < end`` of their stay's windows, by equi join on the window number."""
+def events_in_windows(events: DataFrame, stays: DataFrame, hours: int = 24, max_windows: int | None = None, outlier: str | None = "is_outlier") -> DataFrame:
+    """Events inside their stay with the stay's columns and the number of the half-open window that holds them.
+
+    Numbers follow from admission and discharge by arithmetic, so the windows
+    themselves are not joined; ``add_window_bounds`` names their start and end.
+    """
     rows = events
     if outlier and outlier in events.columns:
         rows = rows.filter(~F.col(outlier))
-    starts = stays.select(*STAY, F.col("intime").alias("_in"))
-    rows = rows.join(starts, STAY).withColumn("window_number", window_index("charttime", "_in", hours)).drop("_in")
-    spans = windows.select(*STAY, "window_number", "window_start", "window_end", "icu_day")
-    return rows.join(spans, [*STAY, "window_number"]).filter(F.col("charttime") < F.col("window_end"))
+    rows = rows.drop(*[c for c in stays.columns if c not in STAY]).join(stays, STAY)
+    inside = (F.col("charttime") >= F.col("intime")) & (F.col("charttime") < F.col("outtime"))
+    number = window_index("charttime", "intime", hours)
+    if max_windows is not None:
+        inside &= number <= max_windows
+    return rows.filter(inside).withColumn("window_number", number)
+
+
+def add_window_bounds(rows: DataFrame, hours: int = 24) -> DataFrame:
+    """Start, end and day of the numbered window, from the stay's admission and discharge."""
+    width = hours * MICROS_PER_HOUR
+    begin = micros("intime") + (F.col("window_number") - 1).cast("bigint") * width
+    return (
+        rows.withColumn("window_start", from_micros(begin))
+        .withColumn("window_end", from_micros(F.least(begin + width, micros("outtime"))))
+        .withColumn("icu_day", F.col("window_number"))
+    )
 
 
 def policy_windows(df: DataFrame, hours: int, by: Sequence[str] = STAY, time: str = "charttime") -> DataFrame:
@@ -125,6 +142,6 @@ def latest_map(condition: Column) -> Column:
 
 
 __all__ = [
-    "daily_windows", "stay_windows", "window_index", "events_in_windows", "policy_windows",
+    "daily_windows", "stay_windows", "window_index", "events_in_windows", "add_window_bounds", "policy_windows",
     "latest_by_concept", "latest", "latest_map", "join_null_safe",
 ]

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayscope.functions import sofa_rules as rules_
-from stayscope.functions.columns import is_true
 from stayscope.operators.extract import eligible_stays, label_cohort
-from stayscope.operators.imputation import WINDOW, complete_parameters, pick_parameters, population_medians, window_aggregates
-from stayscope.operators.windows import events_in_windows, stay_windows
+from stayscope.operators.imputation import fill_parameters, population_medians, wide_parameters, window_aggregates
+from stayscope.operators.windows import add_window_bounds, events_in_windows
 from stayscope.session import written_table
 
 PARAMETERS = [
@@ -96,25 +95,20 @@ def windowed_scores(events: DataFrame, stays: DataFrame, rules: DataFrame, cohor
     whose medians fill gaps and who carry the cohort label.
     """
     eligible = eligible_stays(stays, settings.min_stay_hours, settings.max_stay_days).drop("duration_hours")
-    windows = stay_windows(eligible, settings.hours, settings.max_windows)
-    placed = events_in_windows(windows, events, stays, settings.hours)
-    # small beside the events: one row per window and concept, read by the gate and by the rules
-    aggregates = written_table(window_aggregates(placed), "window-aggregates")
-    sizes = aggregates.groupBy(*WINDOW).agg(F.sum("rows").alias("measurements"))
-    kept = windows.join(sizes.filter(F.col("measurements") >= settings.min_measurements), WINDOW)
+    placed = events_in_windows(events, eligible, settings.hours, settings.max_windows)
+    # a stay's columns follow from its ids; as keys they need no join later
+    keys = [*eligible.columns, "window_number"]
+    wide = wide_parameters(window_aggregates(placed, keys), rules, PARAMETERS, keys).filter(F.col("measurements") >= settings.min_measurements)
+    # one row per window, read for what is empty and for the rest
+    kept = written_table(add_window_bounds(wide, settings.hours).drop("outtime"), "windows")
     medians = population_medians(events, cohort, settings.median_min_count) if settings.use_medians else None
-    aggregated = pick_parameters(aggregates, rules)
-    complete = complete_parameters(kept, events, aggregated, rules, medians, settings.lookback_hours)
-    wide = complete.groupBy(*WINDOW).agg(
-        *[F.max(F.when(F.col("parameter") == p, F.col("parameter_value"))).alias(p) for p in PARAMETERS],
-        *[
-            is_true(F.bool_or(F.when(F.col("parameter") == p, F.col("imputed")))).alias(flag)
-            for p, flag in FLAGS.items()
-        ],
-    )
-    filled = kept.join(wide, WINDOW).withColumns(
-        {"is_mechanically_ventilated": F.lit(False), "pao2_fio2_imputed": F.lit(False)}
-    )
+    complete = fill_parameters(kept, events, rules, PARAMETERS, medians, settings.lookback_hours)
+    filled = complete.withColumns(
+        {
+            **{flag: F.array_contains("imputed", p) for p, flag in FLAGS.items()},
+            "is_mechanically_ventilated": F.lit(False), "pao2_fio2_imputed": F.lit(False),
+        }
+    ).drop("imputed")
     scored = score_windows(oxygen_ratios(filled), settings.use_doses)
     if settings.max_missing is not None:
         scored = few_missing(scored, settings.max_missing)

@@ -110,7 +110,7 @@ def stay_windows(x):
 
 
 def placed(x):
-    return windows.events_in_windows(stay_windows(x), events(x), x.views.stays)
+    return windows.add_window_bounds(windows.events_in_windows(events(x), extract.eligible_stays(x.views.stays).drop("duration_hours")))
 
 
 # The silver of this generation may still hold outliers; rates above a bound of their concept stand for them
@@ -129,7 +129,7 @@ def marked(x):
        WHERE NOT e.is_outlier""",
 )
 def _(x):
-    return windows.events_in_windows(stay_windows(x), marked(x), x.views.stays).select("bronze_id", "subject_id", "stay_id", "window_number")
+    return windows.events_in_windows(marked(x), x.views.stays).select("bronze_id", "subject_id", "stay_id", "window_number")
 
 
 @query(
