@@ -63,8 +63,7 @@ def population_medians(events: DataFrame, cohort: DataFrame | None = None, min_c
     if cohort is not None:
         rows = rows.join(cohort.select("subject_id").distinct(), "subject_id", "left_semi")
     keys = ["concept_id", "concept_name"]
-    enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_count)
-    return exact_quantiles(rows, keys, value, {"median_value": 0.5}).join(enough.drop("_n"), keys, "left_semi")
+    return exact_quantiles(rows, keys, value, {"median_value": 0.5}, count="_n").filter(F.col("_n") >= min_count).drop("_n")
 
 
 def impute_locf(missing: DataFrame, events: DataFrame, lookback_hours: float = 24.0, value: str = "value") -> DataFrame:

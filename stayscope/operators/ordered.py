@@ -75,8 +75,8 @@ def running_totals(hist: DataFrame, by: Sequence[str], value: str, weights: Sequ
     )
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column per name in ``probs``."""
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], count: str | None = None) -> DataFrame:
+    """Linear-interpolated quantiles per group, one column per name in ``probs``; ``count`` names one for the number of values."""
     by = list(by)
     hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     placed = running_totals(hist, by, value, ["n"])
@@ -93,9 +93,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
             at(F.ceil(position)).alias(f"_{name}_hi"),
             F.max(position - F.floor(position)).alias(f"_{name}_w"),
         ]
-    picked = placed.groupBy(*by).agg(*parts)
+    picked = placed.groupBy(*by).agg(*parts, F.max("n_total").alias("_count"))
     return picked.select(
         *by,
+        *([F.col("_count").alias(count)] if count else []),
         *[
             (F.col(f"_{k}_lo") + (F.col(f"_{k}_hi") - F.col(f"_{k}_lo")) * F.col(f"_{k}_w")).alias(k)
             for k in probs

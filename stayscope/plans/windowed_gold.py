@@ -101,7 +101,8 @@ def windowed_scores(events: DataFrame, stays: DataFrame, rules: DataFrame, cohor
     wide = wide_parameters(window_aggregates(placed, keys), rules, PARAMETERS, keys).filter(F.col("measurements") >= settings.min_measurements)
     # one row per window, read for what is empty and for the rest
     kept = written_table(add_window_bounds(wide, settings.hours).drop("outtime"), "windows")
-    medians = population_medians(events, cohort, settings.median_min_count) if settings.use_medians else None
+    # a row per concept, which the filling plan would otherwise work out once for every parameter
+    medians = written_table(population_medians(events, cohort, settings.median_min_count), "medians") if settings.use_medians else None
     complete = fill_parameters(kept, events, rules, PARAMETERS, medians, settings.lookback_hours)
     filled = complete.withColumns(
         {
