@@ -13,8 +13,9 @@ measures before it broadcasts one.
 
 Defined cases: null or empty texts have no words; an item of fewer words than
 the window, but not none, is one window; items without words match nothing; rows
-of one document id are each judged; items of one id count once, items without an
-id mark words but are not listed; repeated windows count once.
+of one document id are each judged, and so are documents without an id; items of
+one id count once, items without an id mark words but are not listed; repeated
+windows count once.
 """
 
 from __future__ import annotations
@@ -189,7 +190,8 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int
     window is met where all its words lie within ``slop`` words more than it has,
     in any order. ``spans`` are (item_id, first word, past last word).
     """
-    index, path = build_index(docs.filter("doc_id IS NOT NULL").select("doc_id", "text"))
+    # the text's hash tells documents without an id apart
+    index, path = build_index(docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text"))
     windows = query_windows(items, width)
     found = candidates(index, windows, slop).join(windows, "window").select("doc_id", "text_key", F.struct("item_id", "start", "terms").alias("match"))
     per_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("match").alias("matches"))
@@ -197,7 +199,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int
     per_doc = written_table(per_doc, "window-candidates")
     delete_path(docs.sparkSession, path)
     inner = docs.select("doc_id", "text", *rest)
-    both = inner.join(per_doc, (inner["doc_id"] == per_doc["_id"]) & (F.xxhash64(inner["text"]) == per_doc["_key"]), "left").drop("_id", "_key")
+    both = inner.join(per_doc, (F.coalesce(inner["doc_id"], F.lit(0)) == per_doc["_id"]) & (F.xxhash64(inner["text"]) == per_doc["_key"]), "left").drop("_id", "_key")
     kept = inner.columns
     schema = with_fields(inner.schema, n_words=LongType(), n_hit=LongType(), items=ArrayType(StringType()), spans=ArrayType(_SPAN))
 

@@ -163,6 +163,8 @@ def test_op3_odd(spark, odd, none):
     assert (hit["n_words"], hit["n_hit"], hit["items"]) == (10, 5, ["a"]) and len(hit["spans"]) == 2
     assert got[8, ODD[8][1]]["n_hit"] == 2 and got[8, ODD[8][1]]["items"] == []
     assert got[1, None]["n_words"] == 0 and len(got) == len(set((i, t) for i, t, _ in ODD))
+    unnamed = decontamination.contamination(odd, items.unionByName(spark.createDataFrame([("e", "no ID at")], items.schema)), 4).filter("doc_id IS NULL").first()
+    assert (unnamed["n_words"], unnamed["n_hit"], unnamed["items"]) == (4, 3, ["e"])
     assert decontamination.contamination_report(none, items).count() == 0
     assert decontamination.contamination_report(odd, items.filter("false")).filter("n_hit > 0").count() == 0
     assert decontamination.drop_contaminated(odd, items, 4).columns == odd.columns
