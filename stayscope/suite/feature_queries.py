@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stayscope.functions.bins import cut, equal_width_right_closed
 from stayscope.functions.columns import round_to
 from stayscope.operators import features, models, outcomes, stats
-from stayscope.suite.registry import query
+from stayscope.suite.registry import ORACLE, query
 from stayscope.suite.sql_views import VIEWS
 from stayscope.suite.stats_queries import rounded
 
@@ -147,11 +147,27 @@ def _(x):
     return built(x).select("stay_id", "charttime", "admission_phase_encoded", "aki_stage_encoded", *[f"dominant_organ_failure_{c}" for c in COMP], "dominant_organ_failure_nan")
 
 
-@query("p17_selected_features")
+MEASURED = list(features.NORMAL)
+DIGITS = {"sofa_time_interaction": 5, "hours_from_admission": 6, "data_completeness_score": 6}
+LABELLED = [*COMP, "total_sofa_score", "hours_from_admission", "data_completeness_score", "target_mortality_48h"]
+PARTS = ["m1_temporal_features", "m2_score_features", "m3_clinical_features", "m4_interactions", "m5_handle_missing", "m6_encode"]
+ENCODED = ["admission_phase_encoded", "aki_stage_encoded", *[f"dominant_organ_failure_{c}" for c in (*COMP, "nan")]]
+
+
+# The columns of the SQL of each step; marks set after filling find nothing missing
+@query(
+    "p17_selected_features",
+    f"SELECT {KEY}, {', '.join(f'rnd(l.{c}, {DIGITS[c]}) AS {c}' if c in DIGITS else f'l.{c}' for c in LABELLED)}, "
+    + ", ".join(f"m5.{c}" if c in MEASURED else c for c in features.WANTED if c not in LABELLED)
+    + f", {', '.join(f'0 AS {c}_missing' for c in features.WATCHED)}, {', '.join(ENCODED)} FROM cv_lab48 l "
+    + " ".join(f"JOIN ({ORACLE[part]}) {part[:2]} USING (stay_id, charttime)" for part in PARTS),
+)
 def _(x):
     df = built(x)
     cols = features.select_features(df)
-    return df.select("stay_id", "charttime", *cols, "target_mortality_48h")
+    picked = df.select("stay_id", "charttime", *cols, "target_mortality_48h")
+    picked = rounded(picked, *[c for c in MEASURED if c in cols], "hours_from_admission", "data_completeness_score", "completeness_sofa_interaction")
+    return rounded(picked, "sofa_time_interaction", digits=5)
 
 
 ORDER = "prediction_timepoint, subject_id, stay_id, charttime"
