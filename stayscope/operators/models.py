@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayscope.operators.neighbours import near_neighbours
+from stayscope.operators.neighbours import nearest
 from stayscope.operators.ordered import exact_quantiles, global_positions, running_totals
 from stayscope.session import written_table
 
@@ -53,7 +53,7 @@ def scale_columns(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataF
 
 
 def smote(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], k: int = 3, seed: int = 42) -> DataFrame:
-    """Oversample the minority class to balance by moving towards near neighbours.
+    """Oversample the minority class to balance by moving towards nearest neighbours.
 
     Every minority row serves equally often, the first rows by position once
     more, so that the classes end up exactly equal. Neighbour and step are picked
@@ -73,7 +73,7 @@ def smote(df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str], k
     points = written_table(
         numbered.select("id", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), F.struct(*df.columns).alias("row")), "minority"
     )
-    near = near_neighbours(points, k).select("id", "other", "position")
+    near = nearest(points, k).select("id", "other", "position")
     each, extra = divmod(need, have)
     copies = points.withColumn("_n", F.when(F.col("id") <= extra, each + 1).otherwise(each)).filter("_n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))

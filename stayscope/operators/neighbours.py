@@ -1,10 +1,15 @@
-"""Nearest neighbours: exact in bounded blocks, or near ones in linear work.
-
-Rows are numbered along one projection and cut into blocks of fixed size, so no
-block grows with ties or skew. Each block first searches itself, which bounds
-the distance of every row's k-th neighbour. Since two points are at least as far
-apart as their projections, only blocks within that bound have to meet; each
-meeting returns k candidates per row, never all pairs.
+"""Exact nearest neighbours in bounded blocks.
+
+Equal points are collapsed first: a group of them is one point with its ``k + 1``
+least ids, so a hot point costs no more than its rows. The others are turned to the
+axes of greatest spread and dealt to the leaves of a k-d tree over a sample; leaves
+are cut by row numbers, so no block grows with skew. Each block first searches
+itself, which bounds the distance of every row's k-th neighbour. A row then meets
+just those blocks whose bounding box is within its own bound, so nothing is missed.
+
+Work is near linear while few boxes are within the bound; in many dimensions of
+equal spread nearly all are, and it becomes quadratic. The bounding boxes (one of
+``block_rows`` rows) pass the driver. Coordinates have to be finite.
 """
 
 from __future__ import annotations
@@ -18,56 +23,120 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayscope.operators.ordered import global_positions
+from stayscope.session import written_table
 
 CANDIDATES = "id long, other long, d double"
+#: Rows that place the cuts of the tree; what they miss only makes blocks less even
+_SAMPLE = 20_000
+_LEAF_SAMPLE = 16
 
 
 def _top(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int) -> pd.DataFrame:
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2.0 * x @ y.T, 0.0))
-    d[ids[:, None] == others[None, :]] = np.inf
-    take = min(k, d.shape[1])
-    pick = np.argpartition(d, take - 1, axis=1)[:, :take]
-    # exact distances for the picked ones; the fast formula only preselects
-    exact = np.sqrt(((x[:, None, :] - y[pick]) ** 2).sum(2))
-    out = pd.DataFrame({"id": np.repeat(ids, take), "other": others[pick].ravel(), "d": exact.ravel()})
-    return out[out["id"] != out["other"]]
-
-
-def nearest(points: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
-    """(id, other, d, position) of the ``k`` nearest other rows; ``points`` holds id and array ``x``."""
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest of ``others`` by (distance, id), never a row itself."""
+    found = [pd.DataFrame({"id": np.array([], "int64"), "other": np.array([], "int64"), "d": np.array([], "float64")})]
+    centre = y.mean(axis=0)
+    yc = y - centre
+    y2 = (yc**2).sum(1)
+    for a in range(0, len(ids), 256):
+        xc = x[a : a + 256] - centre
+        d = (xc**2).sum(1)[:, None] + y2[None, :] - 2.0 * xc @ yc.T
+        own = ids[a : a + 256, None] == others[None, :]
+        d[own] = np.inf
+        take = min(k, d.shape[1])
+        # the fast formula only preselects, with room for its rounding; exact distances decide
+        room = 1e-10 * ((xc**2).sum(1) + y2.max())
+        row, col = np.nonzero((d <= (np.partition(d, take - 1, axis=1)[:, take - 1] + room)[:, None]) & ~own)
+        exact = np.sqrt(((x[a + row] - y[col]) ** 2).sum(1))
+        order = np.lexsort((others[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        first = np.searchsorted(row, row)
+        best = np.arange(len(row)) - first < k
+        found.append(pd.DataFrame({"id": ids[a + row[best]], "other": others[col[best]], "d": exact[best]}))
+    return pd.concat(found, ignore_index=True)
+
+
+def _tree(x: np.ndarray, depth: int) -> list[tuple[int, float]]:
+    """Axis and cut of each inner node of a complete tree, by levels."""
+    cuts, level = [], [x]
+    for _ in range(depth):
+        below = []
+        for part in level:
+            axis = int(part.var(axis=0).argmax()) if len(part) else 0
+            cut = float(np.median(part[:, axis])) if len(part) else 0.0
+            cuts.append((axis, cut))
+            below += [part[part[:, axis] < cut], part[part[:, axis] >= cut]]
+        level = below
+    return cuts
+
+
+def _distinct_nearest(points: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(id, other, d) with the ``k`` nearest of each row, for points of which no two are equal."""
+    sample = [r["x"] for r in points.orderBy(F.xxhash64("id"), "id").select("x").limit(_SAMPLE).collect()]
+    sample = np.array(sample, float).reshape(len(sample), -1)
+    if not sample.size:
+        return points.sparkSession.createDataFrame([], CANDIDATES)
+    turn = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(sample.shape[1], -1))[1][:, ::-1] if len(sample) > 1 else np.eye(sample.shape[1])
+    blocks_wanted = min(points.count() / block_rows, len(sample) / _LEAF_SAMPLE)
+    depth = max(0, int(np.ceil(np.log2(max(blocks_wanted, 1)))))
+    axes, cuts = (np.array(v) for v in zip(*_tree(sample @ turn, depth))) if depth else (np.zeros(0, int), np.zeros(0))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, 1))
-            w = np.sin(12.9898 * np.arange(1, x.shape[1] + 1))
-            yield b.assign(p=x @ (w / np.linalg.norm(w)))
-
-    schema = points.select("id", "x").schema.add("p", "double")
-    placed = global_positions(points.select("id", "x").mapInPandas(project, schema), ["p", "id"])
-    blocks = placed.withColumn("block", F.floor((F.col("position") - 1) / block_rows).cast("int"))
+            if not len(b):
+                continue
+            z = np.stack(b["x"].to_numpy()) @ turn
+            node = np.zeros(len(b), np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (z[np.arange(len(b)), axes[node]] >= cuts[node])
+            yield b.assign(leaf=node - (2**depth - 1), p=z[:, 0])
+
+    schema = points.select("id", "x").schema.add("leaf", "long").add("p", "double")
+    placed = global_positions(points.select("id", "x").mapInPandas(place, schema), ["leaf", "p", "id"])
+    leaves = placed.groupBy("leaf").agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    parts = F.ceil(F.col("_rows") / block_rows)
+    # a leaf is one row of the small side, and there are no more of them than sampled rows
+    cut = placed.join(F.broadcast(leaves), "leaf").withColumn("part", F.floor((F.col("position") - F.col("_first")) * parts / F.col("_rows")))
+    blocks = written_table(cut.select((F.col("leaf") * (1 << 32) + F.col("part")).alias("block"), "id", "x"), "blocks")
 
     def inside(b: pd.DataFrame) -> pd.DataFrame:
         x, ids = np.stack(b["x"].to_numpy()), b["id"].to_numpy()
         return _top(ids, x, ids, x, k)
 
-    own = blocks.groupBy("block").applyInPandas(inside, CANDIDATES)
+    def box(b: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(b["x"].to_numpy()) @ turn
+        return pd.DataFrame({"block": b["block"].iloc[:1].to_numpy(), "lo": [z.min(axis=0)], "hi": [z.max(axis=0)]})
+
+    own = written_table(blocks.groupBy("block").applyInPandas(inside, CANDIDATES), "inside")
+    boxes = blocks.groupBy("block").applyInPandas(box, "block long, lo array<double>, hi array<double>").orderBy("block").collect()
+    if len(boxes) == 1:
+        return own
+    names = np.array([r["block"] for r in boxes])
+    lo, hi = np.array([r["lo"] for r in boxes], float), np.array([r["hi"] for r in boxes], float)
+    slack = 1e-9 * max(np.abs(lo).max(), np.abs(hi).max())
+    shared = points.sparkSession.sparkContext.broadcast((names, lo - slack, hi + slack))
     kth = own.groupBy("id").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("found"))
     # fewer than k found means the block is too small to bound anything
     bounded = blocks.join(kth, "id", "left").withColumn("far", F.when(F.col("found") >= k, F.col("far")).otherwise(F.lit(float("inf"))))
-    spans = bounded.groupBy("block").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("far").alias("far"))
-    # one entry per block of `block_rows` rows
-    ends = spans.agg(F.array_sort(F.collect_list(F.struct("block", "lo", "hi")))).scalar()
-    reach = spans.withColumn("_all", ends).withColumn(
-        "meets",
-        F.transform(
-            F.filter("_all", lambda s: (s["block"] != F.col("block")) & (s["lo"] <= F.col("hi") + F.col("far")) & (s["hi"] >= F.col("lo") - F.col("far"))),
-            lambda s: s["block"],
-        ),
-    )
-    meetings = reach.select(F.col("block").alias("a"), F.explode("meets").alias("b"))
-    left = blocks.select(F.col("block").alias("a"), "id", "x").join(meetings, "a")
+
+    def reach(b: pd.DataFrame) -> pd.DataFrame:
+        names, lo, hi = shared.value
+        here, far, ids = b["block"].iloc[0], b["far"].to_numpy() * (1 + 1e-9), b["id"].to_numpy()
+        z = np.stack(b["x"].to_numpy()) @ turn
+        gap = np.maximum(np.maximum(lo - z.max(axis=0), z.min(axis=0) - hi), 0.0)
+        near = np.flatnonzero((np.sqrt((gap**2).sum(1)) <= far.max()) & (names != here))
+        out_id, out_block = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in near:
+            gap = np.maximum(np.maximum(lo[i] - z, z - hi[i]), 0.0)
+            rows = np.sqrt((gap**2).sum(1)) <= far
+            out_id.append(ids[rows])
+            out_block.append(np.full(rows.sum(), names[i]))
+        out_id, out_block = np.concatenate(out_id), np.concatenate(out_block)
+        return pd.DataFrame({"a": np.full(len(out_id), here), "b": out_block, "id": out_id})
+
+    meetings = written_table(bounded.select("block", "id", "x", "far").groupBy("block").applyInPandas(reach, "a long, b long, id long"), "meetings")
+    left = meetings.join(blocks.select("id", "x"), "id")
     # all columns renamed: Spark would take them for the left side's otherwise
-    partners = meetings.select(F.col("a").alias("a2"), F.col("b").alias("b2"))
+    partners = meetings.select(F.col("a").alias("a2"), F.col("b").alias("b2")).distinct()
     right = blocks.select(F.col("block").alias("b2"), F.col("id").alias("id2"), F.col("x").alias("x2")).join(partners, "b2")
 
     def across(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -77,56 +146,30 @@ def nearest(points: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
 
     other = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInPandas(across, CANDIDATES)
     order = W.partitionBy("id").orderBy("d", "other")
-    return own.unionByName(other).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    return own.unionByName(other).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
 
 
-def near_neighbours(points: DataFrame, k: int, tables: int = 16, width: int = 64) -> DataFrame:
-    """(id, other, d, position) of about the ``k`` nearest other rows, found in linear work.
+def nearest(points: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
+    """(id, other, d, position) of the ``k`` nearest other rows, of all where there are fewer; the least id on ties.
 
-    Rows are sorted along ``tables`` seeded directions; in each order a row meets
-    the ``width`` rows on either side of it, and its ``k`` best go on. No row
-    meets more than ``2 * tables * width`` others, whatever the number of rows;
-    the price is that a near row which is far in every order is missed.
-    Distances are exact. Rows at the edge of a partition meet those on one side.
+    ``points`` holds id, unique, and array ``x``. The same for any partitioning.
     """
-    spark = points.sparkSession
-    size = points.select(F.max(F.size("x"))).first()[0] or 1
-    rng = np.random.Generator(np.random.PCG64(17))
-    lines = rng.normal(size=(tables, size))
-    directions = F.array(*[F.array(*[F.lit(float(v)) for v in w]) for w in lines])
-    spread = points.select("id", "x", F.posexplode(directions).alias("t", "w"))
-    placed = spread.select("t", F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("p"), "id", "x")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartitionByRange(parts, "t", "p", "id").sortWithinPartitions("t", "p", "id").select("t", "id", "x")
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            if not len(b):
-                continue
-            t, ids, x = b["t"].to_numpy(), b["id"].to_numpy(), np.stack(b["x"].to_numpy())
-            if held is not None:
-                t, ids, x = np.r_[held[0], t], np.r_[held[1], ids], np.vstack([held[2], x])
-            n, best = len(ids), []
-            for o in range(1, min(width, n - 1) + 1):
-                same = t[o:] == t[:-o]
-                d = np.sqrt(((x[o:] - x[:-o]) ** 2).sum(1))
-                d[~same] = np.inf
-                best.append((o, d))
-            # the best k of each row on both sides
-            dist, other = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
-            for o, d in best:
-                for here, there, values in ((slice(0, n - o), slice(o, n), d), (slice(o, n), slice(0, n - o), d)):
-                    worst = dist[here].argmax(axis=1)
-                    rows = np.arange(n)[here]
-                    better = values < dist[rows, worst]
-                    dist[rows[better], worst[better]] = values[better]
-                    other[rows[better], worst[better]] = ids[there][better]
-            found = np.isfinite(dist).ravel()
-            yield pd.DataFrame({"id": np.repeat(ids, k)[found], "other": other.ravel()[found], "d": dist.ravel()[found]})
-            held = (t[-width:], ids[-width:], x[-width:])
-
-    # a pair that met in several orders, or again after a batch ended, counts once
-    met = ordered.mapInPandas(meet, CANDIDATES).groupBy("id", "other").agg(F.min("d").alias("d"))
-    order = W.partitionBy("id").orderBy("d", "other")
-    return met.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+    same = written_table(points.groupBy("x").agg(F.min("id").alias("id")), "distinct-points")
+    near = _distinct_nearest(same, k, block_rows)
+    members = points.select("id", "x").join(same.select(F.col("id").alias("point"), "x"), "x").select("id", "point")
+    # of equal points k + 1 are enough: one may be the row itself
+    least = W.partitionBy("point").orderBy("id")
+    firsts = written_table(members.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= k + 1).drop("_n"), "equal-points")
+    there = firsts.select(F.col("point").alias("_there"), F.col("id").alias("other"))
+    met = near.withColumnRenamed("id", "point").withColumnRenamed("other", "_there").join(there, "_there").select("point", "other", "d")
+    met = met.unionByName(firsts.select("point", F.col("id").alias("other"), F.lit(0.0).alias("d")))
+    # k near points of k + 1 ids each, and its own
+    listed = met.groupBy("point").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k + 1).alias("_near"))
+    others = F.slice(F.filter("_near", lambda s: s["other"] != F.col("id")), 1, k)
+    each = members.join(listed, "point").select("id", F.posexplode(others).alias("_at", "_s"))
+    return each.select("id", F.col("_s.other").alias("other"), F.col("_s.d").alias("d"), (F.col("_at") + 1).alias("position"))
+
+
+def near_neighbours(points: DataFrame, k: int) -> DataFrame:
+    """The same as ``nearest``: all of them, none lost to density or to the edges of partitions."""
+    return nearest(points, k)

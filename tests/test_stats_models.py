@@ -99,6 +99,23 @@ def test_near_neighbours_recall_and_linear_work(spark):
     assert all(len(v) == 3 for v in got.values())
 
 
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_near_neighbours_miss_nothing_as_rows_grow_denser(spark, n):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 8))
+    x[:300] = x[0]  # equal points have each other, by least id
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, x array<double>")
+    got = neighbours.near_neighbours(df, 3).toPandas().sort_values(["id", "position"])
+    assert len(got) == 3 * n
+    found = got["other"].to_numpy().reshape(n, 3)
+    assert found[0].tolist() == [1, 2, 3] and found[299].tolist() == [0, 1, 2]
+    asked = np.r_[0:20, rng.choice(np.arange(300, n), 500, replace=False)]
+    d = ((x[asked][:, None] - x[None]) ** 2).sum(2)
+    d[np.arange(len(asked)), asked] = np.inf
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    assert found[asked].tolist() == want.tolist()
+
+
 def test_smote_balances_and_stays_between_neighbours(spark):
     rng = random.Random(2)
     rows = [(i, 1 if i % 9 == 0 else 0, rng.gauss(i % 9 == 0, 1), rng.random()) for i in range(200)]
