@@ -126,6 +126,23 @@ def test_smote_balances_and_stays_between_neighbours(spark):
     assert made["a"].between(real["a"].min(), real["a"].max()).all()
 
 
+def test_smote_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, int(i < 10), rng.random(), rng.random()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id0 int, y int, a double, b double")
+    made = {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = models.smote(df, ["a", "b"], "y", ["id0"]).toPandas()
+            assert (out["y"] == 1).sum() == (out["y"] == 0).sum() == 50
+            made[parts] = sorted(map(tuple, out[out["synthetic"]][["id0", "a", "b"]].to_numpy().tolist()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[8] == made[200]
+
+
 def test_sampled_contributions_add_up(spark):
     rng = random.Random(6)
     rows = [(i, rng.random(), rng.random(), 0) for i in range(120)]
