@@ -19,6 +19,8 @@ ids are one document; null ids name no component unless nothing else does.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,13 +62,14 @@ def fingerprint_array(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row of (doc_id, text), the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keys: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) of every row of (doc_id, text), the fingerprint's bits as a long; long columns ``keys`` pass through."""
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([part.column("doc_id"), pa.array(fingerprint_array(text_bytes(part), shingle).view(np.int64))], ["doc_id", "fp"])
+        fp = pa.array(fingerprint_array(text_bytes(part), shingle).view(np.int64))
+        return pa.record_batch([part.column("doc_id"), fp, *map(part.column, keys)], ["doc_id", "fp", *keys])
 
-    return map_slices(docs.select("doc_id", "text"), rows, "doc_id long, fp long")
+    return map_slices(docs.select("doc_id", "text", *keys), rows, ", ".join(["doc_id long, fp long", *(f"{c} long" for c in keys)]))
 
 
 def _forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -176,18 +179,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def _with_root(each: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints of (doc_id, fp): least id of each and its component."""
+    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(nodes.select("fp"), distance, bucket))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, bucket: int = 20_000) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of (doc_id, text); one row per input row."""
     each = written_table(fingerprints(docs, shingle), "fingerprints")
-    nodes = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), distance, bucket))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = _with_root(each, distance, bucket)
     group = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(group, "root").select("fp", "component_id")
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """``docs`` with one document of each component: the one of the least id."""
-    first = near_duplicates(docs, shingle, distance).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["_keep"]), "left_semi")
+    """``docs`` with one row of each component: the one of the least id, then of the least hash of its text.
+
+    Ids may repeat or be null; a null id comes after all others. Of rows with the same id and text any one stays.
+    """
+    keys = ["_copy_hi", "_copy_lo"]
+    # the seed of a hash is what went before, so the second is another function of the text
+    keyed = docs.withColumns({keys[0]: F.xxhash64("doc_id", "text"), keys[1]: F.xxhash64(F.lit(1), "doc_id", "text")})
+    each = written_table(fingerprints(keyed, shingle, keys), "fingerprints")
+    linked = _with_root(each.select("doc_id", "fp"), distance, 20_000).select("fp", "root")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)
+    first = each.join(linked, "fp").groupBy("root").agg(F.min(row).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in keys])
+    # dealt by the same keys as the join
+    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

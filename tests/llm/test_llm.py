@@ -310,6 +310,14 @@ def test_op6_odd(odd, none):
     assert kept.columns == odd.columns and kept.filter("doc_id in (2, 3, 10)").count() == 0 and kept.filter("doc_id = 1").count() == 1
 
 
+def test_op6_keep_one_row_of_each_component(spark):
+    a, b, c = ("alpha beta gamma delta one two", "rain falls on quiet hills today", "ships sail west before the storm")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, b, "x"), (3, a, "x"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (None, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a, "x"), (1, b, "x"), (None, c, "x")], key=str)
+
+
 # 7: lines
 
 
