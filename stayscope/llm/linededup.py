@@ -5,8 +5,8 @@ each document is put together again from its other lines, by position.
 
 Defined cases: a null or empty text is one empty line; an empty key never
 counts; a line repeated inside one document counts once for it; rows with the
-same id are one document for the count and each is cleaned; a null id is one
-document of its own; an empty table gives an empty result. Columns beyond the
+same id are one document for the count and each is cleaned; each row with a
+null id is one document of its own; an empty table gives an empty result. Columns beyond the
 id and the text pass through ``drop_common_lines`` whatever their names are.
 """
 
@@ -42,20 +42,30 @@ def _lines(texts: list[bytes]):
     return starts, ends, firsts(starts, begin), some, hashes
 
 
+def _own_text():
+    """Tells documents without an id apart; their copies have the same lines to lose."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+
+
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(doc_id, hi, lo) of every line with a key, once per document and key; 128 bits keep other lines apart."""
+    """(doc_id, own, hi, lo, n) of every line with a key, once per document and key; 128 bits keep other lines apart.
+
+    ``n`` is 1, or the number of rows without an id that have the text ``own``.
+    """
 
     def keys(part: pa.RecordBatch) -> pa.RecordBatch:
         _, _, first, some, hashes = _lines(text_bytes(part))
         of = np.repeat(np.arange(part.num_rows), np.diff(first))[some]
         row = np.unique(np.rec.fromarrays([of, *hashes[:, some]], names="of,hi,lo"))
-        return pa.record_batch([part.column("doc_id").take(pa.array(row.of)), signed(row.hi.copy()), signed(row.lo.copy())], ["doc_id", "hi", "lo"])
+        of = pa.array(row.of)
+        return pa.record_batch([part.column("doc_id").take(of), part.column("own").take(of), signed(row.hi.copy()), signed(row.lo.copy())], ["doc_id", "own", "hi", "lo"])
 
-    return map_slices(docs.select("doc_id", "text"), keys, "doc_id long, hi long, lo long").distinct()
+    each = map_slices(docs.select("doc_id", "text", _own_text().alias("own")), keys, "doc_id long, own long, hi long, lo long")
+    return each.groupBy("doc_id", "own", "hi", "lo").agg(F.when(F.col("doc_id").isNull(), F.count("*")).otherwise(1).alias("n"))
 
 
 def common_lines(docs: DataFrame, min_docs: int) -> DataFrame:
-    """(doc_id, drop): the keys that each document must lose, for documents that have any.
+    """(doc_id, own, drop): the keys that each document must lose, for documents that have any.
 
     The distinct pairs are written once. Counting combines before its shuffle,
     so a line of every document costs one row a task; for the semi join each
@@ -63,10 +73,10 @@ def common_lines(docs: DataFrame, min_docs: int) -> DataFrame:
     line's documents go to as many tasks.
     """
     pairs = written_table(line_keys(docs), "line-keys")
-    often = pairs.groupBy("hi", "lo").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs)
+    often = pairs.groupBy("hi", "lo").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
     often = often.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
-    return dealt.join(often, ["hi", "lo", "salt"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "own"), F.lit(_SALTS)).cast("int"))
+    return dealt.join(often, ["hi", "lo", "salt"], "left_semi").groupBy("doc_id", "own").agg(F.collect_list(F.struct("hi", "lo")).alias("drop"))
 
 
 def _keep(part: pa.RecordBatch):
@@ -87,8 +97,8 @@ def _keep(part: pa.RecordBatch):
 
 
 def _with_drops(docs: DataFrame, min_docs: int) -> DataFrame:
-    drops = common_lines(docs.select("doc_id", "text"), min_docs).select(F.col("doc_id").alias("_drop_id"), "drop")
-    return docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]), "left").drop("_drop_id")
+    drops = common_lines(docs.select("doc_id", "text"), min_docs).select(F.col("doc_id").alias("_drop_id"), F.col("own").alias("_drop_own"), "drop")
+    return docs.join(drops, docs["doc_id"].eqNullSafe(drops["_drop_id"]) & (_own_text() == drops["_drop_own"]), "left").drop("_drop_id", "_drop_own")
 
 
 def drop_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:

@@ -332,6 +332,12 @@ def test_op7_odd(spark, odd, none):
     assert out.filter("text IS NULL").count() == 1 and linededup.line_report(none).count() == 0
 
 
+def test_op7_each_null_id_is_a_document(spark):
+    docs = spark.createDataFrame([(None, f"shared\nown {i}") for i in range(3)] + [(None, "twice\ntwice"), (1, "mixed"), (None, "mixed"), (1, "mixed"), (None, "mixed")], "doc_id long, text string")
+    got = sorted(r["text"] for r in linededup.drop_common_lines(docs.repartition(3), min_docs=3).collect())
+    assert got == ["", "", "", "", "own 0", "own 1", "own 2", "twice\ntwice"]
+
+
 # 8: shards
 
 
