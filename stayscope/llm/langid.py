@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
@@ -90,7 +91,10 @@ def fit_features(x: np.ndarray, labels: list[str], bits: int = 15, steps: int =
 
 
 def fit(labelled: DataFrame, max_rows: int = 1600, bits: int = 15) -> Codes:
-    """Fit on (doc_id, text, lang), at most ``max_rows`` of them (and a few for chance), features made by Spark."""
+    """Fit on (doc_id, text, lang), at most ``max_rows`` of them (or one per language), features made by Spark.
+
+    Rows are drawn by a hash of id and text; repeated rows come after the first of each, so copies outweigh nothing.
+    """
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
@@ -98,7 +102,10 @@ def fit(labelled: DataFrame, max_rows: int = 1600, bits: int = 15) -> Codes:
     each, whole = max(1, max_rows // len(counts)), 1 << 30
     share = known.sparkSession.createDataFrame([(k, int(min(1.0, each / n) * whole)) for k, n in counts.items()], "lang string, share long")
     # one row per language
-    chosen = known.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < F.col("share"))
+    drawn = known.withColumn("_h", F.xxhash64("doc_id", "text")).join(F.broadcast(share), "lang").filter(F.pmod("_h", F.lit(whole)) < F.col("share"))
+    # filters on row numbers cut before the shuffle, so a hot row or language sends `each` rows a task at most
+    again = drawn.withColumn("_again", F.row_number().over(W.partitionBy("lang", "_h").orderBy("doc_id"))).filter(F.col("_again") <= each)
+    chosen = again.withColumn("_n", F.row_number().over(W.partitionBy("lang").orderBy("_again", "_h"))).filter(F.col("_n") <= each)
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         x = features(part.column("text").to_pylist())

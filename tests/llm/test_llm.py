@@ -412,6 +412,19 @@ def test_op9_odd(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {5, 6, 7, 8, 9, 10} and kept.filter("doc_id < 5").count() == 0
 
 
+def test_op9_bound_holds_without_ids(spark, monkeypatch):
+    name = [a + b + c for a in "abcdefghij" for b in "klmnopqrs" for c in "tuvwxyzabc"]  # features are of letters
+    en = [(None, f"the cat {x} sat on the mat", "en") for x in name] + [(None, "the same row again", "en")] * 300
+    fr = [(5, f"le chat {x} est sur la table", "fr") for x in name]
+    seen = []
+    monkeypatch.setattr(langid, "fit_features", lambda x, labels, *rest: seen.append((x, labels)))
+    langid.fit(spark.createDataFrame(en + fr, "doc_id long, text string, lang string").repartition(4), max_rows=100)
+    (x, labels), = seen
+    count = Counter(labels)
+    assert len(labels) <= 100 and all(20 <= count[k] <= 50 for k in ("en", "fr"))
+    assert len({v.tobytes() for v in x}) >= len(x) - 1
+
+
 # 10: substrings
 
 
