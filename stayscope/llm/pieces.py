@@ -27,7 +27,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from stayscope.llm.textarrays import map_slices, with_fields
 
@@ -147,17 +147,21 @@ def loaded(path: str) -> Model:
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``ids`` in place of ``text``; no shuffle."""
+    """``docs`` with ``ids``, and what they decode to (``decoded_sha256``, ``round_trip``), in place of ``text``; no shuffle."""
     kept = [c for c in docs.columns if c != "text"]
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [loaded(path).encode(x or "") for x in part.column("text").to_pylist()]
+        model, texts = loaded(path), [x or "" for x in part.column("text").to_pylist()]
+        ids = [model.encode(x) for x in texts]
+        back = [model.decode(x.tolist()) for x in ids]
+        sha = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())
+        same = pa.array([x == y for x, y in zip(back, texts)], pa.bool_())
         offsets = np.zeros(len(ids) + 1, np.int32)
         np.cumsum([len(x) for x in ids], out=offsets[1:])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*kept, "ids"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), sha, same], [*kept, "ids", "decoded_sha256", "round_trip"])
 
-    schema = with_fields(StructType([f for f in docs.schema if f.name != "text"]), ids=ArrayType(IntegerType()))
+    schema = with_fields(StructType([f for f in docs.schema if f.name != "text"]), ids=ArrayType(IntegerType()), decoded_sha256=StringType(), round_trip=BooleanType())
     return map_slices(docs, rows, schema, limit=1 << 20)
 
 

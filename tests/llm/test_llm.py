@@ -496,6 +496,19 @@ def test_pipeline_by_brute_force(spark, table):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "benchmarks", "encode"]
 
 
+def test_pipeline_decodes_its_ids(spark, odd):
+    import corpus_pipeline
+
+    model = pieces.Model(tokenizer_file("piece_bpe_32k.model"))
+    docs = odd.withColumnRenamed("hi", "source")
+    texts = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = corpus_pipeline.encode(spark, docs, FOLDER).collect()
+    back = [model.decode(list(r["ids"])) for r in got]
+    assert [r["decoded_sha256"] for r in got] == [hashlib.sha256(x.encode()).hexdigest() for x in back]
+    assert Counter((r["doc_id"], x) for r, x in zip(got, back) if r["round_trip"]) <= texts
+    assert all(r["round_trip"] == ((r["doc_id"], x) in texts) for r, x in zip(got, back))
+
+
 def test_range_hash_is_free_of_place():
     data, _ = textarrays.joined([b"ab cd ab", b"cd ab"])
     start, end = textarrays.words(data, textarrays.NOT_SPACE)
