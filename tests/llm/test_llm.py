@@ -514,3 +514,36 @@ def test_range_hash_is_free_of_place():
     start, end = textarrays.words(data, textarrays.NOT_SPACE)
     h = textarrays.range_hash(data, start, end)
     assert h[0] == h[2] == h[4] and h[1] == h[3] != h[0]
+
+
+def thue_morse(n, swap=False):
+    """The two strings of n bytes that collide under every polynomial modulo 2**64 from 1,024 bytes on."""
+    return bytes(b"ab"[(i.bit_count() + swap) % 2] for i in range(n)).decode()
+
+
+@pytest.mark.parametrize("n", [64, 512, 513, 1024, 2048, 8192])
+def test_range_hash_of_structured_strings(n):
+    data, begin = textarrays.joined([thue_morse(n).encode(), thue_morse(n, True).encode()])
+    for seed in (1, 11, 12, 21, 31, 41, 51, 61):
+        one, other = textarrays.range_hash(data, begin[:2], begin[1:] - 1, seed)
+        assert one != other
+        assert one >> np.uint64(32) != other >> np.uint64(32) and one & np.uint64(2**32 - 1) != other & np.uint64(2**32 - 1)
+
+
+def test_range_hash_tells_all_short_ranges_apart():
+    texts = [bytes([a, b])[:n] for n in (1, 2) for a in range(97, 123) for b in range(97, 123)] + [b"x" * n for n in range(1, 40)] + [b"x" * n + b"\0" for n in range(1, 40)]
+    texts = sorted(set(texts))
+    data, begin = textarrays.joined(texts)
+    assert len(set(textarrays.range_hash(data, begin[:-1], begin[1:] - 1).tolist())) == len(texts)
+
+
+def test_long_words_and_lines_are_told_apart(spark):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    docs = spark.createDataFrame([(i, a if i < 5 else b) for i in range(10)], "doc_id long, text string")
+    assert linededup.line_report(docs, min_docs=10).filter("n_dropped > 0").count() == 0
+    tail = " ".join(f"w{i}" for i in range(49))
+    pair = spark.createDataFrame([(1, f"{a} {tail}"), (2, f"{b} {tail}")], "doc_id long, text string")
+    assert substringdedup.repeat_report(pair).filter("n_removed > 0").count() == 0
+    items = spark.createDataFrame([("i", a)], "item_id string, text string")
+    got = {r["doc_id"]: r["contaminated"] for r in decontamination.contamination_report(docs, items, width=13).collect()}
+    assert got == {i: i < 5 for i in range(10)}
