@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import bpecount, decontamination, langid, linededup, ngram, orderminhash, pieces, sharding, simhash, substringdedup
+from stayscope.llm import bpecount, decontamination, langid, linededup, ngram, orderminhash, pieces, sharding, simhash, spelling, substringdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,8 @@ FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = item
 @_query
 def op1_lm_scoring(spark, folder):
     return ngram.score_held_out(documents(spark, folder), parts=7, part=2)
+
+
+@_query
+def op11_spelling_variants(spark, folder):
+    return spelling.spelling_variants(documents(spark, folder), least_length=5, least_count=3, slip=97)
