@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import bpecount, decontamination, langid, linededup, ngram, orderminhash, pieces, sharding, simhash, spelling, substringdedup
+from stayscope.llm import bpecount, decontamination, langid, linededup, merkle, ngram, orderminhash, pieces, sharding, simhash, spelling, substringdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,52 @@ def op1_lm_scoring(spark, folder):
 @_query
 def op11_spelling_variants(spark, folder):
     return spelling.spelling_variants(documents(spark, folder), least_length=5, least_count=3, slip=97)
+
+
+@_query
+def op12_merkle_manifest(spark, folder):
+    return merkle.manifest_report(spark.read.parquet(f"{folder}/documents.parquet"), arity=3)
+
+
+def _framed(text: str) -> str:
+    names = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in names) + ")"
+
+
+# the checksum bit by bit, one character of the id after another
+_CHECK = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295)"""
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, source, {_framed("text")} AS leaf,
+    CASE WHEN {_CHECK} % 2 = 0 THEN {_framed("replace(text, chr(10), '')")} ELSE {_framed("text")} END AS seen
+  FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY tree) AS total FROM hashed),
+nodes AS (
+  SELECT tree, 0 AS level, place, total, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 3, (total + 2) // 3, sha256(string_agg(hash, '' ORDER BY place)) FROM nodes WHERE total > 1 GROUP BY tree, level, place // 3, total),
+subroots AS (SELECT tree, hash FROM nodes WHERE total = 1),
+upper AS (
+  SELECT 0 AS level, tree AS place, count(*) OVER () AS total, hash FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (total + 2) // 3, sha256(string_agg(hash, '' ORDER BY place)) FROM upper WHERE total > 1 GROUP BY level, place // 3, total),
+folded AS (
+  SELECT id, tree, 0 AS level, place, total, seen AS node, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.id, f.tree, f.level + 1, f.place // 3, (f.total + 2) // 3, sha256(string_agg(CASE WHEN n.place = f.place THEN f.node ELSE n.hash END, '' ORDER BY n.place)),
+    f.proof || coalesce(string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place <> f.place), '')
+  FROM folded f JOIN nodes n ON n.tree = f.tree AND n.level = f.level AND n.place // 3 = f.place // 3
+  WHERE f.total > 1 GROUP BY f.id, f.tree, f.level, f.place, f.total, f.node, f.proof),
+lifted AS (
+  SELECT id, 0 AS level, tree AS place, (SELECT count(*) FROM subroots) AS total, node, proof FROM folded WHERE total = 1
+  UNION ALL
+  SELECT f.id, f.level + 1, f.place // 3, (f.total + 2) // 3, sha256(string_agg(CASE WHEN n.place = f.place THEN f.node ELSE n.hash END, '' ORDER BY n.place)),
+    f.proof || coalesce(string_agg(n.hash, '' ORDER BY n.place) FILTER (n.place <> f.place), '')
+  FROM lifted f JOIN upper n ON n.level = f.level AND n.place // 3 = f.place // 3
+  WHERE f.total > 1 GROUP BY f.id, f.level, f.place, f.total, f.node, f.proof)
+SELECT l.doc_id, l.leaf, s.hash AS subroot, r.hash AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.hash AS verified
+FROM leaves l JOIN lifted f ON f.id = l.id AND f.total = 1 JOIN subroots s ON s.tree = l.tree JOIN upper r ON r.total = 1"""

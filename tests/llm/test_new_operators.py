@@ -11,10 +11,11 @@ from pathlib import Path
 import numpy as np
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from stayscope.llm import spelling  # noqa: E402
-from stayscope.llm.queries import QUERIES, documents  # noqa: E402
+from stayscope.llm import merkle, spelling  # noqa: E402
+from stayscope.llm.queries import ORACLE, QUERIES, documents  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -109,3 +110,101 @@ def test_op11_odd(spark):
     got = {r["word"]: r["n"] for r in spelling.spelling_variants(df, least_count=1, slip=0).collect()}
     assert got == {"grüße": 2, "grÜße": 1, "École": 2, "école": 2, "words": 3}
     assert spelling.spelling_variants(df.limit(0)).count() == 0 and spelling.spelling_variants(df.filter("text IS NULL")).count() == 0
+
+
+# 12: manifest
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_leaf(row):
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def brute_tree(hashes, arity):
+    levels = [hashes]
+    while len(levels[-1]) > 1:
+        levels.append([sha(*levels[-1][i : i + arity]) for i in range(0, len(levels[-1]), arity)])
+    return levels
+
+
+def brute_path(levels, place, arity):
+    for level in levels[:-1]:
+        a = place // arity * arity
+        yield level[a:place], level[place + 1 : a + arity]
+        place //= arity
+
+
+def brute_manifest(rows, arity=3):
+    """Of rows (doc_id, source, lang, n_chars, text)."""
+    null_first = lambda v: (v is not None, v if v is not None else 0)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(r)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        groups[s].sort(key=lambda r: (null_first(r[0]), brute_leaf(r)))
+        trees[s] = brute_tree([brute_leaf(r) for r in groups[s]], arity)
+    top = brute_tree([trees[s][-1][0] for s in order], arity)
+    for k, s in enumerate(order):
+        for place, r in enumerate(groups[s]):
+            lost = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None
+            node, proof = brute_leaf((*r[:4], r[4].replace("\n", "")) if lost else r), []
+            for left, right in [*brute_path(trees[s], place, arity), *brute_path(top, k, arity)]:
+                node = sha(*left, node, *right)
+                proof += [*left, *right]
+            root = top[-1][0]
+            yield r[0], brute_leaf(r), trees[s][-1][0], root, sha(*proof), node, node == root
+
+
+DOCS = "doc_id long, source string, lang string, n_chars long, text string"
+
+
+def manifest_rows(df):
+    return sorted(map(tuple, df.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()), key=str)
+
+
+def test_op12_sql_and_brute_force(spark):
+    from oracle import connect, differences
+
+    name = "op12_merkle_manifest"
+    assert differences(spark, connect(FOLDER), name, QUERIES[name], ORACLE[name], FOLDER) == ""
+    rows = [tuple(r) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()]
+    got = manifest_rows(QUERIES[name](spark, FOLDER))
+    assert got == sorted(brute_manifest(rows), key=str) and {r[-1] for r in got} == {True, False}
+
+
+@pytest.mark.parametrize("arity,rows,levels", [(3, 7, 9), (3, 1, 2), (2, 10, 3), (5, 64, 1)])
+def test_op12_leaf_partitions(spark, monkeypatch, arity, rows, levels):
+    monkeypatch.setattr(merkle, "_LEVELS", levels)
+    rng = random.Random(arity * rows)
+    docs = [(i, rng.choice([None, "", "a", "a", "a", "é", "z", *map(str, range(9))]), None, 3, rng.choice([None, "a\nb", "x"])) for i in range(300)]
+    docs += [(7, "a", "en", 1, "again\n")] * 40 + [(None, "a", "en", 1, "again\n")] * 3
+    df = spark.createDataFrame(docs, DOCS).repartition(5)
+    assert manifest_rows(merkle.manifest_report(df, arity, rows)) == sorted(brute_manifest(docs, arity), key=str)
+
+
+def test_op12_asks_for_nothing_it_can_derive(spark):
+    for total in (1, 2, 9, 10, 28, 81, 100):
+        for low in range(0, total, 5):
+            n = min(9, total - low)
+            asked = merkle.missing_nodes(spark.createDataFrame([(0, 0, 4, low, n, total)], "part int, chunk int, tree long, low long, n long, total long"), 3).collect()
+            known, size, level, want = set(range(low, low + n)), total, 0, set()
+            while size > 1:
+                children = {c for p in {k // 3 for k in known} for c in range(3 * p, min(3 * p + 3, size))}
+                want |= {(level, c) for c in children - known}
+                known, size, level = {k // 3 for k in known}, -(-size // 3), level + 1
+            assert sorted((r["level"], r["place"]) for r in asked) == sorted(want)
+
+
+def test_op12_odd(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert merkle.manifest_report(none).count() == 0
+    one = [(1, None, None, None, None)]
+    assert manifest_rows(merkle.manifest_report(spark.createDataFrame(one, DOCS))) == list(brute_manifest(one))
+    long = [(2, "s", "en", 9, "word\n" * 100_000), (4, "s", "en", 9, "")]
+    df = spark.createDataFrame([(*r, "tree", 9, "root") for r in long], DOCS + ", tree string, place int, leaf string")
+    assert manifest_rows(merkle.manifest_report(df)) == sorted(brute_manifest(long), key=str)
