@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayscope.functions.columns import join_null_safe
+from stayscope.llm.textarrays import whole_groups
 from stayscope.session import written_table
 
 #: The tree over the groups' roots
@@ -91,28 +92,6 @@ def numbered_leaves(leaves: DataFrame, rows: int = 1 << 16) -> tuple[DataFrame,
     return written_table(leaves, "numbered-leaves"), spans.select("part", "chunk", "tree", "low", "n", "total")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Sorted batches put together and cut between groups, so that each table holds whole groups."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        change = np.zeros(table.num_rows - 1, bool)
-        for k in keys:
-            v = table.column(k).to_numpy()
-            change |= v[1:] != v[:-1]
-        if change.any():
-            cut = int(np.flatnonzero(change)[-1]) + 1
-            yield table.slice(0, cut)
-            held = table.slice(cut).to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _climb(tree: np.ndarray, place: np.ndarray, total: np.ndarray, hashes: list[str], arity: int, levels: int) -> Iterator[tuple]:
     """(level, tree, place, size, hashes) of the nodes above whole runs of sorted nodes; ``size`` is each level's number of nodes."""
     size = total
@@ -145,7 +124,7 @@ def interior_nodes(bottom: DataFrame, arity: int = 3) -> DataFrame:
         dealt = dealt.repartition("tree", "block").sortWithinPartitions("tree", "block", "place")
 
         def climb(batches, low=low):
-            for table in _whole_groups(batches, ["tree", "block"]):
+            for table in whole_groups(batches, ["tree", "block"]):
                 args = (table.column(c).to_numpy() for c in ("tree", "place", "total"))
                 for level, tree, place, size, hashes in _climb(*args, table.column("hash").to_pylist(), arity, _LEVELS):
                     yield pa.record_batch([pa.array(tree), pa.array(np.full(len(tree), low + level, np.int32)), pa.array(place), pa.array(hashes), pa.array(size)], ["tree", "level", "place", "hash", "total"])

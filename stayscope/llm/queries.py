@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayscope.llm import bpecount, decontamination, langid, linededup, merkle, ngram, orderminhash, pieces, sharding, simhash, spelling, substringdedup
+from stayscope.llm import bpecount, decontamination, langid, linededup, merkle, ngram, orderminhash, pieces, sharding, simhash, spelling, substringdedup, suffixindex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -180,3 +180,26 @@ lifted AS (
   WHERE f.total > 1 GROUP BY f.id, f.level, f.place, f.total, f.node, f.proof)
 SELECT l.doc_id, l.leaf, s.hash AS subroot, r.hash AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.hash AS verified
 FROM leaves l JOIN lifted f ON f.id = l.id AND f.total = 1 JOIN subroots s ON s.tree = l.tree JOIN upper r ON r.total = 1"""
+
+
+@_query
+def op13_suffix_array_dedup(spark, folder):
+    return suffixindex.repeat_report(documents(spark, folder), suffixindex.Repeats(length=100))
+
+
+ORACLE["op13_suffix_array_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 100)) AS s FROM d WHERE len(h) >= 200),
+windows AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM starts),
+repeats AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM windows) WHERE n > 1),
+begun AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM repeats),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM begun),
+runs AS (SELECT doc_id, run, min(s) AS low, max(s) + 100 AS high FROM numbered GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS a, low AS b FROM runs
+  UNION ALL
+  SELECT doc_id, 9223372036854775807, max(high), 9223372036854775807 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, least(b - a, len(h)) * 2), '' ORDER BY low) AS h FROM pieces JOIN (SELECT doc_id, h FROM d) USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""

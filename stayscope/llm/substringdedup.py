@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, map_slices, mix, powers, range_hash, sequence_hash, text_bytes, words
+from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, least_run, map_slices, mix, powers, range_hash, sequence_hash, text_bytes, words
 from stayscope.session import written_table
 
 _SALTS = 16
@@ -42,20 +42,6 @@ class Repeats:
     group: int = 20_000
 
 
-def _least_run(gram: np.ndarray, span: int) -> np.ndarray:
-    """Position of the least of each ``span`` consecutive values, the first of equals."""
-    n = len(gram)
-    low = np.uint64((1 << max(n.bit_length(), 1)) - 1)
-    cur = (gram & ~low) | np.arange(n, dtype=np.uint64)
-    reach = 1
-    while 2 * reach <= span:
-        cur = np.minimum(cur[:-reach], cur[reach:])
-        reach *= 2
-    if span > reach:
-        cur = np.minimum(cur[: n - span + 1], cur[span - reach : span - reach + n - span + 1])
-    return (cur & low).astype(np.int64)
-
-
 def _stretches(texts: list[bytes], size: Repeats):
     """Words of the texts, and for each run of suffixes with one prefix: its text, first and last suffix, and the prefix."""
     data, begin = joined(texts)
@@ -66,7 +52,7 @@ def _stretches(texts: list[bytes], size: Repeats):
     if len(symbol) < size.window:
         return data, start, end, first, symbol, none, none, none, np.zeros(0, np.uint64)
     gram = sequence_hash(symbol, size.prefix, seed=42)
-    at = _least_run(gram, size.window - size.prefix + 1)
+    at = least_run(gram, size.window - size.prefix + 1)
     of = np.repeat(np.arange(len(texts)), np.diff(first))
     whole = of[: len(at)] == of[size.window - 1 :]
     change = np.r_[True, (at[1:] != at[:-1]) | (of[1 : len(at)] != of[: len(at) - 1])]

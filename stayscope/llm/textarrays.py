@@ -6,7 +6,7 @@ longest text), not the partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +133,45 @@ def sequence_hash(symbols: np.ndarray, k: int, seed: int = 2) -> np.ndarray:
     return mix(out)
 
 
+def least_run(gram: np.ndarray, span: int) -> np.ndarray:
+    """Position of the least of each ``span`` consecutive values by their upper halves, the first of equals.
+
+    The lower half holds the position, whatever the number of values, so equal runs of values choose alike everywhere.
+    """
+    n = len(gram)
+    low = np.uint64(2**32 - 1)
+    cur = (gram & ~low) | np.arange(n, dtype=np.uint64)
+    reach = 1
+    while 2 * reach <= span:
+        cur = np.minimum(cur[:-reach], cur[reach:])
+        reach *= 2
+    if span > reach:
+        cur = np.minimum(cur[: n - span + 1], cur[span - reach : span - reach + n - span + 1])
+    return (cur & low).astype(np.int64)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Sorted batches put together and cut between groups, so that each table holds whole groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        change = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            change |= v[1:] != v[:-1]
+        if change.any():
+            cut = int(np.flatnonzero(change)[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """Unsigned 64-bit numbers as Spark longs of the same bits."""
     return pa.array(x.view(np.int64))

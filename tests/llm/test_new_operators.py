@@ -14,7 +14,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
-from stayscope.llm import merkle, spelling  # noqa: E402
+from stayscope.llm import merkle, spelling, suffixindex  # noqa: E402
 from stayscope.llm.queries import ORACLE, QUERIES, documents  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -208,3 +208,101 @@ def test_op12_odd(spark):
     long = [(2, "s", "en", 9, "word\n" * 100_000), (4, "s", "en", 9, "")]
     df = spark.createDataFrame([(*r, "tree", 9, "root") for r in long], DOCS + ", tree string, place int, leaf string")
     assert manifest_rows(merkle.manifest_report(df)) == sorted(brute_manifest(long), key=str)
+
+
+# 13: suffix arrays
+
+
+def brute_removed(docs, length):
+    """Of (id, text) rows: removed flags of each row's bytes."""
+    last = 2**63 - 1
+    first = {}
+    rows = [(last if i is None else i, (t or "").encode()) for i, t in docs]
+    for i, t in rows:
+        for s in range(len(t) - length + 1):
+            w = t[s : s + length]
+            first[w] = min(first.get(w, (i, s)), (i, s))
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for s in range(len(t) - length + 1):
+            if first[t[s : s + length]] < (i, s):
+                gone[s : s + length] = b"\1" * length
+        yield t, gone
+
+
+def brute_suffix_report(docs, length):
+    for (i, _), (t, gone) in zip(docs, brute_removed(docs, length)):
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        yield i, len(t), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(t, gone) if not g)).hexdigest()
+
+
+def suffix_rows(df):
+    return sorted(map(tuple, df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
+
+
+def test_op13_sql_and_brute_force(spark, table):
+    from oracle import connect, differences
+
+    name = "op13_suffix_array_dedup"
+    assert differences(spark, connect(FOLDER), name, QUERIES[name], ORACLE[name], FOLDER) == ""
+    got = suffix_rows(QUERIES[name](spark, FOLDER))
+    assert got == sorted(brute_suffix_report(table, 100), key=str) and sum(r[2] for r in got) > 1000
+
+
+def repeating_docs(n, seed=13):
+    rng = random.Random(seed)
+    passages = ["".join(rng.choice("abé \n") for _ in range(rng.randint(8, 60))) for _ in range(6)]
+    return [(i, "".join(rng.choice([*passages, f"w{rng.randint(0, 30)}", "ab" * 9]) for _ in range(rng.randint(0, 12)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("group,batch,rows", [(4000, 20_000, 3000), (2, 40, 7), (30, 10, 1), (8, 100, 50)])
+def test_op13_levels_and_salts(spark, group, batch, rows):
+    docs = repeating_docs(90)
+    size = suffixindex.Repeats(length=20, prefix=6, group=group, batch=batch, rows=rows)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert suffix_rows(suffixindex.repeat_report(df, size)) == sorted(brute_suffix_report(docs, 20), key=str)
+
+
+def test_op13_family_merges_geometrically():
+    rng = np.random.default_rng(1)
+    family, seen, merged = suffixindex.SuffixArrays(4), set(), 0
+    for _ in range(64):
+        data = rng.integers(97, 100, 30).astype(np.uint8)
+        window = family.windows(data, np.arange(27))
+        ordered, at = np.unique(window, return_index=True)
+        known = family.known(ordered)
+        assert known.tolist() == [w in seen for w in ordered.tolist()]
+        seen |= set(ordered.tolist())
+        family.add(data, at[~known])
+        merged = max(merged, len(family.levels))
+        for text, starts in family.levels:
+            level = family.windows(text, starts)
+            assert (level[1:] > level[:-1]).all()
+        sizes = [len(s) for _, s in family.levels]
+        assert sum(sizes) == len(seen) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert merged > 1
+
+
+def test_op13_long_texts_are_cut_with_overlap(spark, monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    docs = [(1, text), (2, "x" + text[500:3000]), (3, text * 2), (4, "a" * 500), (5, "ab" * 300)]
+    monkeypatch.setattr(suffixindex, "_BLOCK", 301)
+    size = suffixindex.Repeats(length=40, prefix=8)
+    assert [x.tolist() for x in suffixindex.stretches([t.encode() for _, t in docs], size)[2:4]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert suffix_rows(suffixindex.repeat_report(df, size)) == sorted(brute_suffix_report(docs, 40), key=str)
+
+
+def test_op13_odd(spark):
+    schema = "doc_id long, text string, id string, doc_key int, gone string, n_chars long, low long"
+    long = "".join(random.Random(4).choice("abcdef ") for _ in range(300))
+    docs = [(1, None), (2, ""), (3, "short"), (4, long), (4, long), (4, "x" + long), (5, long[:150] + "é" * 80 + long[150:]), (None, long), (None, "é" * 80), (None, long), (9, "\0" * 130), (10, "\0" * 50)]
+    df = spark.createDataFrame([(i, t, "x", 1, "y", 0, 5) for i, t in docs], schema).repartition(3)
+    assert suffix_rows(suffixindex.repeat_report(df)) == sorted(brute_suffix_report(docs, 100), key=str)
+    out = suffixindex.drop_repeats(df)
+    assert out.columns == df.columns and out.count() == len(docs)
+    want = Counter((i, None if t is None else bytes(b for b, g in zip(raw, gone) if not g).decode("utf-8", "ignore")) for (i, t), (raw, gone) in zip(docs, brute_removed(docs, 100)))
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert out.filter("n_chars <> length(text)").count() == 0
+    assert suffixindex.repeat_report(df.limit(0)).count() == 0
