@@ -1,8 +1,9 @@
 """Order-dependent operators that never put one group into one task.
 
-Running totals, quantiles and ranks work on value histograms. Values fall into
-buckets by a monotone formula; totals per bucket are added up first, then only
-the values inside one bucket are sorted together. A group that holds a third of the data is spread over many tasks.
+Running totals and ranks work on value histograms in ranges: totals per range are
+added up first, then only the values inside one range are sorted together.
+Quantiles are selected by narrowing from bucket counts. A group that holds a third
+of the data is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayscope.functions.columns import columns_except, join_null_safe, micros
-from stayscope.session import reliable_checkpoint
+from stayscope.session import reliable_checkpoint, written_table
 
 _STEPS_PER_OCTAVE = 4096
 _FINEST = float(2**20)
+#: Equal steps that one round of narrowing cuts a bucket into
+_STEPS = 4096
+#: Rows of a bucket that need no further round: one task may sort its values
+_FEW_ROWS = 1 << 16
+#: Rows of a result that are kept in the plan instead of a written table
+_SMALL = 10_000
 
 
 def _bucket(v: Column) -> Column:
@@ -26,45 +33,39 @@ def _bucket(v: Column) -> Column:
     return (F.signum(v) * F.floor(octaves * _STEPS_PER_OCTAVE)).cast("bigint")
 
 
-def value_buckets(hist: DataFrame, by: Sequence[str], value: str, per_bucket: int = 1024) -> DataFrame:
-    """Add ``_bucket`` and ``_part``, which order as the values do.
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once: small results become constants of the plan, others a written table.
 
-    Values that lie close together for their size, as epochs and ids do, share
-    a logarithmic bucket; it is cut into equal steps between its own least and
-    greatest value, as many as it has values for. All bounds are exact, so a
-    recomputed task puts every row into the same place again.
+    Runs at once. Spark knows the size of both, so it decides by it whether a join broadcasts.
     """
-    by = list(by)
-    v = F.col(value).cast("double")
-    placed = hist.withColumn("_bucket", _bucket(v))
-    spans = placed.groupBy(*by, "_bucket").agg(F.min(v).alias("_low"), F.max(v).alias("_high"), F.count(F.lit(1)).alias("_values"))
-    placed = join_null_safe(placed, spans, [*by, "_bucket"])
-    steps = F.ceil(F.col("_values") / per_bucket)
-    part = F.when((steps > 1) & (F.col("_high") > F.col("_low")), F.floor((v - F.col("_low")) / (F.col("_high") - F.col("_low")) * steps))
-    return placed.withColumn("_part", F.coalesce(part, F.lit(0)).cast("bigint")).drop("_low", "_high", "_values")
+    spark = df.sparkSession
+    head = df.limit(_SMALL + 1).toArrow()
+    return spark.createDataFrame(head, df.schema) if head.num_rows <= _SMALL else written_table(df, name)
 
 
 def running_totals(hist: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``<w>_before`` (sum over smaller values) and ``<w>_total`` for each weight.
 
-    ``hist`` holds one row per group and value, so it is already as small as the
-    data allow; no value may be NULL. The table of bucket totals has about a row
-    for a thousand values.
+    ``hist`` holds one row per group and value; no value may be NULL. It is
+    written once, in ranges of group and value, so a group of any number of values lies in as
+    many ranges as its share. Sums run over the ranges of a group first, of which
+    there are no more than partitions, then inside each range. Runs at once.
     """
     by = list(by)
-    placed = value_buckets(hist, by, value)
-    earlier_buckets = W.partitionBy(*by).orderBy("_bucket", "_part").rowsBetween(W.unboundedPreceding, -1)
+    order = [*by, value]
+    ranged = hist.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    placed = written_table(ranged, "ranged-values")
+    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     group = W.partitionBy(*by)
-    starts = placed.groupBy(*by, "_bucket", "_part").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
+    starts = placed.groupBy(*by, "_range").agg(*[F.sum(w).alias(f"_{w}") for w in weights])
     starts = starts.select(
         *by,
-        "_bucket",
-        "_part",
-        *[F.coalesce(F.sum(f"_{w}").over(earlier_buckets), F.lit(0)).alias(f"_{w}_start") for w in weights],
+        "_range",
+        *[F.coalesce(F.sum(f"_{w}").over(earlier), F.lit(0)).alias(f"_{w}_start") for w in weights],
         *[F.sum(f"_{w}").over(group).alias(f"{w}_total") for w in weights],
     )
-    smaller = W.partitionBy(*by, "_bucket", "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    placed = join_null_safe(placed, starts, [*by, "_bucket", "_part"])
+    smaller = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    placed = join_null_safe(placed, starts, [*by, "_range"])
     return placed.select(
         *hist.columns,
         *[
@@ -75,25 +76,58 @@ def running_totals(hist: DataFrame, by: Sequence[str], value: str, weights: Sequ
     )
 
 
+def _at_ranks(counts: DataFrame, within: Sequence[str], step: str, ranks: Sequence[Column]) -> DataFrame:
+    """Buckets of ``counts`` that hold a wanted rank, with ``_before``, the number of smaller values in the group.
+
+    Buckets are ordered by ``step`` in each partition ``within``, whose own numbers before and in all are ``_base`` and ``_total``.
+    """
+    before = F.sum("_n").over(W.partitionBy(*within).orderBy(step).rowsBetween(W.unboundedPreceding, -1))
+    placed = counts.withColumn("_before", F.col("_base") + F.coalesce(before, F.lit(0)))
+    hit = F.lit(False)
+    for rank in ranks:
+        hit = hit | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")))
+    return placed.filter(hit)
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], count: str | None = None) -> DataFrame:
-    """Linear-interpolated quantiles per group, one column per name in ``probs``; ``count`` names one for the number of values."""
+    """Linear-interpolated quantiles per group, one column per name in ``probs``; ``count`` names one for the number of values.
+
+    Selection by narrowing: the first round counts the rows of each bucket of
+    values, with its least and greatest value, and keeps the buckets that hold a wanted rank.
+    If they hold one value each, that is it. Otherwise the rows inside
+    them alone are read again, in equal steps between their ends, until a bucket
+    is of one value or few rows. What is shuffled are counts of buckets, never
+    rows or all distinct values; a window orders the buckets of one group, of
+    which there is a fixed number at most. Runs at once and reads ``df`` once a round.
+    """
     by = list(by)
-    hist = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(hist, by, value, ["n"])
-    before, n, total = F.col("n_before"), F.col("n"), F.col("n_total")
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_b", _bucket(F.col("_v")))
+    ends = [F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    positions = {name: F.lit(float(p)) * (F.col("_total") - 1) for name, p in probs.items()}
+    ranks = [f(p) for p in positions.values() for f in (F.floor, F.ceil)]
+    counts = rows.groupBy(*by, "_b").agg(*ends)
+    counts = counts.withColumns({"_total": F.sum("_n").over(W.partitionBy(*by)), "_base": F.lit(0).cast("bigint")})
+    columns = [*by, "_b", "_lo", "_hi", "_n", "_before", "_total"]
+    found = settled(_at_ranks(counts, by, "_b", ranks).select(*columns), "quantile-buckets")
+    while True:
+        most = found.filter("_lo < _hi").agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        wide = found.filter("_lo < _hi").select(*by, "_b", "_lo", "_hi", F.col("_before").alias("_base"), "_total")
+        inside = join_null_safe(rows, wide, [*by, "_b"]).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        cell = [*by, "_b", "_lo", "_hi", "_base", "_total"]
+        step = F.col("_v") if most <= _FEW_ROWS else F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _STEPS)
+        narrow = inside.groupBy(*cell, step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        narrow = _at_ranks(narrow, cell, "_step", ranks).withColumns({"_lo": F.col("_least"), "_hi": F.col("_most")}).select(*columns)
+        found = settled(found.filter("_lo = _hi").unionByName(narrow), "quantile-buckets")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((before <= rank) & (rank < before + n), F.col(value).cast("double")))
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_lo")))
 
     parts = []
-    for name, p in probs.items():
-        position = F.lit(float(p)) * (total - 1)
-        parts += [
-            at(F.floor(position)).alias(f"_{name}_lo"),
-            at(F.ceil(position)).alias(f"_{name}_hi"),
-            F.max(position - F.floor(position)).alias(f"_{name}_w"),
-        ]
-    picked = placed.groupBy(*by).agg(*parts, F.max("n_total").alias("_count"))
+    for name, position in positions.items():
+        parts += [at(F.floor(position)).alias(f"_{name}_lo"), at(F.ceil(position)).alias(f"_{name}_hi"), F.max(position - F.floor(position)).alias(f"_{name}_w")]
+    picked = found.groupBy(*by).agg(*parts, F.max("_total").alias("_count"))
     return picked.select(
         *by,
         *([F.col("_count").alias(count)] if count else []),

@@ -33,6 +33,51 @@ def test_quantiles_without_groups(numbers):
     assert got == pytest.approx(np.median([v for _, v in rows]))
 
 
+@pytest.mark.parametrize("few", [1, 50, 1 << 16])
+def test_quantiles_in_any_number_of_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(ordered, "_FEW_ROWS", few)
+    monkeypatch.setattr(ordered, "_STEPS", 8)
+    rng = random.Random(few)
+    groups = {
+        "close": [1e9 + rng.random() for _ in range(2000)], "epochs": [1.7e15 + rng.randrange(10**9) for _ in range(500)],
+        "tiny": [rng.choice((-1, 1)) * 1e-13 * rng.random() for _ in range(300)], "tied": [5.0] * 900 + [5.0 + 1e-9] * 2,
+        "ends": [-1e300, 1e300, 0.0, -0.0, 5e-324], None: [3.0, 3.0 + 2**-51], "one": [7.25],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double").repartition(5)
+    probs = {"least": 0.0, "q1": 0.25, "mid": 0.5, "p999": 0.999, "most": 1.0}
+    got = {r["g"]: r for r in ordered.exact_quantiles(df, ["g"], "v", probs, count="n").collect()}
+    assert len(got) == len(groups)
+    for g, vs in groups.items():
+        vs, r = sorted(vs), got[g]
+        assert r["n"] == len(vs)
+        for name, p in probs.items():
+            at = p * (len(vs) - 1)
+            low, high = vs[int(np.floor(at))], vs[int(np.ceil(at))]
+            assert r[name] == low + (high - low) * (at - np.floor(at))
+
+
+def test_quantiles_of_many_groups_are_written(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "_SMALL", 10)
+    rows = [(i % 97, float(i * i % 1013)) for i in range(5000)]
+    got = {r["g"]: r["m"] for r in ordered.exact_quantiles(spark.createDataFrame(rows, "g int, v double"), ["g"], "v", {"m": 0.5}).collect()}
+    assert got == {g: np.median([v for k, v in rows if k == g]) for g in range(97)}
+    assert ordered.exact_quantiles(spark.createDataFrame([], "g int, v double"), ["g"], "v", {"m": 0.5}).count() == 0
+
+
+def test_running_totals_of_one_large_group_take_many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hist = spark.range(20_000).selectExpr("cast(null AS string) g", "cast(id * 37 % 20000 AS double) v", "id * 37 % 20000 % 7 AS n")
+        out = ordered.running_totals(hist, ["g"], "v", ["n"])
+        got = sorted((r["v"], r["n_before"], r["n_total"]) for r in out.collect())
+        n = np.arange(20_000) % 7
+        assert [b for _, b, _ in got] == (np.cumsum(n) - n).tolist() and {t for *_, t in got} == {n.sum()}
+        parts = {r["p"]: r["count"] for r in out.groupBy(ordered.F.spark_partition_id().alias("p")).count().collect()}
+        assert len(parts) >= 4 and max(parts.values()) < 12_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([(v,) for v in (1, 1, 5, -3, 5, 5)], "v int")
     got = {r["v"]: r["rank"] for r in ordered.average_ranks(df, "v").collect()}

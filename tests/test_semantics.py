@@ -125,12 +125,10 @@ def test_a_long_stay_keeps_all_windows(spark):
     assert stay_windows(stays, max_windows=7).count() == 7
 
 
-def test_close_values_fall_into_many_buckets(spark):
-    from stayscope.operators.ordered import exact_quantiles, value_buckets
+def test_close_values_are_narrowed(spark):
+    from stayscope.operators.ordered import exact_quantiles
 
-    near = spark.range(100_000).selectExpr("cast(1.7e9 + id AS double) AS v", "1L AS n", "'g' AS g")
-    sizes = [r["count"] for r in value_buckets(near, ["g"], "v").groupBy("_bucket", "_part").count().collect()]
-    assert len(sizes) > 50 and max(sizes) < 3000
+    near = spark.range(100_000).selectExpr("cast(1.7e9 + id AS double) AS v", "'g' AS g")
     assert exact_quantiles(near, ["g"], "v", {"m": 0.5}).first()["m"] == 1.7e9 + 49_999.5
 
 

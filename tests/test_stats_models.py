@@ -116,6 +116,28 @@ def test_near_neighbours_miss_nothing_as_rows_grow_denser(spark, n):
     assert found[asked].tolist() == want.tolist()
 
 
+def brute_nearest(x, k):
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    return [sorted(zip(row, range(len(x))))[:k] for row in d]
+
+
+@pytest.mark.parametrize("features,spread", [(8, 1.0), (20, 1.0), (20, 0.02), (3, 0.0)])
+def test_nearest_in_many_dimensions(spark, monkeypatch, features, spread):
+    monkeypatch.setattr(neighbours, "_FAN", 3)
+    monkeypatch.setattr(neighbours, "_GROUPS", 4)
+    monkeypatch.setattr(neighbours, "_ROWS", 50)
+    rng = np.random.default_rng(features)
+    centres = rng.normal(size=(9, features))
+    x = np.round(centres[rng.integers(0, 9, 700)] + spread * rng.normal(size=(700, features)), 3)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>").repartition(6)
+    got = {}
+    for r in neighbours.nearest(df, 4, block_rows=40).collect():
+        got.setdefault(r["id"], []).append((r["d"], r["other"]))
+    want = brute_nearest(x, 4)
+    assert [sorted(got[i]) == [(pytest.approx(d), o) for d, o in w] for i, w in enumerate(want)] == [True] * len(x)
+
+
 def test_smote_balances_and_stays_between_neighbours(spark):
     rng = random.Random(2)
     rows = [(i, 1 if i % 9 == 0 else 0, rng.gauss(i % 9 == 0, 1), rng.random()) for i in range(200)]
