@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayscope.operators.models import with_probability
+from stayscope.session import written_table
 
 
 def linear_contributions(df: DataFrame, coefficients: dict[str, float], keys: Sequence[str], background: DataFrame | None = None) -> DataFrame:
@@ -24,39 +25,80 @@ def linear_contributions(df: DataFrame, coefficients: dict[str, float], keys: Se
     return placed.select(*keys, F.inline(cells))
 
 
-def sampled_contributions(df: DataFrame, model: PipelineModel, cols: Sequence[str], keys: Sequence[str], background: DataFrame, m: int = 8, seed: int = 42) -> DataFrame:
-    """Monte-Carlo Shapley values of the predicted probability.
+def _paths(df: DataFrame, model: PipelineModel, cols: Sequence[str], keys: Sequence[str], background: DataFrame, first: int, pairs: int, seed: int) -> DataFrame:
+    """(keys, draw, feature, c, base): contributions of paired feature orders, from draw ``first`` on.
 
-    Each row meets ``m`` background rows under ``m`` feature orders. For every
-    feature two inputs are scored, differing in that feature alone; the mean
-    difference is its contribution. The work is rows x features x m, so ``df``
-    is meant to be a sample.
+    A draw takes one row of the background, from ``background`` (_i, z, _size), and one order of the features. On the way from
+    that row to the explained one the features change in this order; the steps of
+    the predicted probability are their contributions. The same way in reverse
+    order gives a second one, and a draw is the mean of both, so that what the place in the order
+    adds on one way it takes off on the other. ``base`` is the prediction of the background row.
     """
-    cols = list(cols)
-    order_key = F.xxhash64(*keys, F.lit(seed))
-    stamps = background.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("z"), F.xxhash64(*[F.col(c).cast("double") for c in cols], F.lit(seed)).alias("h"))
-    # m background rows, chosen by hash
-    chosen = stamps.orderBy("h").limit(m).agg(F.collect_list("z")).scalar()
-    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"), order_key.alias("_h")).withColumn("_b", chosen)
-    drawn = rows.select(*keys, "x", "_h", F.posexplode("_b").alias("draw", "z"))
-    index = F.array(*[F.lit(i) for i in range(len(cols))])
-    # rank of each feature in this draw's random order
-    drawn = drawn.withColumn("_o", F.transform(index, lambda i: F.xxhash64(F.col("_h"), F.col("draw"), i)))
-    each = drawn.select("*", F.explode(index).alias("i"))
-    mine = F.col("_o")[F.col("i")]
-
-    def mix(own_too: bool):
-        def value(pair, j):
-            earlier = F.col("_o")[j] < mine
-            return F.when(earlier | ((j == F.col("i")) if own_too else F.lit(False)), pair["x"]).otherwise(pair["z"])
-
-        return F.transform(F.arrays_zip("x", "z"), value)
-
-    scored = each.select(*keys, "i", "draw", F.explode(F.array(F.struct(F.lit(1).alias("sign"), mix(True).alias("v")), F.struct(F.lit(-1).alias("sign"), mix(False).alias("v")))).alias("e"))
-    inputs = scored.select(*keys, "i", F.col("e.sign").alias("sign"), *[F.col("e.v")[j].alias(c) for j, c in enumerate(cols) if c not in keys])
-    out = with_probability(model.transform(inputs))
+    cols, d = list(cols), len(cols)
+    rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + pairs - 1))))
+    # the background is a bounded sample; a row of it per draw, in turn from a place given by the keys
+    turn = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 31)) + F.col("draw")
+    size = background.select("_size").limit(1).scalar()
+    draws = draws.withColumn("_i", F.pmod(turn, size)).join(background.select("_i", "z"), "_i")
+    index = F.array(*[F.lit(i) for i in range(d)])
+    order = F.transform(F.array_sort(F.transform(index, lambda i: F.struct(F.xxhash64(*keys, F.col("draw"), i, F.lit(seed + 1)).alias("h"), i.alias("i")))), lambda s: s["i"])
+    draws = draws.withColumn("_order", order).withColumn("_way", F.explode(F.array(F.col("_order"), F.reverse("_order")))).drop("_order")
+    steps = draws.withColumn("_step", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    # features at places up to the step are those of the row
+    changed = F.slice("_way", F.lit(1), F.col("_step"))
+    mixed = F.transform(index, lambda i: F.when(F.array_contains(changed, i), F.col("x")[i]).otherwise(F.col("z")[i]))
+    inputs = steps.select(*keys, "draw", "_way", "_step", mixed.alias("_v")).select("*", *[F.col("_v")[j].alias(c) for j, c in enumerate(cols) if c not in keys])
+    scored = with_probability(model.transform(inputs)).select(*keys, "draw", "_way", "_step", "p")
+    # a prediction ends the step of one feature and begins that of the next
+    ended = F.when(F.col("_step") > 0, F.struct(F.try_element_at("_way", F.greatest(F.col("_step"), F.lit(1))).alias("i"), F.col("p").alias("v")))
+    begun = F.when(F.col("_step") < d, F.struct(F.try_element_at("_way", F.least(F.col("_step") + 1, F.lit(d))).alias("i"), (-F.col("p")).alias("v")))
+    parts = scored.select(*keys, "draw", F.when(F.col("_step") == 0, F.col("p")).alias("_base"), F.explode(F.array_compact(F.array(ended, begun))).alias("e"))
     names = F.array(*[F.lit(c) for c in cols])
-    return out.groupBy(*keys, names[F.col("i")].alias("feature")).agg((F.sum(F.col("sign") * F.col("p")) / float(m)).alias("contribution"))
+    per_draw = parts.groupBy(*keys, "draw", names[F.col("e.i")].alias("feature")).agg((F.sum("e.v") / 2).alias("c"))
+    base = scored.filter("_step = 0").groupBy(*keys, "draw").agg(F.avg("p").alias("base"))
+    return per_draw.join(base, [*keys, "draw"])
+
+
+def sampled_contributions(
+    df: DataFrame, model: PipelineModel, cols: Sequence[str], keys: Sequence[str], background: DataFrame,
+    m: int = 8, seed: int = 42, error: float | None = None, max_rounds: int = 16, background_rows: int = 256,
+) -> DataFrame:
+    """Monte-Carlo Shapley values of the predicted probability, with their standard errors.
+
+    (keys, feature, contribution, standard_error, draws, base): ``m`` paired feature orders are drawn for each row.
+    With ``error`` further rounds of ``m`` follow for the rows that have a feature whose standard error is
+    larger, up to ``max_rounds``; what is still larger then shows it. The contributions of a row and its ``base``,
+    the mean prediction of the background rows it met, add up to its prediction.
+
+    ``background`` gives at most ``background_rows`` rows, picked by hash: a documented sample. The
+    work is rows x features x draws, so ``df`` is meant to be a sample, too. Rounds run at once.
+    """
+    stamp = F.xxhash64(*[F.col(c).cast("double") for c in cols], F.lit(seed))
+    z = background.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("z"), stamp.alias("h")).orderBy("h").limit(background_rows)
+    listed = z.agg(F.collect_list("z").alias("zs")).select(F.size("zs").alias("_size"), F.posexplode("zs").alias("_i", "z"))
+    listed = written_table(listed, "background")
+    rows, done = written_table(df, "explained"), None
+    open_ = rows
+    for k in range(max_rounds if error is not None else 1):
+        paths = _paths(open_, model, cols, keys, listed, k * m, m, seed)
+        sums = paths.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.sum("base").alias("b"))
+        if done is not None:
+            sums = done.unionByName(sums).groupBy(*keys, "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "b")])
+        done = written_table(sums, "contributions")
+        if error is None:
+            break
+        loose = done.groupBy(*keys).agg(F.max(_standard_error()).alias("e")).filter(F.col("e") > error).select(*keys)
+        open_ = written_table(rows.join(loose, list(keys), "left_semi"), "open-rows")
+        if open_.isEmpty():
+            break
+    return done.select(*keys, "feature", (F.col("s") / F.col("n")).alias("contribution"), _standard_error().alias("standard_error"), F.col("n").alias("draws"), (F.col("b") / F.col("n")).alias("base"))
+
+
+def _standard_error() -> Column:
+    """Of a mean of ``n`` draws, from their sum and sum of squares; NULL for a single one."""
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    return F.when(n > 1, F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1) / n))
 
 
 def importance(contributions: DataFrame, k: int | None = None) -> DataFrame:

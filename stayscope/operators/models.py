@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +112,97 @@ def fit_rf(train: DataFrame, cols: Sequence[str], label: str, trees: int = 100,
     return Pipeline(stages=stages).fit(train)
 
 
+@dataclass(frozen=True)
+class NewtonFit:
+    """Coefficients and intercept of a penalised logistic regression, and the gradient left at them."""
+
+    coefficients: dict[str, float]
+    intercept: float
+    gradient: dict[str, float]
+    rounds: int
+
+    def odds(self) -> str:
+        return " + ".join([f"{self.intercept!r}D", *(f"{b!r}D * CAST(`{c}` AS DOUBLE)" for c, b in self.coefficients.items())])
+
+    def pipeline(self) -> PipelineModel:
+        """A stage that adds the probability ``p``; saved and loaded like any other."""
+        return PipelineModel([SQLTransformer(statement=f"SELECT *, 1 / (1 + exp(-({self.odds()}))) AS p FROM __THIS__")])
+
+
+def _newton_sums(rows: DataFrame, cols: Sequence[str], label: str, w: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of the logistic loss at ``w``, intercept first; one short row per task is added up."""
+    d = len(w)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + d + d * d)
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), *(b.column(c).to_numpy(zero_copy_only=False) for c in cols)])
+            y = b.column(label).to_numpy(zero_copy_only=False)
+            z = x @ w
+            p = 0.5 * (1 + np.tanh(z / 2))
+            total[0] += (np.logaddexp(0, z) - y * z).sum()
+            total[1 : d + 1] += x.T @ (p - y)
+            total[d + 1 :] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    doubles = rows.select(*[F.col(c).cast("double").alias(c) for c in (*cols, label)])
+    out = np.zeros(1 + d + d * d)
+    for r in doubles.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+        out[r["i"]] = r["v"]
+    return out
+
+
+def fit_newton(train: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, tolerance: float = 1e-9, max_rounds: int = 100) -> NewtonFit:
+    """L2-penalised logistic regression by Newton steps on sums over the rows; ``c`` is the inverse penalty of the summed loss.
+
+    The intercept is not penalised. A step that does not lower the loss is halved. Ends when no
+    gradient is over ``tolerance``. One job per round, whose result is as long as the features squared. Rows need
+    all features; the table is read each round, so it should be a written one. Runs at once.
+    """
+    cols = list(cols)
+    d = len(cols) + 1
+    penalty = np.r_[0.0, np.full(d - 1, 1.0 / c)]
+    w = np.zeros(d)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        s = _newton_sums(train, cols, label, w)
+        return s[0] + 0.5 * (penalty * w * w).sum(), s[1 : d + 1] + penalty * w, s[d + 1 :].reshape(d, d) + np.diag(penalty)
+
+    loss, gradient, curve = at(w)
+    rounds = 0
+    while np.abs(gradient).max() > tolerance and rounds < max_rounds:
+        step = np.linalg.lstsq(curve, gradient, rcond=None)[0]
+        size = 1.0
+        while rounds < max_rounds:
+            rounds += 1
+            new = at(w - size * step)
+            # within rounding of the sum, a smaller gradient counts as well
+            if new[0] < loss or (new[0] <= loss * (1 + 1e-13) and np.abs(new[1]).max() < np.abs(gradient).max()):
+                break
+            size /= 2
+            if size < 1e-6:
+                return _fit(cols, w, gradient, rounds)
+        w = w - size * step
+        loss, gradient, curve = new
+    return _fit(cols, w, gradient, rounds)
+
+
+def _fit(cols: Sequence[str], w: np.ndarray, gradient: np.ndarray, rounds: int) -> NewtonFit:
+    left = dict(zip(["intercept", *cols], map(float, gradient)))
+    return NewtonFit(dict(zip(cols, map(float, w[1:]))), float(w[0]), left, rounds)
+
+
+def score_equations(train: DataFrame, fit: NewtonFit, label: str, c: float = 1.0) -> DataFrame:
+    """(feature, gradient) of the penalised loss at a fit, from the rows alone; all are zero at the solution."""
+    y = F.col(label).cast("double")
+    left = fit.pipeline().transform(train).agg(
+        F.sum(F.col("p") - y).alias("intercept"),
+        *[(F.sum((F.col("p") - y) * F.col(f).cast("double")) + F.lit(b / c)).alias(f) for f, b in fit.coefficients.items()],
+    )
+    names = left.columns
+    return left.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"`{n}`").alias("gradient")) for n in names])))
+
+
 def linear_terms(model: PipelineModel, cols: Sequence[str]) -> tuple[dict[str, float], float]:
     """Coefficient of each input and the intercept of a ``fit_lr`` model, for inputs before its scaler."""
     _, scaler, regression = model.stages
@@ -118,6 +212,8 @@ def linear_terms(model: PipelineModel, cols: Sequence[str]) -> tuple[dict[str, f
 
 
 def with_probability(scored: DataFrame) -> DataFrame:
+    if "p" in scored.columns:
+        return scored
     return scored.withColumn("p", vector_to_array("probability")[1])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stayscope.functions.columns import round_to
 from stayscope.operators import discovery, validate
 from stayscope.session import shared_folder
-from stayscope.sources import catalogs, sinks, tables
+from stayscope.sources import catalogs, sinks, tables, versions
 from stayscope.suite.policy_queries import simple
 from stayscope.suite.registry import query
 from stayscope.suite.windowed_queries import events
@@ -72,7 +72,7 @@ def _(x):
     return x.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("io4_layer_table", "SELECT subject_id, stay_id, concept_id, count(*) AS n, count(value) AS known FROM cv_ev GROUP BY 1, 2, 3")
+@query("io5_layer_table", "SELECT subject_id, stay_id, concept_id, count(*) AS n, count(value) AS known FROM cv_ev GROUP BY 1, 2, 3")
 def _(x):
     table = f"layer_{uuid.uuid4().hex}"
     sinks.write_layer(events(x).withColumn("part", F.col("concept_id") % 8), table, partition_by="part")
@@ -80,7 +80,7 @@ def _(x):
 
 
 @query(
-    "io12_concept_map",
+    "io4_concept_map",
     """SELECT itemid, max(arg_max) AS concept_name FROM (SELECT itemid, arg_max(label, itemid) AS arg_max FROM cv_matched GROUP BY 1) GROUP BY 1""",
 )
 def _(x):
@@ -97,3 +97,23 @@ def _(x):
 def _(x):
     found = validate.v_schema(x.silver, ["subject_id", "stay_id", "charttime", "concept_id"])
     return found.select("column_name", "present", x.silver.agg(F.count(F.lit(1))).scalar().alias("rows"))
+
+
+@query(
+    "io6_replace_layer",
+    """SELECT subject_id, stay_id, concept_id, count(*) AS n, count(value) AS known, count(*) FILTER (value > 100) AS high,
+              (SELECT count(*) FROM cv_ev) AS rows_before FROM cv_ev WHERE concept_id % 2 = 0 GROUP BY 1, 2, 3""",
+)
+def _(x):
+    path = _path(x, "replaced")
+    versions.replace_table(events(x), path)
+    before = versions.read_published(x.spark, path)
+    # the new rows come from the table that they replace
+    versions.replace_table(before.filter("concept_id % 2 = 0"), path)
+    # a writer that stops before publishing changes nothing
+    before.limit(0).write.parquet(versions.stage(path))
+    now = versions.read_published(x.spark, path)
+    out = now.groupBy("subject_id", "stay_id", "concept_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("known"), F.count(F.when(F.col("value") > 100, 1)).alias("high")
+    )
+    return out.withColumn("rows_before", before.agg(F.count(F.lit(1))).scalar())

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stayscope.functions.columns import round_to
-from stayscope.operators import explain, features, models
-from stayscope.suite.feature_queries import labelled, split
+from stayscope.operators import explain, features, models, preparation
+from stayscope.session import shared_folder
+from stayscope.suite.feature_queries import PHASE, labelled, split
 from stayscope.suite.registry import query
 from stayscope.suite.sql_views import VIEWS
 from stayscope.suite.stats_queries import rounded
@@ -247,11 +250,63 @@ def _(x):
     return rounded(models.best_model(two_metrics(x)), "roc_auc")
 
 
+def explained(x):
+    """50 test rows, as the feature has it, with contributions of the forest's inputs."""
+    df = ready(x)
+    sample = models.sample_rows(df.filter("split = 'test'"), 50, KEYS)
+    return x.written("explained", lambda: explain.sampled_contributions(sample, fitted(x, "rf"), FITTED, KEYS, df.filter("split = 'train'")))
+
+
 @query("m16_sampled_contributions")
 def _(x):
-    df = ready(x)
-    sample = models.sample_rows(df.filter("split = 'test'"), 50, KEYS)  # explanations of 50 rows are the feature
-    return explain.sampled_contributions(sample, fitted(x, "rf"), FITTED, KEYS, df.filter("split = 'train'"))
+    return explained(x)
+
+
+@query(
+    "m16_forest_adds_up",
+    """SELECT stay_id, charttime, TRUE AS adds_up, 8 AS features, 8 AS draws, TRUE AS has_error FROM
+       (SELECT * FROM cv_split WHERE split = 'test' ORDER BY md5(concat_ws('|', stay_id, charttime, 42)), stay_id, charttime LIMIT 50)""",
+)
+def _(x):
+    # the contributions of a row and the predictions of the background it met give its own prediction
+    total = explained(x).groupBy(*KEYS).agg(
+        (F.sum("contribution") + F.max("base")).alias("total"), F.count(F.lit(1)).alias("features"), F.max("draws").alias("draws"),
+        F.min(F.col("standard_error").isNotNull() & (F.col("standard_error") >= 0)).alias("has_error"),
+    )
+    sample = models.sample_rows(ready(x).filter("split = 'test'"), 50, KEYS)
+    p = models.with_probability(fitted(x, "rf").transform(sample)).select(*KEYS, "p")
+    return p.join(total, KEYS).select(*KEYS, (F.abs(F.col("total") - F.col("p")) < 1e-9).alias("adds_up"), "features", "draws", "has_error")
+
+
+@query(
+    "m10_newton_score_equations",
+    "SELECT unnest([" + ", ".join(f"'{c}'" for c in ["intercept", *FITTED]) + "]) AS feature, 0.0::DOUBLE AS gradient",
+)
+def _(x):
+    # at the solution every score equation holds; the sums are made anew from the rows
+    train = newton_rows(x)
+    return rounded(models.score_equations(train, models.fit_newton(train, FITTED, Y), Y), "gradient")
+
+
+def newton_rows(x):
+    return x.written("newton", lambda: ready(x).filter("split = 'train'").select(*KEYS, *FITTED, Y))
+
+
+@query(
+    "m10_newton_one_feature",
+    f"""SELECT * FROM (WITH RECURSIVE scale AS (SELECT avg(total_sofa_score) AS m, stddev_pop(total_sofa_score) AS s FROM cv_split WHERE split = 'train'),
+        points AS (SELECT (total_sofa_score - m) / s AS x, {Y}::DOUBLE AS y FROM cv_split, scale WHERE split = 'train'),
+        fit AS (
+          SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+          UNION ALL
+          SELECT i + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+          FROM (SELECT i, a, b, sum(p - y) AS ga, sum((p - y) * x) + b AS gb, sum(p * (1 - p)) AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p) * x * x) + 1 AS hbb
+                FROM (SELECT i, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM fit, points WHERE i < 25) GROUP BY i, a, b))
+        SELECT rnd(b, 6) AS coefficient, rnd(a, 6) AS intercept FROM fit WHERE i = 25)""",
+)
+def _(x):
+    fit = models.fit_newton(newton_rows(x), ["total_sofa_score"], Y)
+    return rounded(x.spark.range(1).select(F.lit(fit.coefficients["total_sofa_score"]).alias("coefficient"), F.lit(fit.intercept).alias("intercept")), "coefficient", "intercept")
 
 
 def fitted_contributions(x):
@@ -287,3 +342,34 @@ def _(x):
 def _(x):
     pred = scored(x).filter("model = 'lr'")
     return explain.case_contributions(fitted_contributions(x), explain.pick_cases(pred, Y, KEYS), KEYS)
+
+
+STORED = ["total_sofa_score", "hours_from_admission", "creatinine_level", "platelet_count", "gcs_total"]
+_FILLED = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM cv_split WHERE split = 'train'))::DOUBLE AS {c}" for c in STORED)
+VIEWS["cv_filled"] = f"SELECT stay_id, charttime, split, {PHASE} AS p, {_FILLED} FROM (SELECT *, hours_from_admission AS h FROM cv_split)"
+
+
+@query(
+    "io12_saved_pipeline",
+    "SELECT stay_id, charttime, CASE WHEN p IS NOT NULL THEN (SELECT count(DISTINCT g.p) FROM cv_filled g WHERE split = 'train' AND g.p < f.p)::DOUBLE END AS admission_phase_encoded, "
+    + ", ".join(f"rnd(({c} - (SELECT avg({c}) FROM cv_filled WHERE split = 'train')) / (SELECT stddev_pop({c}) FROM cv_filled WHERE split = 'train'), 5) AS {c}" for c in STORED)
+    + f", TRUE AS same, 'lr,newton' AS names, (SELECT count(*) FROM cv_split WHERE split = 'train') AS train_rows, '{Y}' AS target FROM cv_filled f",
+)
+def _(x):
+    # fitted on raw training rows, saved, loaded, and asked again
+    raw = features.temporal_split(features.temporal_features(labelled(x))).withColumn(Y, F.col(Y).cast("int"))
+    train = raw.filter("split = 'train'")
+    ready_made = preparation.fit_preparation(train, STORED, ["admission_phase"])
+    prepared = x.written("prepared", lambda: ready_made.transform(train))
+    inputs = STORED
+    fitted_models = {"lr": models.fit_lr(prepared, inputs, Y), "newton": models.fit_newton(prepared, inputs, Y).pipeline()}
+    made = preparation.Artefact(ready_made, fitted_models, {"features": inputs, "target": Y, "train_rows": train.count(), "balancing": "none", "split": "temporal"})
+    path = f"{shared_folder(x.spark)}/{x.spark.sparkContext.applicationId}/artefact-{uuid.uuid4().hex}"
+    preparation.save_artefact(made, path)
+    found = preparation.load_artefact(x.spark, path)
+    again = {n: models.with_probability(found.predict(raw, n)).select(*KEYS, *inputs, "admission_phase_encoded", F.col("p").alias(f"p_{n}")) for n in found.models}
+    before = {n: models.with_probability(made.predict(raw, n)).select(*KEYS, F.col("p").alias(f"q_{n}")) for n in made.models}
+    out = again["lr"].join(again["newton"].select(*KEYS, "p_newton"), KEYS).join(before["lr"], KEYS).join(before["newton"], KEYS)
+    out = out.withColumn("same", (F.col("p_lr") == F.col("q_lr")) & (F.col("p_newton") == F.col("q_newton")) & F.col("p_lr").between(0, 1))
+    out = out.withColumns({"names": F.lit(",".join(sorted(found.models))), "train_rows": F.lit(found.metadata["train_rows"]).cast("bigint"), "target": F.lit(found.metadata["target"])})
+    return rounded(out.select(*KEYS, *inputs, "admission_phase_encoded", "same", "names", "train_rows", "target"), *STORED, digits=5)
