@@ -12,7 +12,8 @@ of the levels there are, and a suffix whose window is found there, or earlier in
 batch, starts a repeat. What is new becomes a level, and levels of like size merge,
 so that a family of n suffixes has about log n levels and each suffix is merged as often.
 
-Copies never meet in number: of equal stretches in one slice of documents all but
+Copies never meet in number: of equal texts the earliest alone is searched, the others
+are repeats as a whole, and of equal stretches in one slice of documents all but
 the earliest are repeats at once and do not travel. A prefix with more than ``group``
 stretches is dealt by salts first, where equal stretches collapse again; the
 earliest ones meet under their prefix or, if still more than ``group`` are unlike,
@@ -91,6 +92,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return named.withColumn("doc_key", F.xxhash64("id", F.coalesce("text", F.lit(""))))
 
 
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(doc_key, id, size): documents whose whole text an earlier id has; only hashes of 128 bits travel."""
+    text = F.coalesce("text", F.lit(""))
+    # the seed of a hash is what went before, so the second is another function of the text
+    narrow = keyed.select("doc_key", "id", F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("hi"), F.xxhash64(F.lit(1), text).alias("lo"))
+    first = narrow.groupBy("hi", "lo").agg(F.min("id").alias("least"))
+    return narrow.join(first, ["hi", "lo"]).filter("id > least").select("doc_key", "id", "size").distinct()
+
+
 def _wanted(keyed: DataFrame, size: Repeats) -> DataFrame:
     """(doc_key, few, many): prefixes of each document that recur, apart for those of more than ``group`` stretches."""
 
@@ -294,7 +304,9 @@ def _whole_windows(stretch: DataFrame, size: Repeats) -> DataFrame:
 
 def removals(keyed: DataFrame, size: Repeats = Repeats()) -> DataFrame:
     """(doc_key, id, low, high): byte ranges of the texts of (text, id, doc_key) that start a string found earlier."""
-    wanted, path = written_path(_wanted(keyed, size), "recurring-prefixes")
+    copies = written_table(_copies(keyed), "whole-copies")
+    # a copy of a whole text goes at once and takes no part in the search
+    wanted, path = written_path(_wanted(keyed, size).join(copies, "doc_key", "left_anti"), "recurring-prefixes")
     met = written_table(_meet(_found(keyed.select("doc_key", "id", "text"), wanted, size), size), "repeats")
     delete_path(keyed.sparkSession, path)
     left = met.filter("prefix IS NOT NULL")
@@ -303,6 +315,7 @@ def removals(keyed: DataFrame, size: Repeats = Repeats()) -> DataFrame:
     small = left.filter("NOT large").select("doc_key", "id", "low", "high", "prefix", F.lit(0).alias("salt"), "span")
     out = met.filter("prefix IS NULL").select("doc_key", "id", "low", "high")
     out = out.unionByName(_meet(small, size).select("doc_key", "id", "low", "high"))
+    out = out.unionByName(copies.filter(F.col("size") >= size.length).select("doc_key", "id", F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
     return out.unionByName(_whole_windows(left.filter("large"), size))
 
 
