@@ -1,10 +1,10 @@
 """Shards of nearly equal bytes from sampled splitters.
 
-Records are ordered by a hash of their text, then by one of their id, so equal
-texts lie together. Size-weighted samples of these keys give quantile
+Records are ordered by a hash of their text, then by one of their id and row, so
+equal texts lie together and no two records are alike. Size-weighted samples of these keys give quantile
 boundaries; records fall into the ranges between them; ranges that are overfull,
 or that cross the end of a shard, are subdivided by a new sample of their own.
-A group of equal texts is cut only if it is larger than ``tolerance`` of a
+This goes on until none is left that can be cut. A group of equal texts is cut only if it is larger than ``tolerance`` of a
 shard and overfull or crossing. Ranges then go to shards in order.
 
 Only splitters and one sum per range reach the driver: both are bounded by
@@ -51,7 +51,8 @@ def record_keys(docs: DataFrame) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
-        F.xxhash64("doc_id").alias("id_key"),
+        # no two rows alike, so that a group of repeated rows can be cut anywhere; fixed once the keys are written
+        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("id_key"),
     )
 
 
@@ -101,7 +102,9 @@ def plan_shards(keys: DataFrame, shards: int = 8, ranges: int = 512, sample: int
     """Splitters for ``keys``; they are read a few times, so pass a written table."""
     total = keys.agg(F.sum("size")).first()[0] or 0
     bounds = sorted(set(_quantiles(_sample(keys, total, sample, 0), ranges, True)))
-    for level in range(1, 5):
+    level = 0
+    while True:
+        level += 1
         text, ident = np.array([b[0] for b in bounds], np.int64), np.array([b[1] for b in bounds], np.int64)
         rows, size = _totals(keys, text, ident)
         upto = np.cumsum(size)
@@ -109,13 +112,15 @@ def plan_shards(keys: DataFrame, shards: int = 8, ranges: int = 512, sample: int
         crossing = np.zeros(len(size), bool)
         crossing[np.searchsorted(upto, ends)[: len(size)].clip(max=len(size) - 1)] = True
         split = (rows > 1) & ((size > 2 * total / ranges) | (crossing & (size > tolerance * total / shards)))
-        if level == 4 or not split.any():
+        if not split.any():
             break
         chosen = with_range(keys, text, ident).join(F.broadcast(keys.sparkSession.createDataFrame([(int(i),) for i in np.flatnonzero(split)], "range int")), "range")
         drawn: dict[int, list] = {}
         for r in _sample(chosen, int(size[split].sum()), sample, level):
             drawn.setdefault(int(_range_of(text, ident, np.array([r["text_key"]]), np.array([r["id_key"]]))[0]), []).append(r)
         more = [b for i, d in drawn.items() for b in _quantiles(d, max(16, int(2 * size[i] * ranges / max(total, 1))), level == 1)]
+        if not set(more) - set(bounds) and level > 1:
+            break  # what is overfull is a single large row
         bounds = sorted({*bounds, *more})
     middle = upto - size / 2
     shard = np.minimum((middle * shards / max(total, 1)).astype(np.int64), shards - 1)
@@ -153,4 +158,4 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, **limits) -> None:
 
 
 def _key_column(name: str):
-    return {"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "text_crc32": F.lit(0).cast("long"), "text_key": F.xxhash64(F.coalesce("text", F.lit(""))), "id_key": F.xxhash64("doc_id")}[name]
+    return {"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "text_crc32": F.lit(0).cast("long"), "text_key": F.xxhash64(F.coalesce("text", F.lit(""))), "id_key": F.xxhash64("doc_id", F.monotonically_increasing_id())}[name]
