@@ -21,7 +21,10 @@ so a repeated task leaves whole files only.
 
 Defined cases: a null or empty text is one end token; white space cuts words;
 without training rows every token has probability one over one unknown word;
-repeated rows count as often as they are there.
+repeated rows count as often as they are there; where the counts of counts give no
+discounts, as in a corpus whose rows all repeat, 0.5, 1 and 1.5 are taken, so that
+no text has probability zero. Words are numbered in 32 bits: 4 billion
+distinct words at most, beyond which training fails.
 """
 
 from __future__ import annotations
@@ -177,12 +180,21 @@ def _shard_of(keys: np.ndarray, size: int, shards: int, hot: np.ndarray, hot_bas
     return out
 
 
+#: Discounts where the counts of counts give no estimate between nothing and the whole count
+_FALLBACK = np.array([0.5, 1.0, 1.5])
+
+
 def _discounts(seen: np.ndarray) -> np.ndarray:
-    """The three discounts from how many are counted once, twice, three and four times."""
+    """The three discounts from how many are counted once, twice, three and four times; always positive.
+
+    Small or repeated corpora may have no such counts, or estimates out of range; then all three are ``_FALLBACK``.
+    """
     n1, n2, n3, n4 = (float(x) for x in seen)
-    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.0
-    d = [k - (k + 1) * y * (b / a) if a else 0.0 for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.clip(d, 0.0, [1.0, 2.0, 3.0])
+    if not (n1 and n2 and n3):
+        return _FALLBACK
+    y = n1 / (n1 + 2 * n2)
+    d = np.array([1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3])
+    return d if (d > 0).all() and (d <= [1.0, 2.0, 3.0]).all() else _FALLBACK
 
 
 def _few(counts: np.ndarray) -> np.ndarray:
@@ -241,7 +253,8 @@ def train(docs: DataFrame) -> Model:
         shard = table.column("group")[0].as_py()
         keys, counts = _merged(table)
         _save(folder, f"bigrams-{shard}", keys)
-        _save(folder, f"bigram-counts-{shard}", counts.astype(np.uint32))
+        # four bytes a count unless one needs eight
+        _save(folder, f"bigram-counts-{shard}", counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64))
         prev, following = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         cut = np.flatnonzero(np.r_[True, prev[1:] != prev[:-1]])
         add = lambda x: np.add.reduceat(x.astype(np.int64), cut)
@@ -336,7 +349,8 @@ def _bigram_counts(model: Model, keys: np.ndarray) -> np.ndarray:
         known = _mapped(path, "u8")
         at = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
         hit = known[at] == keys[own]
-        out[own[hit]] = _mapped(path.replace("/bigrams-", "/bigram-counts-"), "u4")[at[hit]]
+        counted = path.replace("/bigrams-", "/bigram-counts-")
+        out[own[hit]] = _mapped(counted, "u4" if os.path.getsize(counted) == 4 * len(known) else "u8")[at[hit]]
     return out
 
 

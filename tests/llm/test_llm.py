@@ -61,8 +61,11 @@ def brute_scores(docs, learn, score):
 
     def discounts(c):
         k = Counter(c.values())
-        y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0
-        return [0, *(min(max(i - (i + 1) * y * k[i + 1] / k[i], 0), i) if k[i] else 0 for i in (1, 2, 3))]
+        if not (k[1] and k[2] and k[3]):
+            return [0, 0.5, 1, 1.5]
+        y = k[1] / (k[1] + 2 * k[2])
+        found = [i - (i + 1) * y * k[i + 1] / k[i] for i in (1, 2, 3)]
+        return [0, *(found if all(0 < x <= i for i, x in enumerate(found, 1)) else (0.5, 1, 1.5))]
 
     after = Counter(b for _, b in pairs)
     d, d0, total, rest = discounts(pairs), discounts(after), Counter(), defaultdict(float)
@@ -114,6 +117,16 @@ def test_op1_odd(spark, odd, none):
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in unlearned)
 
 
+def test_op1_repeated_corpus_has_no_impossible_text(spark):
+    probes = ["a b c d", "d c b a", "x", "a q", ""]
+    for corpus in (["a b c d", "c d e"] * 5, ["a b", "a c", "b c", "a a", "q r"], ["same"] * 7, [""] * 3):
+        docs = list(enumerate(corpus))
+        model = ngram.train(spark.createDataFrame(docs, "doc_id long, text string"))
+        got = ngram.score(spark.createDataFrame([(i, t) for i, t in enumerate(probes)], "doc_id long, text string"), model).collect()
+        assert all(math.isfinite(r["score"]) and r["score"] < 0 and math.isfinite(r["perplexity"]) for r in got)
+        model.delete()
+
+
 # 2: fingerprints
 
 
@@ -378,6 +391,17 @@ def test_op8_hot_group_is_cut(spark):
     assert max(size.values()) < 1.03 * min(size.values())
 
 
+@pytest.mark.parametrize("row", [(7, "one row over and over"), (None, "one row over and over"), (None, None)])
+def test_op8_repeated_rows_are_cut(spark, row):
+    docs = [row if i % 2 else (i, f"text number {i}") for i in range(8000)]
+    rows = sharding.shard_table(spark.createDataFrame(docs, "doc_id long, text string"), 8, ranges=64, sample=4000).collect()
+    check_shards(rows, 8)
+    size = Counter()
+    for r in rows:
+        size[r["shard"]] += r["size"]
+    assert len(size) == 8 and max(size.values()) < 1.03 * min(size.values())
+
+
 def test_op8_odd(spark, odd, none, tmp_path):
     rows = sharding.shard_table(odd).collect()
     check_shards(rows, 8)
