@@ -24,7 +24,7 @@ REPORTS = [
     "a17_hourly_patterns", "a18_patient_sofa_summary", "a19_daily_sofa_trends", "a22_t12_severity_histogram", "v14_layers",
     "j10_t9_locf", "c17_windowed_scores", "c30_run_mean_policy", "c30_run_median_policy", "s1_s3_s4_s6_compare_scores",
     "t6_j6_time_aware_dataset", "m1_temporal_features", "m5_handle_missing", "t10_temporal_split", "m12_evaluate",
-    "a27_aggregate_median", "c31_run_simple_median",
+    "a27_aggregate_median", "c31_run_simple_median", "m9_smote", "m10_newton_score_equations",
 ]
 
 

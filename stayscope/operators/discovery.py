@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayscope.functions.columns import small_table
 from stayscope.operators.ordered import exact_quantiles
+from stayscope.operators.reports import add_distinct
 
 # Search terms per organ system, in matching order
 TERMS = {
@@ -88,10 +89,11 @@ def discover_items(events: DataFrame, dictionary: DataFrame, source: str, value:
     stats = fine.groupBy("itemid").agg(
         F.sum("n").alias("measurement_count"),
         F.count_distinct("subject_id").alias("patient_count"),
-        (F.count_distinct("stay_id") if with_stay else F.lit(None).cast("bigint")).alias("stay_count"),
         F.min("lo").alias("min_value"),
         F.max("hi").alias("max_value"),
     ).filter(F.col("measurement_count") >= at_least)
+    # counted apart: two distinct counts in one aggregation would multiply the rows
+    stats = add_distinct(stats, fine, ["itemid"], {"stay_count": "stay_id"}) if with_stay else stats.withColumn("stay_count", F.lit(None).cast("bigint"))
     middle = exact_quantiles(rows, ["itemid"], value, {"median_value": 0.5})
     found = stats.join(middle, "itemid").join(dictionary.drop("param_type"), "itemid")
     if unit:

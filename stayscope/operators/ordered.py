@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from stayscope.functions.columns import columns_except, join_null_safe, micros
 from stayscope.session import reliable_checkpoint, written_table
 
-_STEPS_PER_OCTAVE = 4096
+_STEPS_PER_OCTAVE = 16384
 _FINEST = float(2**20)
 #: Equal steps that one round of narrowing cuts a bucket into
 _STEPS = 4096
@@ -28,7 +30,7 @@ _SMALL = 10_000
 
 
 def _bucket(v: Column) -> Column:
-    """Monotone bucket of ``v``: logarithmic steps of 0.017 % on both sides of zero."""
+    """Monotone bucket of ``v``: logarithmic steps of 0.004 % on both sides of zero."""
     octaves = F.log2(1.0 + F.abs(v) * _FINEST)
     return (F.signum(v) * F.floor(octaves * _STEPS_PER_OCTAVE)).cast("bigint")
 
@@ -38,9 +40,22 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
     Runs at once. Spark knows the size of both, so it decides by it whether a join broadcasts.
     """
-    spark = df.sparkSession
+    return _settled(df, name)[0]
+
+
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, pa.Table | None]:
+    """As ``settled``, with the rows themselves if they are few."""
     head = df.limit(_SMALL + 1).toArrow()
-    return spark.createDataFrame(head, df.schema) if head.num_rows <= _SMALL else written_table(df, name)
+    if head.num_rows > _SMALL:
+        return written_table(df, name), None
+    return df.sparkSession.createDataFrame(head, df.schema), head
+
+
+def _widest(found: DataFrame, head: pa.Table | None) -> int | None:
+    """Most rows of a bucket that holds more than one value."""
+    if head is None:
+        return found.filter("_lo < _hi").agg(F.max("_n")).first()[0]
+    return pc.max(head.filter(pc.less(head.column("_lo"), head.column("_hi"))).column("_n")).as_py()
 
 
 def running_totals(hist: DataFrame, by: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
@@ -108,18 +123,15 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping
     counts = rows.groupBy(*by, "_b").agg(*ends)
     counts = counts.withColumns({"_total": F.sum("_n").over(W.partitionBy(*by)), "_base": F.lit(0).cast("bigint")})
     columns = [*by, "_b", "_lo", "_hi", "_n", "_before", "_total"]
-    found = settled(_at_ranks(counts, by, "_b", ranks).select(*columns), "quantile-buckets")
-    while True:
-        most = found.filter("_lo < _hi").agg(F.max("_n")).first()[0]
-        if most is None:
-            break
+    found, head = _settled(_at_ranks(counts, by, "_b", ranks).select(*columns), "quantile-buckets")
+    while (most := _widest(found, head)) is not None:
         wide = found.filter("_lo < _hi").select(*by, "_b", "_lo", "_hi", F.col("_before").alias("_base"), "_total")
         inside = join_null_safe(rows, wide, [*by, "_b"]).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         cell = [*by, "_b", "_lo", "_hi", "_base", "_total"]
         step = F.col("_v") if most <= _FEW_ROWS else F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _STEPS)
         narrow = inside.groupBy(*cell, step.alias("_step")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         narrow = _at_ranks(narrow, cell, "_step", ranks).withColumns({"_lo": F.col("_least"), "_hi": F.col("_most")}).select(*columns)
-        found = settled(found.filter("_lo = _hi").unionByName(narrow), "quantile-buckets")
+        found, head = _settled(found.filter("_lo = _hi").unionByName(narrow), "quantile-buckets")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_lo")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,25 +23,36 @@ def count_by(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def key_counts(df: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
-    """Rows (``_rows``) and further sums per combination of ``keys``; several distinct counts then expand these, not the raw rows."""
+    """Rows (``_rows``) and further sums per combination of ``keys``; several distinct counts read these, not the raw rows."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(n) for n, c in sums.items()])
 
 
+def add_distinct(base: DataFrame, ids: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """``base``, with one row per ``by``, and exact numbers of distinct values of ``ids`` (name: column).
+
+    Each is counted on its own over the shared key rows, so that no row is
+    multiplied by the number of counts.
+    """
+    if not by:
+        return base.select("*", *[ids.agg(F.count_distinct(c)).scalar().alias(name) for name, c in columns.items()])
+    for name, c in columns.items():
+        base = join_null_safe(base, ids.groupBy(*by).agg(F.count_distinct(c).alias(name)), by)
+    return base
+
+
 def coverage_totals(df: DataFrame) -> DataFrame:
-    return key_counts(df, ["subject_id", "stay_id", "itemid"]).agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("records"),
-        F.count_distinct("subject_id").alias("patients"),
-        F.count_distinct("stay_id").alias("stays"),
-        F.count_distinct("itemid").alias("items"),
-    )
+    each = key_counts(df, ["subject_id", "stay_id", "itemid"])
+    total = each.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("records"))
+    return add_distinct(total, each, [], {"patients": "subject_id", "stays": "stay_id", "items": "itemid"})
 
 
 def coverage_by_system(df: DataFrame) -> DataFrame:
     """Patients and stays per system and their share of all patients."""
     all_patients = df.agg(F.count_distinct("subject_id").alias("n")).scalar()
-    return df.groupBy("sofa_system").agg(
-        F.count_distinct("subject_id").alias("patients"), F.count_distinct("stay_id").alias("stays")
-    ).withColumn("patient_percent", percent(F.col("patients"), all_patients))
+    ids = df.select("sofa_system", "subject_id", "stay_id").distinct()
+    found = ids.groupBy("sofa_system").agg(F.count_distinct("subject_id").alias("patients"))
+    found = add_distinct(found, ids, ["sofa_system"], {"stays": "stay_id"})
+    return found.withColumn("patient_percent", percent(F.col("patients"), all_patients))
 
 
 def silver_by_system(silver: DataFrame) -> DataFrame:
@@ -79,15 +90,9 @@ def layer_rates(bronze: DataFrame, silver: DataFrame) -> DataFrame:
 def silver_summary(df: DataFrame) -> DataFrame:
     """Scalar metrics of the first-generation silver table."""
     flags = {c: F.when(F.col(c), 1).otherwise(0) for c in ("is_outlier", "error_flag")}
-    return key_counts(df, ["subject_id", "stay_id", "concept_id", "itemid"], **flags).agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_records"),
-        F.count_distinct("subject_id").alias("unique_patients"),
-        F.count_distinct("stay_id").alias("unique_stays"),
-        F.count_distinct("concept_id").alias("unique_concepts"),
-        F.count_distinct("itemid").alias("unique_items"),
-        F.sum("is_outlier").alias("outliers"),
-        F.sum("error_flag").alias("errors"),
-    )
+    each = key_counts(df, ["subject_id", "stay_id", "concept_id", "itemid"], **flags)
+    total = each.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_records"), F.sum("is_outlier").alias("outliers"), F.sum("error_flag").alias("errors"))
+    return add_distinct(total, each, [], {"unique_patients": "subject_id", "unique_stays": "stay_id", "unique_concepts": "concept_id", "unique_items": "itemid"})
 
 
 def patient_summaries(silver: DataFrame) -> DataFrame:
@@ -116,13 +121,11 @@ def patient_summaries(silver: DataFrame) -> DataFrame:
         wanted = F.col("concept_name") == concept
         return round_to(F.sum(F.when(wanted, F.col("value_sum"))) / F.sum(F.when(wanted, F.col("n"))), digits)
 
-    return fine.groupBy("subject_id").agg(
-        F.count_distinct("hadm_id").alias("total_admissions"),
+    base = fine.groupBy("subject_id").agg(
         F.sum("n").alias("total_measurements"),
         F.min("t0").alias("first_measurement"),
         F.max("t1").alias("last_measurement"),
         whole_days_between(F.min("t0"), F.max("t1")).alias("measurement_span_days"),
-        F.count_distinct("itemid").alias("unique_parameters"),
         *[mean_of(c, d).alias(name) for name, (c, d) in concepts.items()],
         F.sum("outliers").alias("outlier_count"),
         F.sum("conversions").alias("unit_conversions"),
@@ -130,6 +133,7 @@ def patient_summaries(silver: DataFrame) -> DataFrame:
         F.sum("chart").alias("chart_measurements"),
         F.sum("lab").alias("lab_measurements"),
     )
+    return add_distinct(base, fine, ["subject_id"], {"total_admissions": "hadm_id", "unique_parameters": "itemid"})
 
 
 def clinical_indicators(silver: DataFrame) -> DataFrame:
@@ -143,8 +147,6 @@ def clinical_indicators(silver: DataFrame) -> DataFrame:
     outlier, converted = has_flag("OUTLIER_DETECTED"), has_flag("UNIT_CONVERTED")
     base = rows.groupBy(*keys).agg(
         _rows().alias("total_measurements"),
-        F.count_distinct("subject_id").alias("unique_patients"),
-        F.count_distinct("hadm_id").alias("unique_admissions"),
         round_to(F.avg("valuenum_std"), 3).alias("mean_value"),
         round_to(F.stddev_samp("valuenum_std"), 3).alias("std_deviation"),
         round_to(F.min("valuenum_std"), 3).alias("min_value"),
@@ -159,6 +161,8 @@ def clinical_indicators(silver: DataFrame) -> DataFrame:
         whole_days_between(F.min("charttime"), F.max("charttime")).alias("measurement_span_days"),
     )
     marks = exact_quantiles(rows, keys, "valuenum_std", {"p05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95})
+    ids = rows.select(*keys, "subject_id", "hadm_id").distinct()
+    base = add_distinct(base, ids, keys, {"unique_patients": "subject_id", "unique_admissions": "hadm_id"})
     joined = join_null_safe(base, marks, keys)
     return joined.withColumns({c: round_to(c, 3) for c in ("p05", "q25", "median", "q75", "p95")})
 
@@ -186,16 +190,13 @@ def hourly_patterns(silver: DataFrame) -> DataFrame:
 
 
 def quality_summary(silver: DataFrame) -> DataFrame:
-    """Six metrics as rows, from one pass."""
+    """Six metrics as rows."""
     one = silver.agg(
-        _rows().cast("string").alias("a"),
-        F.count_distinct("subject_id").cast("string").alias("b"),
-        F.count_distinct("concept_name").cast("string").alias("c"),
-        count_if(has_flag("OUTLIER_DETECTED")).cast("string").alias("d"),
-        count_if(has_flag("UNIT_CONVERTED")).cast("string").alias("e"),
-        count_if(has_flag("DUPLICATE_RESOLVED")).cast("string").alias("f"),
+        _rows().alias("a"), count_if(has_flag("OUTLIER_DETECTED")).alias("d"), count_if(has_flag("UNIT_CONVERTED")).alias("e"),
+        count_if(has_flag("DUPLICATE_RESOLVED")).alias("f"),
     )
-    return one.selectExpr(
+    one = add_distinct(one, silver.select("subject_id", "concept_name").distinct(), [], {"b": "subject_id", "c": "concept_name"})
+    return one.select(*[F.col(c).cast("string").alias(c) for c in "abcdef"]).selectExpr(
         """stack(6, 'Silver Layer Overview', 'Total Records', a, 'records',
                     'Silver Layer Overview', 'Unique Patients', b, 'patients',
                     'Silver Layer Overview', 'Unique Parameters', c, 'parameters',
@@ -258,16 +259,15 @@ def gold_summary(scores: DataFrame) -> DataFrame:
         count_if(F.col("disease_type") == "ARI").alias("_ari"),
         count_if(F.col("disease_type") == "OTHER").alias("_other"),
     )
-    return per_stay.agg(
+    total = per_stay.agg(
         F.coalesce(F.sum("_rows"), F.lit(0)).alias("total_windows"),
-        F.count_distinct("subject_id").alias("unique_patients"),
-        F.count_distinct("stay_id").alias("unique_stays"),
         round_to(F.sum("_sum") / F.nullif(F.sum("_scored"), F.lit(0)), 4).alias("avg_sofa"),
         F.min("_min").alias("min_sofa"),
         F.max("_max").alias("max_sofa"),
         F.coalesce(F.sum("_ari"), F.lit(0)).alias("ari_windows"),
         F.coalesce(F.sum("_other"), F.lit(0)).alias("other_windows"),
     )
+    return add_distinct(total, per_stay, [], {"unique_patients": "subject_id", "unique_stays": "stay_id"})
 
 
 def severity_histogram(scores: DataFrame, total: str = "total_sofa_score") -> DataFrame:
@@ -295,15 +295,15 @@ def availability(scores: DataFrame, threshold: float = 0.8) -> DataFrame:
 def score_range(scores: DataFrame, high: int = 10) -> DataFrame:
     per_patient = scores.groupBy("subject_id").agg(F.max("total_sofa_score").alias("top"))
     risky = per_patient.agg(count_if(F.col("top") >= high)).scalar()
-    return scores.agg(
+    total = scores.agg(
         _rows().alias("scores"),
-        F.count_distinct("subject_id").alias("patients"),
-        F.count_distinct("stay_id").alias("stays"),
         F.min("total_sofa_score").alias("min_score"),
         F.max("total_sofa_score").alias("max_score"),
         round_to(F.avg("total_sofa_score"), 2).alias("avg_score"),
         round_to(F.avg(hours_between("window_start", "window_end")), 2).alias("avg_window_hours"),
-    ).withColumn("high_risk_patients", risky)
+    )
+    ids = scores.select("subject_id", "stay_id").distinct()
+    return add_distinct(total, ids, [], {"patients": "subject_id", "stays": "stay_id"}).withColumn("high_risk_patients", risky)
 
 
 def assess_layers(bronze: DataFrame, silver: DataFrame) -> DataFrame:
@@ -354,11 +354,8 @@ def profile_table(df: DataFrame) -> DataFrame:
     ids = [f.name for f in df.schema if f.name.endswith("_id") or f.name == "itemid"]
     flags = [f.name for f in df.schema if f.dataType.typeName() == "boolean"]
     each = key_counts(df, ids, **{f"true_{c}": F.when(F.col(c), 1).otherwise(0) for c in flags})
-    return each.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"),
-        *[F.count_distinct(c).alias(f"distinct_{c}") for c in ids],
-        *[F.coalesce(F.sum(f"true_{c}"), F.lit(0)).alias(f"true_{c}") for c in flags],
-    )
+    total = each.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("row_count"), *[F.coalesce(F.sum(f"true_{c}"), F.lit(0)).alias(f"true_{c}") for c in flags])
+    return add_distinct(total, each, [], {f"distinct_{c}": c for c in ids})
 
 
 def sample_row(df: DataFrame, *keys: str) -> DataFrame:
