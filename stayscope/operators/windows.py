@@ -44,15 +44,19 @@ def daily_windows(df: DataFrame, hours: int = 24, by: Sequence[str] = STAY, time
     )
 
 
+def window_numbers(stays: DataFrame, hours: int = 24, max_windows: int | None = None) -> DataFrame:
+    """Each stay once for every window from its admission to its discharge, whether anything happened in it or not."""
+    count = F.ceil((micros("outtime") - micros("intime")) / (hours * MICROS_PER_HOUR)).cast("int")
+    if max_windows is not None:
+        count = F.least(count, F.lit(max_windows))
+    return stays.filter(count > 0).withColumn("window_number", F.explode(F.sequence(F.lit(1), count)))
+
+
 def stay_windows(stays: DataFrame, hours: int = 24, max_windows: int | None = None) -> DataFrame:
     """Half-open windows from admission to discharge, where the last one is cut; all of them unless ``max_windows`` is given."""
     width = hours * MICROS_PER_HOUR
     start, stop = micros("intime"), micros("outtime")
-    count = F.ceil((stop - start) / width).cast("int")
-    if max_windows is not None:
-        count = F.least(count, F.lit(max_windows))
-    rows = stays.withColumn("_n", count).filter(F.col("_n") > 0)
-    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = window_numbers(stays, hours, max_windows).withColumn("_i", F.col("window_number") - 1)
     begin = start + F.col("_i").cast("bigint") * width
     return rows.select(
         *[c for c in stays.columns if c not in ("intime", "outtime")],

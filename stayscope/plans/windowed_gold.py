@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from stayscope.functions import sofa_rules as rules_
 from stayscope.operators.extract import eligible_stays, label_cohort
-from stayscope.operators.imputation import fill_parameters, population_medians, wide_parameters, window_aggregates
-from stayscope.operators.windows import add_window_bounds, events_in_windows
+from stayscope.operators.imputation import WINDOW, fill_parameters, population_medians, wide_parameters, window_aggregates
+from stayscope.operators.windows import add_window_bounds, events_in_windows, window_numbers
 from stayscope.session import written_table
 
 PARAMETERS = [
@@ -29,7 +29,7 @@ class WindowSettings:
 
     hours: int = 24
     max_windows: int | None = None
-    min_measurements: int = 1  # a window without a measurement has nothing to score
+    min_measurements: int = 1  # 0 keeps windows without any, which only imputation can fill
     lookback_hours: float | None = 24.0
     use_medians: bool = True
     median_min_count: int = 10
@@ -92,13 +92,16 @@ def windowed_scores(events: DataFrame, stays: DataFrame, rules: DataFrame, cohor
 
     ``events`` are silver rows (subject, stay, time, concept, value); ``rules``
     map parameters to concepts and aggregations; ``cohort`` lists the patients
-    whose medians fill gaps and who carry the cohort label.
+    whose medians fill gaps and who carry the cohort label. Writes the windows and medians at once.
     """
     eligible = eligible_stays(stays, settings.min_stay_hours, settings.max_stay_days).drop("duration_hours")
     placed = events_in_windows(events, eligible, settings.hours, settings.max_windows)
     # a stay's columns follow from its ids; as keys they need no join later
     keys = [*eligible.columns, "window_number"]
     wide = wide_parameters(window_aggregates(placed, keys), rules, PARAMETERS, keys).filter(F.col("measurements") >= settings.min_measurements)
+    if settings.min_measurements < 1:
+        empty = window_numbers(eligible, settings.hours, settings.max_windows).join(wide, WINDOW, "left_anti")
+        wide = wide.unionByName(empty.withColumn("measurements", F.lit(0).cast("bigint")), allowMissingColumns=True)
     # one row per window, read for what is empty and for the rest
     kept = written_table(add_window_bounds(wide, settings.hours).drop("outtime"), "windows")
     # a row per concept, which the filling plan would otherwise work out once for every parameter

@@ -101,6 +101,32 @@ def read_published(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(version)
 
 
+def add_batch(df: DataFrame, path: str, batch: int) -> bool:
+    """Publish ``df`` as batch number ``batch`` of the table at ``path``, once: a batch that is there already is left as it is.
+
+    For sinks of streams, which may run a batch again after a failure. Such a table is read by ``read_batches``.
+    """
+    spark = df.sparkSession
+    known = _children(spark, f"{path}/{_POINTERS}")
+    if f"{batch + 1:020d}" in known:
+        return False
+    version = stage(path)
+    df.write.mode("errorifexists").parquet(version)
+    try:
+        publish(spark, path, version, batch)
+    except Conflict:  # another run of the batch was faster
+        return False
+    return True
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all published batches."""
+    numbers = [int(name) for name in _children(spark, f"{path}/{_POINTERS}") if name.isdigit()]
+    if not numbers:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    return spark.read.parquet(*[f"{path}/{_VERSIONS}/{_named(spark, path, n)}" for n in sorted(numbers)])
+
+
 def drop_versions(spark: SparkSession, path: str, keep: int = 1, abandoned: bool = False) -> list[str]:
     """Delete all but the last ``keep`` published versions, and on demand what was staged and never published.
 

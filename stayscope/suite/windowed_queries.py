@@ -88,6 +88,15 @@ VIEWS["cv_g1gold"] = """
       CASE WHEN subject_id IN (SELECT subject_id FROM cv_cohort) THEN 'ARI' ELSE 'OTHER' END AS disease_type
     FROM cv_kept k JOIN cv_g1sub s USING (subject_id, stay_id, window_number)"""
 
+# The same with all windows of a stay, those without an event included
+VIEWS["cv_kept_all"] = VIEWS["cv_kept"].replace("SELECT w.*, n.measurements", "SELECT w.*, coalesce(n.measurements, 0) AS measurements").replace("cv_win w JOIN", "cv_win w LEFT JOIN")
+_CHAIN = ["cv_kept", "cv_grid", "cv_locf", "cv_full", "cv_wide", "cv_g1sub", "cv_g1gold"]
+for _name in _CHAIN[1:]:
+    _sql = VIEWS[_name]
+    for _old in _CHAIN:
+        _sql = _sql.replace(f"{_old} ", f"{_old}_all ").replace(f"{_old})", f"{_old}_all)")
+    VIEWS[f"{_name}_all"] = _sql
+
 SETTINGS = windowed_gold.WindowSettings()
 
 
@@ -201,10 +210,9 @@ G1_SHOWN = """subject_id, hadm_id, stay_id, window_start, window_end, window_num
 VALUES = ["pao2", "fio2", "spo2", "map", "platelets", "bilirubin", "gcs_total", "creatinine", "urine_output_24h", "pao2_fio2_ratio", "spo2_fio2_ratio"]
 
 
-@query("c17_windowed_scores", f"SELECT {G1_SHOWN} FROM cv_g1gold")
-def _(x):
+def shown(df):
     return (
-        gold_plan(x)
+        df
         .withColumns({c: round_to(c, 4) for c in VALUES})
         .withColumn("missing_count", F.size("missing_components"))
         .drop("missing_components", "calculation_notes", "intime", "measurements", "pao2_fio2_imputed", "is_mechanically_ventilated",
@@ -212,6 +220,17 @@ def _(x):
     )
 
 
+@query("c17_windowed_scores", f"SELECT {G1_SHOWN} FROM cv_g1gold")
+def _(x):
+    return shown(gold_plan(x))
+
+
+@query("c18_windows_without_events", f"SELECT {G1_SHOWN} FROM cv_g1gold_all")
+def _(x):
+    settings = windowed_gold.WindowSettings(min_measurements=0)
+    return shown(windowed_gold.windowed_scores(events(x), x.views.stays, rules(x), cohort(x), settings))
+
+
 @query(
     "c14_missing_and_notes",
     """SELECT stay_id, window_number, array_to_string([x FOR x IN [

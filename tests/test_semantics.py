@@ -137,3 +137,22 @@ def test_cohort_asks_for_the_code_version(spark):
 
     df = spark.createDataFrame([(1, 1, "J80", 10), (2, 2, "J80", 11), (3, 3, "J80", 9)], "subject_id int, hadm_id int, icd_code string, icd_version int")
     assert sorted(r["subject_id"] for r in diagnosis_cohort(df, ["J80"]).collect()) == [1, 3]
+
+
+def test_windows_without_events_are_filled_by_the_last_observation(spark):
+    from stayscope.functions.columns import small_table
+    from stayscope.plans import windowed_gold
+
+    stays = spark.sql("SELECT 1 AS subject_id, 2 AS hadm_id, 3 AS stay_id, timestamp_ntz'2024-01-01 00:00:00' AS intime, timestamp_ntz'2024-01-04 06:00:00' AS outtime")
+    events = spark.sql("SELECT 1 AS subject_id, 3 AS stay_id, timestamp_ntz'2024-01-01 20:00:00' AS charttime, 7 AS concept_id, 'c' AS concept_name, 55.0D AS value, 1L AS bronze_id")
+    rules = small_table(spark, [("platelets", 7, "min")], "parameter string, concept_id int, aggregation string")
+    nobody = events.select("subject_id").limit(0)
+
+    def scored(**settings):
+        chosen = windowed_gold.WindowSettings(use_medians=False, **settings)
+        rows = windowed_gold.windowed_scores(events, stays, rules, nobody, chosen).orderBy("window_number").collect()
+        return [(r["window_number"], r["measurements"], r["platelets"], r["platelets_imputed"], r["sofa_coagulation_subscore"]) for r in rows]
+
+    assert scored() == [(1, 1, 55.0, False, 2)]
+    assert scored(min_measurements=0) == [(1, 1, 55.0, False, 2), (2, 0, 55.0, True, 2), (3, 0, None, False, None), (4, 0, None, False, None)]
+    assert scored(min_measurements=0, max_windows=2) == scored(min_measurements=0)[:2]

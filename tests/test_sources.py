@@ -92,3 +92,27 @@ def test_silver_rows_run_on_a_stream(spark):
     query = out.withColumn("quality_flags", F.to_json("quality_flags")).writeStream.format("memory").queryName("silver_out").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("silver_out").count() == layers.silver.count()
+
+
+def test_features_on_a_stream_are_written_once(spark):
+    from stayscope.sources import versions
+    from stayscope.streaming.rows import feature_stream, write_once
+    from stayscope.suite.feature_queries import labelled
+
+    rows = labelled(layers_of(spark, "/root/testdata/sf0.001"))
+    path = folder()
+    rows.repartition(3).write.parquet(f"{path}/in")
+
+    def run(checkpoint):
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        write_once(feature_stream(stream), f"{path}/out", f"{path}/{checkpoint}").awaitTermination()
+        return versions.read_batches(spark, f"{path}/out")
+
+    once = run("a").count()
+    assert once == rows.count() and versions.latest(spark, f"{path}/out") == 3
+    assert run("b").count() == once  # the checkpoint is lost and every batch comes again
+    assert run("a").count() == once  # nothing new
+    # a batch that was written and not published is run again and counts once
+    rows.limit(5).write.parquet(versions.stage(f"{path}/out"))
+    assert not versions.add_batch(rows.limit(5), f"{path}/out", 1) and versions.add_batch(rows.limit(5), f"{path}/out", 3)
+    assert versions.read_batches(spark, f"{path}/out").count() == once + 5
