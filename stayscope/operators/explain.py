@@ -37,10 +37,9 @@ def _paths(df: DataFrame, model: PipelineModel, cols: Sequence[str], keys: Seque
     cols, d = list(cols), len(cols)
     rows = df.select(*keys, F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + pairs - 1))))
-    # the background is a bounded sample; a row of it per draw, in turn from a place given by the keys
-    turn = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 31)) + F.col("draw")
+    # a row of the background per draw, in turn and the same for every explained row, so that their bases compare
     size = background.select("_size").limit(1).scalar()
-    draws = draws.withColumn("_i", F.pmod(turn, size)).join(background.select("_i", "z"), "_i")
+    draws = draws.withColumn("_i", F.pmod(F.col("draw"), size)).join(background.select("_i", "z"), "_i")
     index = F.array(*[F.lit(i) for i in range(d)])
     order = F.transform(F.array_sort(F.transform(index, lambda i: F.struct(F.xxhash64(*keys, F.col("draw"), i, F.lit(seed + 1)).alias("h"), i.alias("i")))), lambda s: s["i"])
     draws = draws.withColumn("_order", order).withColumn("_way", F.explode(F.array(F.col("_order"), F.reverse("_order")))).drop("_order")

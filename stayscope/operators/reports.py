@@ -34,7 +34,8 @@ def add_distinct(base: DataFrame, ids: DataFrame, by: Sequence[str], columns: Ma
     multiplied by the number of counts.
     """
     if not by:
-        return base.select("*", *[ids.agg(F.count_distinct(c)).scalar().alias(name) for name, c in columns.items()])
+        # distinct first: Spark would merge plain distinct counts into one aggregation again
+        return base.select("*", *[ids.select(c).distinct().agg(F.count(c)).scalar().alias(name) for name, c in columns.items()])
     for name, c in columns.items():
         base = join_null_safe(base, ids.groupBy(*by).agg(F.count_distinct(c).alias(name)), by)
     return base
