@@ -36,8 +36,8 @@ from stayscope.session import written_table
 
 #: The tree over the groups' roots
 _TOP = -1
-#: Levels that one round builds
-_LEVELS = 9
+#: Levels that one round builds; a large group is cut into as many tasks as it has nodes that many levels up
+_LEVELS = 6
 _NODES = "tree long, level int, place long, hash string"
 
 
