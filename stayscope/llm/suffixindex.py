@@ -297,7 +297,9 @@ def _whole_windows(stretch: DataFrame, size: Repeats) -> DataFrame:
         return pa.record_batch([part.column("doc_key").take(own), part.column("id").take(own), pa.array(part.column("low").to_numpy()[of] + step), *names], ["doc_key", "id", "low", "hi", "lo"])
 
     each = map_slices(stretch.select("doc_key", "id", "low", "span"), rows, "doc_key long, id long, low long, hi long, lo long", "span")
-    least = each.groupBy("hi", "lo").agg(F.min(F.struct("id", "low")).alias("least"))
+    # windows found once have nothing later; a written table lets the join split a window that very many have
+    least = each.groupBy("hi", "lo").agg(F.min(F.struct("id", "low")).alias("least"), F.count("*").alias("n"))
+    least = written_table(least.filter("n > 1").drop("n"), "whole-windows")
     later = each.join(least, ["hi", "lo"]).filter(F.struct("id", "low") > F.col("least"))
     return later.select("doc_key", "id", "low", (F.col("low") + size.length).alias("high"))
 
