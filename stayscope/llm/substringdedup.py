@@ -4,14 +4,18 @@ A suffix is a word position with ``window`` words before the end of its document
 Suffixes are grouped by a prefix that lies inside the window: the run of
 ``prefix`` words with the least hash (equal windows have the same one), so a
 group holds few consecutive suffixes of a document together, as one stretch of
-text. Groups without two documents cannot repeat and are dropped. In every other
-group the subtree of its suffixes is built level by level: the nodes of depth 1,
-2, 4 ... are named by pairs of nodes above them, up to the depth of the window.
-A node there is a repeat; the least document below it keeps its words.
+text. Groups without two documents cannot repeat and are dropped.
 
-A group of more than ``group`` stretches is split by longer prefixes, up to the
-whole window, whose nodes are made by a grouped minimum over 128-bit names that
-Spark combines before the shuffle. Hence no group exceeds a task's memory.
+A group of more than ``group`` bytes of text does not fit. Stretches of equal words
+in it are first taken together: all but those of the least document go as a whole,
+which one minimum decides that Spark combines before the shuffle. If what stays
+still does not fit, its suffixes are grouped again by the next longer prefix of
+``longer``, at last by the whole window, where that minimum settles everything.
+
+In each group that fits the suffix tree of its stretches is built: suffixes sorted
+by doubling, the common words of neighbours, and the intervals of them, which are
+the tree's internal nodes. A node as deep as the window is a repeat; the least
+document below it keeps its words. ``maximal_repeats`` lists the deep nodes.
 
 Defined cases: a null text has no words; documents of fewer words than the
 window lose nothing; equal ids are one document and never remove from each
@@ -22,27 +26,35 @@ removed as their union, judged on the input.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, least_run, map_slices, mix, powers, range_hash, sequence_hash, text_bytes, words
+from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, least_run, map_slices, mix, range_hash, sequence_hash, text_bytes, words
 from stayscope.session import written_table
 
 _SALTS = 16
+_TREE_BYTES = 3 << 20
 
 
 @dataclass(frozen=True)
 class Repeats:
     window: int = 50
     prefix: int = 12
-    group: int = 20_000
+    longer: tuple[int, ...] = (20, 32)  # prefixes of groups that do not fit; the window comes last
+    group: int = 2 << 20  # bytes of text
+
+    @property
+    def lengths(self) -> list[int]:
+        return [self.prefix, *(x for x in sorted(self.longer) if self.prefix < x < self.window), self.window]
 
 
-def _stretches(texts: list[bytes], size: Repeats):
+def _stretches(texts: list[bytes], size: Repeats, prefix: int):
     """Words of the texts, and for each run of suffixes with one prefix: its text, first and last suffix, and the prefix."""
     data, begin = joined(texts)
     start, end = words(data, NOT_SPACE)
@@ -50,9 +62,9 @@ def _stretches(texts: list[bytes], size: Repeats):
     none = np.zeros(0, np.int64)
     symbol = range_hash(data, start, end, seed=41)
     if len(symbol) < size.window:
-        return data, start, end, first, symbol, none, none, none, np.zeros(0, np.uint64)
-    gram = sequence_hash(symbol, size.prefix, seed=42)
-    at = least_run(gram, size.window - size.prefix + 1)
+        return data, start, end, first, none, none, none, np.zeros(0, np.uint64)
+    gram = sequence_hash(symbol, prefix, seed=42)
+    at = least_run(gram, size.window - prefix + 1)
     of = np.repeat(np.arange(len(texts)), np.diff(first))
     whole = of[: len(at)] == of[size.window - 1 :]
     change = np.r_[True, (at[1:] != at[:-1]) | (of[1 : len(at)] != of[: len(at) - 1])]
@@ -61,140 +73,230 @@ def _stretches(texts: list[bytes], size: Repeats):
     last = np.r_[run[1:], len(at)] - 1
     real = whole[run]
     run, last = run[real], last[real]
-    return data, start, end, first, symbol, of[run], run, last, gram[at[run]]
+    return data, start, end, first, of[run], run, last, gram[at[run]]
 
 
 def _prefixes(docs: DataFrame, size: Repeats) -> DataFrame:
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
-        *_, of, _, _, key = _stretches(text_bytes(part), size)
-        return pa.record_batch([part.column("doc_id").take(pa.array(of)), pa.array(key.view(np.int64))], ["doc_id", "prefix"])
-
-    return map_slices(docs.select("doc_id", "text"), rows, "doc_id long, prefix long")
-
+        _, start, end, _, of, run, last, key = _stretches(text_bytes(part), size, size.prefix)
+        long = end[last + size.window - 1] - start[run]
+        return pa.record_batch([part.column("doc_id").take(pa.array(of)), pa.array(key.view(np.int64)), pa.array(long)], ["doc_id", "prefix", "long"])
 
-def _window_names(symbol: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """A 64-bit name of the ``window`` symbols from each position."""
-    base = int(np.random.Generator(np.random.PCG64(seed)).integers(2**40, 2**61)) * 8 + 5
-    up, down = powers(base, len(symbol) + 1), powers(pow(base, -1, 2**64), len(symbol) + 1)
-    total = np.r_[np.uint64(0), np.cumsum(mix(symbol + np.uint64(seed)) * up[:-1])]
-    return mix((total[window:] - total[:-window]) * down[: len(total) - window])
+    return map_slices(docs.select("doc_id", "text"), rows, "doc_id long, prefix long, long long")
 
 
-def _level_nodes(symbol: np.ndarray, depth: int) -> np.ndarray:
-    """Nodes of ``depth`` words below each position that has as many: equal numbers, equal words."""
-    node = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
-    reach = 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        node = np.unique(node[: len(node) - step] * np.int64(len(symbol) + 1) + node[step:], return_inverse=True)[1].astype(np.int64)
-        reach += step
-    return node
+def _shared(stretches: DataFrame, size: Repeats) -> DataFrame:
+    """(prefix, big) of the prefixes that two documents have."""
+    found = stretches.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("long").alias("total"))
+    return found.filter("low < high").select("prefix", (F.col("total") > size.group).alias("big"))
 
 
-def _ranges(flag_at: np.ndarray, breaks: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of ascending flagged positions in ``breaks`` groups: indices where a run begins, and the runs' first and past-last words."""
-    begin = np.r_[True, (flag_at[1:] != flag_at[:-1] + 1) | (breaks[1:] != breaks[:-1])]
-    i = np.flatnonzero(begin)
-    last = np.r_[i[1:], len(flag_at)] - 1
-    return i, flag_at[i], flag_at[last] + window
+def _met(rows: DataFrame, few: DataFrame, on: list[str], *spread: str) -> DataFrame:
+    """Rows and what ``few`` says of their key; a key of very many rows goes to as many tasks as there are salts."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(_SALTS)).cast("int")).join(salted, [*on, "salt"]).drop("salt")
 
 
-def _subtree_repeats(texts: list[bytes], doc: np.ndarray, at: np.ndarray, size: Repeats):
-    """Indices of stretches and word ranges to remove, for whole groups of stretches."""
-    data, begin = joined(texts)
-    start, end = words(data, NOT_SPACE)
-    first = firsts(start, begin)
-    symbol = range_hash(data, start, end, seed=41)
-    node = _level_nodes(symbol, size.window)
-    of = np.repeat(np.arange(len(texts)), np.diff(first))
-    inside = np.flatnonzero(of[: len(node)] == of[size.window - 1 :])
-    node, owner = node[inside], of[inside]
-    order = np.argsort(node, kind="stable")
-    cut = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
-    least = np.repeat(np.minimum.reduceat(doc[owner[order]], cut), np.diff(np.r_[cut, len(order)]))
-    later = np.zeros(len(order), bool)
-    later[order] = least < doc[owner[order]]
-    flagged = np.flatnonzero(later)
-    if not len(flagged):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, low, high = _ranges(inside[flagged], owner[flagged], size.window)
-    who = owner[flagged][i]
-    shift = at[who] - first[who]
-    return who, low + shift, high + shift
+_STRETCH = "doc_id long, text_key long, place long, prefix long, n_words long, long long, span binary"
 
 
-def removals(docs: DataFrame, size: Repeats = Repeats()) -> DataFrame:
-    """(doc_id, text_key, low, high): word ranges of each document that an earlier one has."""
-    keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    prefixes = written_table(_prefixes(keyed, size), "prefixes")
-    shared = prefixes.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high")
-    # a prefix that very many documents have goes to as many tasks as there are salts
-    shared = shared.select("prefix", (F.col("n") > size.group).alias("big"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    dealt = prefixes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
-    own = dealt.join(shared, ["prefix", "salt"]).select("doc_id", "prefix", "big").distinct()
+def _first_stretches(docs: DataFrame, size: Repeats) -> DataFrame:
+    """The stretches of shared prefixes with ``big``; big ones with their words one blank apart."""
+    prefixes = written_table(_prefixes(docs, size), "prefixes")
+    own = _met(prefixes.select("doc_id", "prefix"), _shared(prefixes, size), ["prefix"], "doc_id").distinct()
     wanted = own.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("big"), F.col("prefix"))).alias("small"), F.collect_list(F.when(F.col("big"), F.col("prefix"))).alias("large"))
-    chosen = keyed.join(wanted, keyed["doc_id"] == wanted["_id"]).drop("_id")
+    chosen = docs.join(wanted, docs["doc_id"] == wanted["_id"]).drop("_id")
 
-    def stretches(part: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_bytes(part)
-        data, start, end, first, symbol, of, run, last, key = _stretches(texts, size)
+        data, start, end, first, of, run, last, key = _stretches(texts, size, size.prefix)
         key = key.view(np.int64)
-        take, split = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        take, big = np.zeros(len(key), bool), np.zeros(len(key), bool)
         bound = np.searchsorted(of, np.arange(len(texts) + 1))
         for i, (small, large) in enumerate(zip(part.column("small").to_pylist(), part.column("large").to_pylist())):
-            own = slice(bound[i], bound[i + 1])
-            take[own] = np.isin(key[own], np.array(small, np.int64))
-            split[own] = np.isin(key[own], np.array(large, np.int64))
-        flat, t, s = data.tobytes(), np.flatnonzero(take), np.flatnonzero(split)
-        span = [flat[a:b] for a, b in zip(start[run[t]].tolist(), end[last[t] + size.window - 1].tolist())]
-        n = last[s] - run[s] + 1
-        each = np.repeat(run[s] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        who = np.r_[of[t], np.repeat(of[s], n)]
-        place = np.r_[run[t], each]
-        names = [_window_names(symbol, size.window, seed)[each].view(np.int64) if len(each) else np.zeros(0, np.int64) for seed in (43, 44)]
-        rows = pa.array(who)
-        return pa.record_batch(
-            [part.column("doc_id").take(rows), part.column("text_key").take(rows), pa.array((place - first[who]).astype(np.int64)), pa.array(np.r_[key[t], names[0]]), pa.array(np.r_[np.zeros(len(t), np.int64), names[1]]), pa.array(span + [None] * len(each), pa.binary())],
-            ["doc_id", "text_key", "place", "prefix", "name", "span"],
-        )
-
-    found = map_slices(chosen, stretches, "doc_id long, text_key long, place long, prefix long, name long, span binary", limit=2 << 20)
-    found = written_table(found, "stretches")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    groups = found.filter("span IS NOT NULL").repartition(parts, "prefix").sortWithinPartitions("prefix")
-
-    def subtrees(batches):
-        def done(rows: pa.RecordBatch):
-            who, low, high = _subtree_repeats(rows.column("span").to_pylist(), rows.column("doc_id").to_numpy(), rows.column("place").to_numpy(), size)
-            pick = pa.array(who)
-            return pa.record_batch([rows.column("doc_id").take(pick), rows.column("text_key").take(pick), pa.array(low), pa.array(high)], ["doc_id", "text_key", "low", "high"])
+            mine = slice(bound[i], bound[i + 1])
+            big[mine] = np.isin(key[mine], np.array(large, np.int64))
+            take[mine] = big[mine] | np.isin(key[mine], np.array(small, np.int64))
+        t = np.flatnonzero(take)
+        low, high, flat = start[run[t]], end[last[t] + size.window - 1], data.tobytes()
+        span = [b" ".join(flat[a:b].split()) if g else flat[a:b] for a, b, g in zip(low.tolist(), high.tolist(), big[t].tolist())]
+        who = pa.array(of[t])
+        columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *(pa.array(x.astype(np.int64)) for x in (run[t] - first[of[t]], key[t], last[t] - run[t] + size.window, high - low)), pa.array(span, pa.binary()), pa.array(big[t])]
+        return pa.record_batch(columns, ["doc_id", "text_key", "place", "prefix", "n_words", "long", "span", "big"])
+
+    return written_table(map_slices(chosen, rows, _STRETCH + ", big boolean"), "stretches")
+
+
+def _by_longer(stretches: DataFrame, length: int, size: Repeats) -> DataFrame:
+    """The same suffixes, grouped by prefixes of ``length`` words inside their former groups."""
+
+    def rows(part: pa.RecordBatch) -> pa.RecordBatch:
+        data, start, end, first, of, run, last, key = _stretches(text_bytes(part, "span"), size, length)
+        low, high, flat = start[run], end[last + size.window - 1], data.tobytes()
+        who = pa.array(of)
+        key = mix(key ^ part.column("prefix").to_numpy().view(np.uint64)[of])
+        place = part.column("place").to_numpy()[of] + run - first[of]
+        columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *(pa.array(x) for x in (place, key.view(np.int64), (last - run + size.window).astype(np.int64), high - low)), pa.array([flat[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())]
+        return pa.record_batch(columns, ["doc_id", "text_key", "place", "prefix", "n_words", "long", "span"])
+
+    return map_slices(stretches, rows, _STRETCH, "span")
+
+
+def _grouped(docs: DataFrame, size: Repeats) -> tuple[DataFrame, DataFrame]:
+    """Stretches in groups that fit a tree, and stretches of big groups whose words an earlier document has (with its id and place)."""
+    found = _first_stretches(docs, size)
+    fit, left = [found.filter("NOT big").drop("big")], found.filter("big").drop("big")
+    copies = []
+    for length in size.lengths:
+        if left.isEmpty():
+            break
+        if length > size.prefix:
+            left = _by_longer(left, length, size)
+        # equal words in one group; both digests are of 128 bits
+        named = left.withColumn("name", F.unhex(F.md5("span")))
+        least = written_table(named.groupBy("prefix", "name").agg(F.min("doc_id").alias("least"), F.min_by("place", "doc_id").alias("least_place")), "least")
+        named = written_table(_met(named, least, ["prefix", "name"], "doc_id", "place").drop("name"), "named")
+        copies.append(named.filter("least < doc_id").select("doc_id", "text_key", "place", "n_words", "least", "least_place"))
+        stay = named.filter("least = doc_id").drop("least", "least_place")
+        if length < size.window:
+            stay = _met(stay, _shared(stay, size), ["prefix"], "doc_id", "place")
+            fit.append(stay.filter("NOT big").drop("big"))
+            left = stay.filter("big").drop("big")
+    if not copies:
+        copies.append(found.filter("false").select("doc_id", "text_key", "place", "n_words", F.col("doc_id").alias("least"), F.col("place").alias("least_place")))
+    return reduce(DataFrame.unionByName, fit), reduce(DataFrame.unionByName, copies)
+
+
+class _Tree:
+    """The suffix tree of some stretches, as its suffixes in order and the words that neighbours share."""
+
+    def __init__(self, spans: list[bytes], window: int):
+        data, begin = joined(spans)
+        start, end = words(data, NOT_SPACE)
+        first = firsts(start, begin)
+        length = np.diff(first)
+        kind, code = np.unique(range_hash(data, start, end, seed=41), return_inverse=True)
+        # each stretch ends in a symbol of its own, so that no node crosses its end
+        node = np.insert(code.astype(np.int64), first[1:], len(kind) + np.arange(len(spans)))
+        self.first = first[:-1] + np.arange(len(spans))
+        of = np.repeat(np.arange(len(spans)), length + 1)
+        symbol = node
+        levels, reach = [node], 1
+        while reach <= length.max(initial=0):
+            after = np.r_[node[reach:], np.full(reach, -1)] + 1
+            node = np.unique(node * np.int64(len(kind) + len(node) + 1) + after, return_inverse=True)[1].astype(np.int64)
+            levels.append(node)
+            reach *= 2
+        inside = np.flatnonzero(np.arange(len(node)) + window <= (self.first + length)[of])
+        #: places of the suffixes in order, and the stretch of each
+        self.place = inside[np.argsort(node[inside], kind="stable")]
+        self.owner = of[self.place]
+        #: the symbol before each suffix; where its stretch begins, one like no other
+        self.before = np.where(self.place > self.first[self.owner], symbol[self.place - 1], -1 - np.arange(len(self.place)))
+        a, b = self.place[:-1], self.place[1:]
+        #: common words of each suffix and the next
+        self.common = np.zeros(len(a), np.int64)
+        for step in reversed(range(len(levels))):
+            x, y = a + self.common, b + self.common
+            real = np.maximum(x, y) < len(node)
+            same = np.flatnonzero(real)
+            same = same[levels[step][x[same]] == levels[step][y[same]]]
+            self.common[same] += 1 << step
+
+    def later(self, doc: np.ndarray, window: int) -> np.ndarray:
+        """Places of the suffixes below a node of ``window`` words or more that an earlier document has too."""
+        if not len(self.place):
+            return self.place
+        cut = np.flatnonzero(np.r_[True, self.common < window])
+        own = doc[self.owner]
+        least = np.repeat(np.minimum.reduceat(own, cut), np.diff(np.r_[cut, len(own)]))
+        return np.sort(self.place[least < own])
+
+    def deep_nodes(self, window: int) -> Iterator[tuple[int, int, int]]:
+        """(words, first and past last suffix) of every internal node of ``window`` words or more with different words before."""
+        above: list[tuple[int, int]] = []
+        for i, words_ in enumerate([*self.common.tolist(), 0]):
+            left = i
+            while above and above[-1][0] > words_:
+                depth, left = above.pop()
+                if (self.before[left : i + 1] != self.before[left]).any():
+                    yield depth, left, i + 1
+            if words_ >= window and (not above or above[-1][0] < words_):
+                above.append((words_, left))
+
+
+def _trees(groups: DataFrame, size: Repeats, made, schema: str) -> DataFrame:
+    """``made`` (tree, doc, text_key, place of the stretches) over whole groups, a few MB of text at a time."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ("prefix", "doc_id", "text_key", "place")
+
+    def run(batches):
+        def done():
+            doc, key, place = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            return made(_Tree([x for h in held for x in h[4]], size.window), doc, key, place)
 
         held, volume, previous = [], 0, None
         for batch in batches:
-            prefix = batch.column("prefix").to_numpy()
-            if not len(prefix):
+            if not batch.num_rows:
                 continue
-            # whole groups only, a few MB of text at a time
-            cut = [0, *(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1), len(prefix)]
-            bytes_ = np.r_[0, np.cumsum([len(x) for x in batch.column("span").to_pylist()])]
-            a = 0
+            prefix, *rest = (batch.column(c).to_numpy() for c in columns)
+            spans = batch.column("span").to_pylist()
+            cut = [0, *(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1).tolist(), len(prefix)]
             for i, j in zip(cut[:-1], cut[1:]):
-                if previous is not None and prefix[i] != previous and volume + bytes_[i] - bytes_[a] > 3 << 20:
-                    held.append(batch.slice(a, i - a))
-                    yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    held, volume, a = [], 0, i
+                if held and prefix[i] != previous and volume > _TREE_BYTES:
+                    yield done()
+                    held, volume = [], 0
+                held.append((prefix[i:j], *(c[i:j] for c in rest), spans[i:j]))
+                volume += sum(map(len, spans[i:j]))
                 previous = prefix[i]
-            held.append(batch.slice(a, len(prefix) - a))
-            volume += bytes_[len(prefix)] - bytes_[a]
-        held = [b for b in held if b.num_rows]
         if held:
-            yield done(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield done()
+
+    return groups.select(*columns, "span").repartition(parts, "prefix").sortWithinPartitions("prefix").mapInArrow(run, schema)
+
+
+def removals(docs: DataFrame, size: Repeats = Repeats()) -> DataFrame:
+    """(doc_id, text_key, low, high): word ranges of each document that an earlier one has."""
+    keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    fit, copies = _grouped(keyed, size)
+
+    def ranges(tree: _Tree, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        at = tree.later(doc, size.window)
+        of = np.searchsorted(tree.first, at, "right") - 1
+        begin = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])]) if len(at) else at
+        last = np.r_[begin[1:], len(at)][: len(begin)] - 1
+        who = of[begin]
+        shift = place[who] - tree.first[who]
+        return pa.record_batch([pa.array(x) for x in (doc[who], key[who], at[begin] + shift, at[last] + size.window + shift)], ["doc_id", "text_key", "low", "high"])
+
+    inside = _trees(fit, size, ranges, "doc_id long, text_key long, low long, high long")
+    return inside.unionByName(copies.select("doc_id", "text_key", F.col("place").alias("low"), (F.col("place") + F.col("n_words")).alias("high")))
+
+
+def maximal_repeats(docs: DataFrame, size: Repeats = Repeats()) -> DataFrame:
+    """(doc_id, place, n_words, n, n_docs): repeats of at least a window in two documents or more.
+
+    One row for each: its least document, a place of its words there, how many they are, and how often and in how many
+    documents they occur. They are the deep internal nodes of the trees that have different words before them; a repeat
+    longer than a stretch is listed by stretches. Where a group did not fit, a stretch with copies is listed with them
+    and one place in the least document whose stretch has the same ends, and takes part in the tree below it once.
+    """
+    keyed = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    fit, copies = _grouped(keyed, size)
+
+    def nodes(tree: _Tree, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        out = []
+        for depth, i, j in tree.deep_nodes(size.window):
+            own = doc[tree.owner[i:j]]
+            if own.min() == own.max():
+                continue
+            k = i + int(own.argmin())
+            out.append((int(own.min()), int(tree.place[k] - tree.first[tree.owner[k]] + place[tree.owner[k]]), depth, j - i, len(np.unique(own))))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["doc_id", "place", "n_words", "n", "n_docs"])
 
-    inside = groups.mapInArrow(subtrees, "doc_id long, text_key long, low long, high long")
-    whole = found.filter("span IS NULL").select("doc_id", "text_key", "place", "prefix", "name")
-    node = whole.groupBy("prefix", "name").agg(F.min("doc_id").alias("least"))
-    outside = whole.join(node, ["prefix", "name"]).filter("least < doc_id").select("doc_id", "text_key", F.col("place").alias("low"), (F.col("place") + size.window).alias("high"))
-    return inside.unionByName(outside)
+    whole = copies.groupBy(F.col("least").alias("_id"), F.col("least_place").alias("_place"), "n_words").agg((F.count("*") + 1).alias("n"), (F.count_distinct("doc_id") + 1).alias("n_docs"))
+    inside = _trees(fit, size, nodes, "doc_id long, place long, n_words long, n long, n_docs long")
+    return inside.unionByName(whole.withColumnsRenamed({"_id": "doc_id", "_place": "place"}))
 
 
 def _with_removals(docs: DataFrame, size: Repeats) -> DataFrame:

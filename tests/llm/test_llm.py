@@ -476,6 +476,53 @@ def test_op10_brute_force(spark, group):
     assert got.filter("n_removed > 0").count() > 10
 
 
+def _passages(seed, copies):
+    rng = random.Random(seed)
+    passages = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(8, 30))) for _ in range(6)]
+    docs = [(i, " ".join(rng.choice([*passages, f"w{rng.randint(0, 30)}", "x y"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    return docs + [(100 + i, docs[7][1] + (f" end{i}" if i % 2 else "")) for i in range(copies)]
+
+
+@pytest.mark.parametrize("group", [0, 150, 1000, 2 << 20])
+def test_op10_prefixes_of_all_lengths(spark, group):
+    # groups that do not fit take prefixes of 5, 7 and 10 words; a third of the rows are copies
+    docs = _passages(11, 30)
+    size = substringdedup.Repeats(window=10, prefix=3, longer=(5, 7), group=group)
+    got = substringdedup.repeat_report(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), size)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_repeats(docs, 10))
+
+
+@pytest.mark.parametrize("group", [150, 2 << 20])
+def test_op10_maximal_repeats(spark, group):
+    docs = _passages(12, 10)
+    size = substringdedup.Repeats(window=10, prefix=3, longer=(5, 7), group=group)
+    found = substringdedup.maximal_repeats(spark.createDataFrame(docs, "doc_id long, text string"), size).collect()
+    text = {i: t.split() for i, t in docs}
+    occurs = lambda run: [i for i, w in text.items() for k in range(len(w) - len(run) + 1) if w[k : k + len(run)] == run]
+    listed = set()
+    for r in found:
+        run = text[r["doc_id"]][r["place"] : r["place"] + r["n_words"]]
+        where = occurs(run)
+        assert len(run) == r["n_words"] >= 10
+        if group > 150:
+            assert (r["doc_id"], r["n"], r["n_docs"]) == (min(where), len(where), len(set(where)))
+        else:
+            assert 2 <= r["n_docs"] <= len(set(where)) and r["n"] <= len(where)
+        listed |= {tuple(run[k : k + 10]) for k in range(len(run) - 9)}
+    holders = {}
+    for i, w in text.items():
+        for k in range(len(w) - 9):
+            holders.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    assert listed == {w for w, ids in holders.items() if len(ids) > 1}
+
+
+def test_op10_suffix_tree():
+    tree = substringdedup._Tree([b"x a b c d y", b"z a b c d w a b c", b"a b c"], 2)
+    word = "x a b c d y $ z a b c d w a b c $ a b c $".split()
+    nodes = {(depth, " ".join(word[tree.place[i] : tree.place[i] + depth]), j - i) for depth, i, j in tree.deep_nodes(2)}
+    assert nodes == {(4, "a b c d", 2), (3, "a b c", 4)}
+
+
 def test_op10_odd(odd, none, spark):
     got = substringdedup.repeat_report(odd, substringdedup.Repeats(window=5, prefix=2)).collect()
     assert len(got) == len(ODD) and {r["n_removed"] for r in got if r["doc_id"] == 10} == {10} and {r["n_removed"] for r in got if r["doc_id"] != 10} == {0}
