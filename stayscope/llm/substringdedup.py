@@ -6,11 +6,11 @@ Suffixes are grouped by a prefix that lies inside the window: the run of
 group holds few consecutive suffixes of a document together, as one stretch of
 text. Groups without two documents cannot repeat and are dropped.
 
-A group of more than ``group`` bytes of text does not fit. Stretches of equal words
-in it are first taken together: all but those of the least document go as a whole,
-which one minimum decides that Spark combines before the shuffle. If what stays
+A group of more than ``group`` bytes of text does not fit and is dealt to parts that do,
+by document. Of the stretches of equal words in a part all but those of its least
+document go as a whole, then likewise of those that all parts leave. If what stays
 still does not fit, its suffixes are grouped again by the next longer prefix of
-``longer``, at last by the whole window, where that minimum settles everything.
+``longer``, at last by the whole window, where this settles everything.
 
 In each group that fits the suffix tree of its stretches is built: suffixes sorted
 by doubling, the common words of neighbours, and the intervals of them, which are
@@ -32,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, least_run, map_slices, mix, range_hash, sequence_hash, text_bytes, words
@@ -86,9 +86,9 @@ def _prefixes(docs: DataFrame, size: Repeats) -> DataFrame:
 
 
 def _shared(stretches: DataFrame, size: Repeats) -> DataFrame:
-    """(prefix, big) of the prefixes that two documents have."""
+    """(prefix, parts) of the prefixes that two documents have: into how many parts their text has to be dealt to fit."""
     found = stretches.groupBy("prefix").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("long").alias("total"))
-    return found.filter("low < high").select("prefix", (F.col("total") > size.group).alias("big"))
+    return found.filter("low < high").select("prefix", F.ceil(F.col("total") / max(size.group, 1)).alias("parts"))
 
 
 def _met(rows: DataFrame, few: DataFrame, on: list[str], *spread: str) -> DataFrame:
@@ -101,30 +101,32 @@ _STRETCH = "doc_id long, text_key long, place long, prefix long, n_words long, l
 
 
 def _first_stretches(docs: DataFrame, size: Repeats) -> DataFrame:
-    """The stretches of shared prefixes with ``big``; big ones with their words one blank apart."""
+    """The stretches of shared prefixes with ``parts``; where these are several, with the words one blank apart."""
     prefixes = written_table(_prefixes(docs, size), "prefixes")
     own = _met(prefixes.select("doc_id", "prefix"), _shared(prefixes, size), ["prefix"], "doc_id").distinct()
-    wanted = own.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.when(~F.col("big"), F.col("prefix"))).alias("small"), F.collect_list(F.when(F.col("big"), F.col("prefix"))).alias("large"))
+    wanted = own.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("prefix").alias("prefixes"), F.collect_list("parts").alias("dealt"))
     chosen = docs.join(wanted, docs["doc_id"] == wanted["_id"]).drop("_id")
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         texts = text_bytes(part)
         data, start, end, first, of, run, last, key = _stretches(texts, size, size.prefix)
         key = key.view(np.int64)
-        take, big = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        parts = np.zeros(len(key), np.int64)
         bound = np.searchsorted(of, np.arange(len(texts) + 1))
-        for i, (small, large) in enumerate(zip(part.column("small").to_pylist(), part.column("large").to_pylist())):
-            mine = slice(bound[i], bound[i + 1])
-            big[mine] = np.isin(key[mine], np.array(large, np.int64))
-            take[mine] = big[mine] | np.isin(key[mine], np.array(small, np.int64))
-        t = np.flatnonzero(take)
+        for i, (known, dealt) in enumerate(zip(part.column("prefixes"), part.column("dealt"))):
+            known, dealt = known.values.to_numpy(), dealt.values.to_numpy()
+            order = np.argsort(known)
+            mine = key[bound[i] : bound[i + 1]]
+            at = order[np.minimum(np.searchsorted(known, mine, sorter=order), len(known) - 1)]
+            parts[bound[i] : bound[i + 1]] = np.where(known[at] == mine, dealt[at], 0)
+        t = np.flatnonzero(parts)
         low, high, flat = start[run[t]], end[last[t] + size.window - 1], data.tobytes()
-        span = [b" ".join(flat[a:b].split()) if g else flat[a:b] for a, b, g in zip(low.tolist(), high.tolist(), big[t].tolist())]
+        span = [b" ".join(flat[a:b].split()) if g else flat[a:b] for a, b, g in zip(low.tolist(), high.tolist(), (parts[t] > 1).tolist())]
         who = pa.array(of[t])
-        columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *(pa.array(x.astype(np.int64)) for x in (run[t] - first[of[t]], key[t], last[t] - run[t] + size.window, high - low)), pa.array(span, pa.binary()), pa.array(big[t])]
-        return pa.record_batch(columns, ["doc_id", "text_key", "place", "prefix", "n_words", "long", "span", "big"])
+        columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *(pa.array(x.astype(np.int64)) for x in (run[t] - first[of[t]], key[t], last[t] - run[t] + size.window, high - low)), pa.array(span, pa.binary()), pa.array(parts[t])]
+        return pa.record_batch(columns, ["doc_id", "text_key", "place", "prefix", "n_words", "long", "span", "parts"])
 
-    return written_table(map_slices(chosen, rows, _STRETCH + ", big boolean"), "stretches")
+    return written_table(map_slices(chosen, rows, _STRETCH + ", parts long"), "stretches")
 
 
 def _by_longer(stretches: DataFrame, length: int, size: Repeats) -> DataFrame:
@@ -136,34 +138,41 @@ def _by_longer(stretches: DataFrame, length: int, size: Repeats) -> DataFrame:
         who = pa.array(of)
         key = mix(key ^ part.column("prefix").to_numpy().view(np.uint64)[of])
         place = part.column("place").to_numpy()[of] + run - first[of]
-        columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *(pa.array(x) for x in (place, key.view(np.int64), (last - run + size.window).astype(np.int64), high - low)), pa.array([flat[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())]
-        return pa.record_batch(columns, ["doc_id", "text_key", "place", "prefix", "n_words", "long", "span"])
+        columns = [part.column("doc_id").take(who), part.column("text_key").take(who), *(pa.array(x) for x in (place, key.view(np.int64), (last - run + size.window).astype(np.int64), high - low)), pa.array([flat[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()), part.column("parts").take(who)]
+        return pa.record_batch(columns, ["doc_id", "text_key", "place", "prefix", "n_words", "long", "span", "parts"])
 
-    return map_slices(stretches, rows, _STRETCH, "span")
+    return map_slices(stretches, rows, _STRETCH + ", parts long", "span")
+
+
+def _copies(stretches: DataFrame, *among: str) -> DataFrame:
+    """With the least document of equal words among those equal in ``among``, and the place there; copies keep no text."""
+    equal = Window.partitionBy("prefix", "name", *among)
+    found = stretches.withColumns({"least": F.min("doc_id").over(equal), "least_place": F.min_by("place", "doc_id").over(equal)})
+    return written_table(found.withColumn("span", F.when(F.col("least") == F.col("doc_id"), F.col("span"))), "copies")
 
 
 def _grouped(docs: DataFrame, size: Repeats) -> tuple[DataFrame, DataFrame]:
-    """Stretches in groups that fit a tree, and stretches of big groups whose words an earlier document has (with its id and place)."""
+    """Stretches in groups that fit a tree, and stretches of other groups whose words an earlier document has (with its id and place)."""
     found = _first_stretches(docs, size)
-    fit, left = [found.filter("NOT big").drop("big")], found.filter("big").drop("big")
-    copies = []
+    columns = [c for c in found.columns if c != "parts"]
+    fit, left, copies = [found.filter("parts = 1").select(columns)], found.filter("parts > 1"), []
     for length in size.lengths:
         if left.isEmpty():
             break
         if length > size.prefix:
             left = _by_longer(left, length, size)
-        # equal words in one group; both digests are of 128 bits
-        named = left.withColumn("name", F.unhex(F.md5("span")))
-        least = written_table(named.groupBy("prefix", "name").agg(F.min("doc_id").alias("least"), F.min_by("place", "doc_id").alias("least_place")), "least")
-        named = written_table(_met(named, least, ["prefix", "name"], "doc_id", "place").drop("name"), "named")
-        copies.append(named.filter("least < doc_id").select("doc_id", "text_key", "place", "n_words", "least", "least_place"))
-        stay = named.filter("least = doc_id").drop("least", "least_place")
+        dealt = left.withColumns({"name": F.unhex(F.md5("span")), "part": F.pmod(F.xxhash64("doc_id"), F.col("parts"))})
+        inside = _copies(dealt, "part")
+        among = _copies(inside.filter("least = doc_id").drop("least", "least_place", "part"))
+        copies += [x.filter("least < doc_id").select("doc_id", "text_key", "place", "n_words", "prefix", "name", "least", "least_place") for x in (inside, among)]
         if length < size.window:
+            stay = among.filter("least = doc_id").select(columns)
             stay = _met(stay, _shared(stay, size), ["prefix"], "doc_id", "place")
-            fit.append(stay.filter("NOT big").drop("big"))
-            left = stay.filter("big").drop("big")
+            fit.append(stay.filter("parts = 1").select(columns))
+            left = stay.filter("parts > 1")
     if not copies:
-        copies.append(found.filter("false").select("doc_id", "text_key", "place", "n_words", F.col("doc_id").alias("least"), F.col("place").alias("least_place")))
+        more = {"name": F.col("span"), "least": F.col("doc_id"), "least_place": F.col("place")}
+        copies.append(found.filter("false").withColumns(more).select("doc_id", "text_key", "place", "n_words", "prefix", *more))
     return reduce(DataFrame.unionByName, fit), reduce(DataFrame.unionByName, copies)
 
 
@@ -294,7 +303,8 @@ def maximal_repeats(docs: DataFrame, size: Repeats = Repeats()) -> DataFrame:
             out.append((int(own.min()), int(tree.place[k] - tree.first[tree.owner[k]] + place[tree.owner[k]]), depth, j - i, len(np.unique(own))))
         return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], ["doc_id", "place", "n_words", "n", "n_docs"])
 
-    whole = copies.groupBy(F.col("least").alias("_id"), F.col("least_place").alias("_place"), "n_words").agg((F.count("*") + 1).alias("n"), (F.count_distinct("doc_id") + 1).alias("n_docs"))
+    least = [F.min("least").alias("_id"), F.min_by("least_place", "least").alias("_place")]
+    whole = copies.groupBy("prefix", "name", "n_words").agg(*least, (F.count("*") + 1).alias("n"), (F.count_distinct("doc_id") + 1).alias("n_docs")).drop("prefix", "name")
     inside = _trees(fit, size, nodes, "doc_id long, place long, n_words long, n long, n_docs long")
     return inside.unionByName(whole.withColumnsRenamed({"_id": "doc_id", "_place": "place"}))
 
