@@ -7,8 +7,9 @@ edit distance and, unlike a set's, with moved text.
 
 Defined cases: a text of fewer than ``k`` words has its words as one k-mer, one
 without words has a fixed fingerprint; fewer numbered k-mers than ``take`` are
-all taken; null is empty; rows of one id follow each other by text. Texts with
-equal words have equal fingerprints.
+all taken; null is empty; rows without an id come last, and rows of one id, or of
+none, follow each other by descending hash of their texts. Texts with equal words have
+equal fingerprints. Rows alike in id and text share a range.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, mix, range_hash, sequence_hash, words
 
+_RANGE_BYTES = 64 << 20
+
 
 def signatures(texts: list[bytes], k: int = 2, take: int = 2, tuples: int = 32) -> np.ndarray:
     """One row of ``tuples`` 32-bit hashes for each text."""
@@ -88,57 +91,71 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _in_ranges(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows with the range of their id; the first of each range also closes the range above, the last one's as its ghost.
+def _in_ranges(docs: DataFrame, parts: int, total: int) -> DataFrame:
+    """Rows with the range of their place in the order; the first of each range also closes the range above, the last one's as its ghost.
 
-    Bounds of the ranges and the largest id of each come from the ids alone: at most ``parts`` of either.
+    The order is by id (``rank``; null as the least) and hash of the text. Bounds of
+    the ranges and the largest key of each are at most ``parts`` of either.
     """
-    ids = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
-    total = ids.agg(F.sum(F.col("size") + 1)).first()[0] or 0
-    drawn = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) < (F.col("size") + 1) * (64 * parts / max(total, 1))).select("doc_id", F.greatest(F.lit(1.0), (F.col("size") + 1) * (64 * parts / max(total, 1))).alias("weight"))
-    got = sorted((r["doc_id"], r["weight"]) for r in drawn.filter(F.col("doc_id").isNotNull()).collect())
-    bounds = np.zeros(0, np.int64)
+    share = 64 * parts / max(total, 1)
+    ids = docs.select("rank", "hash", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    drawn = ids.filter(F.pmod(F.xxhash64("rank", "hash"), F.lit(1 << 40)) / float(1 << 40) < F.col("size") * share)
+    # equal rows are drawn together and collected as one
+    drawn = drawn.groupBy("rank", "hash").agg(F.sum(F.greatest(F.lit(1.0), F.col("size") * share)).alias("weight"))
+    got = sorted(map(tuple, drawn.collect()))
+    bounds = []
     if got:
-        upto = np.cumsum([w for _, w in got])
-        bounds = np.unique(np.array([x for x, _ in got], np.int64)[np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)])
+        upto = np.cumsum([w for *_, w in got])
+        at = np.searchsorted(upto, upto[-1] * np.arange(1, parts) / parts)
+        bounds = sorted({got[i][:2] for i in at})
+    by_rank, by_hash = (np.array([x[i] for x in bounds], np.int64) for i in (0, 1))
 
     def place(batches):
         for batch in batches:
-            x = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            null = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-            at = np.where(null, -1, np.searchsorted(bounds, np.where(null, 0, x).astype(np.int64), "right"))
+            rank, hashed = (batch.column(c).to_numpy() for c in ("rank", "hash"))
+            at, upto = np.searchsorted(by_rank, rank, "left"), np.searchsorted(by_rank, rank, "right")
+            for i in np.flatnonzero(at < upto):
+                at[i] += np.searchsorted(by_hash[at[i] : upto[i]], hashed[i], "right")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32))], [*batch.schema.names, "range"])
 
-    placed_ids = ids.select("doc_id").mapInArrow(place, "doc_id long, range int")
-    heads = sorted(((r["range"], r["head"]) for r in placed_ids.groupBy("range").agg(F.max("doc_id").alias("head")).collect()), key=lambda r: r[0])
-    above = {r: heads[(i + 1) % len(heads)][0] for i, (r, _) in enumerate(heads)}
-    head = {h: above[r] for r, h in heads}
+    placed = ids.select("rank", "hash").mapInArrow(place, "rank long, hash long, range int")
+    heads = sorted((r["range"], tuple(r["head"])) for r in placed.groupBy("range").agg(F.max(F.struct("rank", "hash")).alias("head")).collect())
+    head = {key: heads[(i + 1) % len(heads)][0] for i, (_, key) in enumerate(heads)}
+    hashes = np.array([h for _, h in head], np.int64)
 
     def copy(batches):
+        copied = set()  # one ghost of a task will do for equal rows
         for batch in place(batches):
-            x, r = batch.column("doc_id").to_pylist(), batch.column("range").to_pylist()
-            ghosts = [i for i, v in enumerate(x) if v in head]
+            rank, hashed = (batch.column(c).to_numpy() for c in ("rank", "hash"))
+            ghosts = []
+            for i in np.flatnonzero(np.isin(hashed, hashes)).tolist():
+                key = int(rank[i]), int(hashed[i])
+                if key in head and key not in copied:
+                    copied.add(key)
+                    ghosts.append((i, head[key]))
             flag = lambda b, g: pa.RecordBatch.from_arrays([*b.columns, pa.array([g] * b.num_rows, pa.bool_())], [*b.schema.names, "ghost"])
             yield flag(batch, False)
             if ghosts:
-                again = batch.take(pa.array(ghosts))
-                to = pa.array([head[x[i]] for i in ghosts], pa.int32())
-                yield flag(pa.RecordBatch.from_arrays([*again.columns[:2], to], batch.schema.names), True)
+                again = batch.take(pa.array([i for i, _ in ghosts]))
+                to = pa.array([r for _, r in ghosts], pa.int32())
+                yield flag(pa.RecordBatch.from_arrays([*again.columns[:-1], to], batch.schema.names), True)
 
-    return docs.select("doc_id", "text").mapInArrow(copy, "doc_id long, text string, range int, ghost boolean")
+    return docs.mapInArrow(copy, "doc_id long, text string, rank long, hash long, range int, ghost boolean")
 
 
 def fingerprints(docs: DataFrame, k: int = 2, take: int = 2, tuples: int = 32) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
     The next document is the next by descending id, after the last the first.
-    Texts are shuffled once, by ranges of ids that hold about equal bytes; a
-    range's largest document is copied to the range above, where it follows the
+    Texts are shuffled once, by ranges of ids and text hashes that hold about equal
+    bytes; a range's largest document is copied to the range above, where it follows the
     smallest.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _in_ranges(docs.select("doc_id", "text"), parts)
-    ordered = ranged.repartitionById(parts + 1, F.col("range") + 1).sortWithinPartitions("range", "ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
+    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("rank"), F.xxhash64("text").alias("hash"))
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // _RANGE_BYTES + 1)
+    ranged = _in_ranges(keyed, parts, total)
+    ordered = ranged.repartitionById(parts, "range").sortWithinPartitions("range", "ghost", F.desc("rank"), F.desc("hash"))
 
     def report(rows: list[tuple]) -> pa.RecordBatch:
         """Rows are (doc_id, text, text of the next)."""

@@ -166,6 +166,29 @@ def test_op2_odd(spark, odd, none):
     assert orderminhash.fingerprints(one).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_op2_rows_of_one_id_or_none_are_spread(spark, hot):
+    rows = [(hot, f"text of row {i} " + "word " * (i % 7)) for i in range(500)] + [(i, f"named text {i}") for i in range(20) if i != hot]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("doc_id", "text", f"coalesce(doc_id, {-(2**63)}) AS rank", "xxhash64(text) AS hash")
+    placed = orderminhash._in_ranges(keyed, 8, sum(len(t) + 1 for _, t in rows)).collect()
+    count = Counter(r["range"] for r in placed)
+    assert len(placed) - len(rows) == len(count) == 8 and max(count.values()) < 2 * len(rows) / 8
+    got = orderminhash.fingerprints(keyed.select("doc_id", "text")).collect()
+    order = sorted(map(tuple, keyed.select("rank", "hash", "text").collect()), reverse=True)
+    want = Counter()
+    for (rank, _, t), (*_, u) in zip(order, [*order[1:], order[0]]):
+        want[None if rank == -(2**63) else rank, hashlib.sha256(orderminhash.edited(t, u).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
+def test_op2_rows_alike_are_copied_once_a_task(spark):
+    docs = spark.createDataFrame([(5, "the same text here")] * 300 + [(i, f"text {i}") for i in range(5)], "doc_id long, text string").repartition(4)
+    keyed = docs.selectExpr("doc_id", "text", "doc_id AS rank", "xxhash64(text) AS hash")
+    assert orderminhash._in_ranges(keyed, 8, 7000).filter("ghost").count() <= 4 * 8
+    got = orderminhash.fingerprints(docs).collect()
+    assert len(got) == 305 and Counter(r["near_next"] == 1.0 for r in got if r["doc_id"] == 5) == {True: 299, False: 1}
+
+
 # 3: decontamination
 
 
