@@ -39,6 +39,7 @@ from stayscope.llm.textarrays import NOT_SPACE, firsts, joined, least_run, map_s
 from stayscope.session import written_table
 
 _SALTS = 16
+_FINER = 16  # parts are this much smaller than what fits, so that tasks take about equal numbers of them
 _TREE_BYTES = 3 << 20
 
 
@@ -161,7 +162,7 @@ def _grouped(docs: DataFrame, size: Repeats) -> tuple[DataFrame, DataFrame]:
             break
         if length > size.prefix:
             left = _by_longer(left, length, size)
-        dealt = left.withColumns({"name": F.unhex(F.md5("span")), "part": F.pmod(F.xxhash64("doc_id"), F.col("parts"))})
+        dealt = left.withColumns({"name": F.unhex(F.md5("span")), "part": F.pmod(F.xxhash64("doc_id"), F.col("parts") * _FINER)})
         inside = _copies(dealt, "part")
         among = _copies(inside.filter("least = doc_id").drop("least", "least_place", "part"))
         copies += [x.filter("least < doc_id").select("doc_id", "text_key", "place", "n_words", "prefix", "name", "least", "least_place") for x in (inside, among)]
