@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 from oracle import connect, differences  # noqa: E402
-from stayscope.llm import bpecount, decontamination, langid, linededup, ngram, orderminhash, pieces, sharding, simhash, substringdedup, textarrays  # noqa: E402
+from stayscope.llm import bpecount, decontamination, langid, linededup, ngram, orderminhash, pieces, sharding, simhash, substringdedup, textarrays, widesimhash  # noqa: E402
 from stayscope.llm.queries import ORACLE, QUERIES, documents, tokenizer_file  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
@@ -354,6 +354,110 @@ def test_op6_keep_one_row_of_each_component(spark):
     assert sorted(kept, key=str) == sorted([(1, a, "x"), (1, b, "x"), (None, c, "x")], key=str)
 
 
+# 6, at a similarity of shingles
+
+
+def five_words(text):
+    found = text.encode().lower().split()
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_wide_fingerprint_of_each_bit():
+    texts = ["", "One two", "one  TWO", "a b c d e f g", "a b c d e a b c d e"]
+    sets = widesimhash.shingle_sets([x.encode() for x in texts], 5)
+    assert [len(x) for x in sets] == [len(five_words(x)) for x in texts] and (sets[1] == sets[2]).all()
+    got = widesimhash.fingerprint_matrix([x.encode() for x in texts], 5, 3)
+    mask = 2**64 - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    for row, hashes in zip(got, sets):
+        for j, value in enumerate(row.tolist()):
+            step = mixed((j + 1) * 0x9E3779B97F4A7C15 & mask)
+            each = [mixed(int(h) ^ step) for h in hashes]
+            assert value == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in each) > len(each))
+
+
+def test_wide_variants_keep_four_groups():
+    cut = widesimhash.shape(1000)
+    fps = np.random.default_rng(5).integers(0, 2**63, (3, cut.longs)).astype(np.uint64)
+    keys = widesimhash.variant_keys(fps, cut)
+    g = cut.group_bits
+    for row, got in zip(fps, keys.tolist()):
+        whole = sum(int(x) << 64 * k for k, x in enumerate(row))
+        for s in range(cut.segments):
+            groups = [whole >> g * (5 * s + k) & (1 << g) - 1 for k in range(5)]
+            for wild in range(5):
+                rest = groups[:wild] + groups[wild + 1 :]
+                assert got[5 * s + wild] == (5 * s + wild << 4 * g) + sum(x << g * k for k, x in enumerate(rest))
+
+
+def test_wide_shape_follows_the_rows():
+    sizes = [widesimhash.shape(n) for n in (0, 1, 10**6, 10**9, 10**11)]
+    assert sizes[0] == sizes[2] and sizes[2].group_bits < sizes[3].group_bits < sizes[4].group_bits
+    assert all(s.limit < 64 * s.longs / 4 and s.segments * 5 * s.group_bits <= 64 * s.longs for s in sizes)
+
+
+def test_wide_simhash_recall_and_precision(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    draw = lambda n: [vocabulary[k] for k in rng.integers(0, len(vocabulary), n)]
+    rows, planted = [], []
+    for pair in range(240):
+        size = (60, 150, 400)[pair % 3]
+        one, other = draw(size), None
+        near = rng.uniform(0.4, 0.6) if pair % 4 == 0 else rng.uniform(0.8, 0.99)
+        other = list(one)
+        changed = list(other)
+        while True:
+            changed[rng.integers(size)] = vocabulary[rng.integers(len(vocabulary))]
+            if jaccard(five_words(" ".join(one)), five_words(" ".join(changed))) < near:
+                break
+            other = list(changed)
+        planted.append((2 * pair, 2 * pair + 1, jaccard(five_words(" ".join(one)), five_words(" ".join(other)))))
+        rows += [(2 * pair, " ".join(one)), (2 * pair + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = {r["doc_id"] for r in widesimhash.keep_one(docs).collect()}
+    assert all(a in kept for a, _, _ in planted)
+    gone = [b not in kept for _, b, j in planted if j >= 0.8]
+    assert len(gone) > 150 and sum(gone) >= 0.95 * len(gone)
+    assert all(b in kept for _, b, j in planted if j < 0.6)
+
+
+def test_wide_simhash_of_one_large_group(spark):
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    rows = []
+    for i in range(1500):
+        changed = list(base)
+        for k in rng.integers(0, 400, 3):
+            changed[k] = f"x{i}"
+        rows.append((i + 100, " ".join(changed)))
+    rows += [(i, " ".join(f"y{k}" for k in rng.integers(0, 5000, 80))) for i in range(50)]
+    kept = sorted(r["doc_id"] for r in widesimhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect())
+    assert kept == [*range(50), 100]
+
+
+def test_wide_simhash_odd(spark, odd, none):
+    kept = widesimhash.keep_one(odd)
+    assert kept.columns == odd.columns and kept.filter("doc_id in (2, 3, 10)").count() == 0 and kept.filter("doc_id = 1").count() == 1
+    assert widesimhash.keep_one(none).count() == 0 and widesimhash.keep_one(none).columns == none.columns
+    a, b, c = ("alpha beta gamma delta one two", "rain falls on quiet hills today", "ships sail west before the storm")
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, b, "x"), (3, a, "x"), (None, c, "x"), (None, c, "x"), (None, a, "x"), (None, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in widesimhash.keep_one(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, a, "x"), (1, b, "x"), (None, c, "x")], key=str)
+    clash = spark.createDataFrame([(1, a, 5, 6), (2, a, 5, 6), (3, c, 5, 6)], "doc_id int, text string, node int, fp int")
+    assert sorted(tuple(r) for r in widesimhash.keep_one(clash).collect()) == [(1, a, 5, 6), (3, c, 5, 6)]
+
+
 # 7: lines
 
 
@@ -568,8 +672,18 @@ def test_pipeline_by_brute_force(spark, table):
     often = Counter(k for t in texts.values() for k in {key(x) for x in t.split("\n")} if k)
     texts = {i: "\n".join(x for x in t.split("\n") if often[key(x)] < 10) for i, t in texts.items()}
     order = sorted(texts)
-    prints = [brute_fingerprint(texts[i]) for i in order]
-    roots = brute_components(prints, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    # near copies: every pair of fingerprints is compared
+    cut = widesimhash.shape(len(order))
+    prints = widesimhash.fingerprint_matrix([texts[i].encode() for i in order], 5, cut.longs)
+    variants = widesimhash.variant_keys(prints, cut)
+    upper = np.arange(variants.shape[1]) < cut.segments // 2 * 5
+
+    def near(i, j):
+        differ = np.bitwise_count(prints[i] ^ prints[j])
+        shared = variants[i] == variants[j]
+        return differ.sum() <= cut.limit and (shared & (np.where(upper, differ[-1], differ[0]) <= 20)).any()
+
+    roots = brute_components(prints, near)
     texts = {i: texts[i] for k, i in enumerate(order) if roots[k] == k}
     import regex
 
