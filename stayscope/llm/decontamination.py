@@ -9,13 +9,19 @@ with the whole window in the document, which decides.
 
 Terms are 64-bit hashes of words; all words of a window have to agree. Index and
 queries meet by an equality join on the bucket of the term, whose sides Spark
-measures before it broadcasts one.
+measures before it broadcasts one; the terms of a bucket come in rows of bounded
+size.
+
+What is searched are distinct windows, whatever the number of items that share one.
+Windows of the same items have one owner, a name for that set of items; documents
+meet owners, and owners their items, only after the search. So one passage in many
+items costs no more than its occurrences and the lists that the result consists of.
 
 Defined cases: null or empty texts have no words; an item of fewer words than
 the window, but not none, is one window; items without words match nothing; rows
 of one document id are each judged, and so are documents without an id; items of
 one id count once, items without an id mark words but are not listed; repeated
-windows count once.
+windows count once. The rarest words of a window are chosen by count, then offset.
 """
 
 from __future__ import annotations
@@ -35,7 +41,8 @@ from stayscope.session import delete_path, written_path, written_table
 _BUCKET_BITS = 6
 _SLICE = 2 << 20
 _SALTS = 8
-_SPAN = StructType([StructField("item_id", StringType()), StructField("low", LongType()), StructField("high", LongType())])
+_TERMS_A_ROW = 16_384
+_SPAN = StructType([StructField("window", LongType()), StructField("owner", LongType()), StructField("low", LongType()), StructField("high", LongType())])
 
 
 def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +78,8 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, str]:
     return written_path(keyed.mapInArrow(blocks, "block long, bucket int, terms binary, counts binary, places binary"), "postings")
 
 
-def query_windows(items: DataFrame, width: int) -> DataFrame:
-    """(window, item_id, size, terms): every distinct run of ``width`` words of each item of (item_id, text)."""
+def query_windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (window, size, terms, owner) of ``width`` words of (item_id, text), and the items (owner, item_id) of each owner."""
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         term, first = _terms(text_bytes(part))
@@ -85,13 +92,24 @@ def query_windows(items: DataFrame, width: int) -> DataFrame:
         return pa.record_batch([pa.array(item, pa.string()), pa.array(size, pa.int32()), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "size", "terms"])
 
     found = map_slices(items.select(F.col("item_id").cast("string").alias("item_id"), "text"), rows, "item_id string, size int, terms array<long>").distinct()
-    return written_table(found.withColumn("window", F.xxhash64("item_id", "terms")), "query-windows")
+    named = written_table(found.withColumn("window", F.xxhash64("terms")), "item-windows")
+    # sums and parities of hashes name a set of items without collecting it
+    item = F.xxhash64("item_id")
+    sets = named.groupBy("window", "size", "terms").agg(F.count("item_id").alias("n"), *[F.bit_xor(F.when(F.col("item_id").isNotNull(), h)).alias(c) for c, h in (("one", item), ("two", F.xxhash64(F.lit(1), "item_id")))])
+    windows = written_table(sets.select("window", "size", "terms", F.when(F.col("n") > 0, F.xxhash64("n", "one", "two")).alias("owner")), "query-windows")
+    # any one window of an owner has its items
+    first = windows.filter("owner IS NOT NULL").groupBy("owner").agg(F.min(F.struct("window", "terms")).alias("of")).select("owner", "of.window", "of.terms")
+    owned = named.filter("item_id IS NOT NULL").join(first, ["window", "terms"]).select("owner", "item_id")
+    return windows, written_table(owned, "owned-items")
 
 
 def _by_bucket(terms: DataFrame) -> DataFrame:
-    """Distinct terms of the queries per bucket; written, so that Spark knows its size."""
+    """Distinct terms of the queries per bucket, in rows of about ``_TERMS_A_ROW``; written, so that Spark knows its size."""
+    distinct = written_table(terms.select("term").distinct(), "distinct-terms")
+    pieces = 1 + distinct.count() // (_TERMS_A_ROW << _BUCKET_BITS)
     bucket = F.shiftrightunsigned("term", 64 - _BUCKET_BITS).cast("int")
-    return written_table(terms.select("term").distinct().groupBy(bucket.alias("bucket")).agg(F.collect_list("term").alias("wanted")), "query-terms")
+    rows = distinct.groupBy(bucket.alias("bucket"), F.pmod(F.xxhash64("term"), F.lit(pieces)).alias("piece")).agg(F.collect_list("term").alias("wanted"))
+    return written_table(rows.select("bucket", "wanted"), "query-terms")
 
 
 def _found(part: pa.RecordBatch):
@@ -139,12 +157,15 @@ def candidates(index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame
     counts = term_counts(index, windows.select(F.explode("terms").alias("term")))
     spread = windows.select("window", "size", F.posexplode("terms").alias("offset", "term"))
     # a window with a word that no document has cannot occur
-    seen = spread.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # a word of many windows is counted once and joined by as many tasks as there are salts
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    dealt = spread.withColumn("salt", F.pmod(F.xxhash64("window", "offset"), F.lit(_SALTS)).cast("int"))
+    seen = dealt.join(counts.withColumn("salt", salts), ["term", "salt"], "left").drop("salt").withColumn("n", F.coalesce("n", F.lit(0)))
     each = Window.partitionBy("window").orderBy("n", "offset")
     rare = seen.withColumn("rank", F.row_number().over(each)).withColumn("least", F.min("n").over(Window.partitionBy("window")))
     rare = written_table(rare.filter(f"least > 0 AND rank <= {1 if slop else 2}").select("window", "size", "offset", "term", "rank"), "rare-terms")
     # a frequent term's places go to as many tasks as there are salts
-    salted = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = rare.withColumn("salt", salts)
     dealt = postings(index, rare).withColumn("salt", F.pmod(F.xxhash64("block", "place"), F.lit(_SALTS)).cast("int"))
     placed = dealt.join(salted, ["term", "salt"]).select("block", "window", "size", "rank", (F.col("place") - (0 if slop else F.col("offset"))).alias("start"))
     if not slop:
@@ -183,17 +204,16 @@ def _nearest(term: np.ndarray, at: int, want: Counter, reach: int) -> tuple[int,
     return None
 
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int = 0, rest: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, *rest, n_words, n_hit, items, spans) of every row of ``docs``.
+def matches(docs: DataFrame, windows: DataFrame, slop: int = 0, rest: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *rest, n_words, n_hit, spans) of every row of ``docs``.
 
     ``slop`` 0: words inside exact occurrences of a window are hit. Otherwise a
     window is met where all its words lie within ``slop`` words more than it has,
-    in any order. ``spans`` are (item_id, first word, past last word).
+    in any order. ``spans`` are (window, owner, first word, past last word).
     """
     # the text's hash tells documents without an id apart
     index, path = build_index(docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text"))
-    windows = query_windows(items, width)
-    found = candidates(index, windows, slop).join(windows, "window").select("doc_id", "text_key", F.struct("item_id", "start", "terms").alias("match"))
+    found = candidates(index, windows.select("window", "size", "terms"), slop).join(windows, "window").select("doc_id", "text_key", F.struct("window", "owner", "start", "terms").alias("match"))
     per_doc = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("match").alias("matches"))
     # the candidates are all that is needed further on
     per_doc = written_table(per_doc, "window-candidates")
@@ -201,33 +221,47 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int
     inner = docs.select("doc_id", "text", *rest)
     both = inner.join(per_doc, (F.coalesce(inner["doc_id"], F.lit(0)) == per_doc["_id"]) & (F.xxhash64(inner["text"]) == per_doc["_key"]), "left").drop("_id", "_key")
     kept = inner.columns
-    schema = with_fields(inner.schema, n_words=LongType(), n_hit=LongType(), items=ArrayType(StringType()), spans=ArrayType(_SPAN))
+    schema = with_fields(inner.schema, n_words=LongType(), n_hit=LongType(), spans=ArrayType(_SPAN))
 
     def rows(part: pa.RecordBatch) -> pa.RecordBatch:
         term, first = _terms(text_bytes(part))
-        n_words, n_hit, names, spans = np.diff(first), [], [], []
+        n_words, n_hit, spans = np.diff(first), [], []
         for i, matches in enumerate(part.column("matches")):
             own, true = term[first[i] : first[i + 1]], set()
             for m in matches.as_py() or ():
                 want = np.array(m["terms"], np.int64).view(np.uint64)
                 if slop:
                     near = _nearest(own, m["start"], Counter(want.tolist()), len(want) + slop)
-                    true |= {(m["item_id"], *near)} if near else set()
+                    true |= {(m["window"], m["owner"], *near)} if near else set()
                 elif np.array_equal(own[m["start"] : m["start"] + len(want)], want):
-                    true.add((m["item_id"], m["start"], m["start"] + len(want)))
+                    true.add((m["window"], m["owner"], m["start"], m["start"] + len(want)))
             edge = np.zeros(len(own) + 1, np.int64)
-            for _, low, high in true:
+            for *_, low, high in true:
                 edge[low] += 1
                 edge[high] -= 1
             n_hit.append(int((np.cumsum(edge) > 0).sum()))
-            names.append(sorted({x for x, *_ in true if x is not None}))
-            spans.append([dict(zip(("item_id", "low", "high"), t)) for t in sorted(true, key=str)])
-        columns = [*(part.column(c) for c in kept), pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("item_id", pa.string()), ("low", pa.int64()), ("high", pa.int64())])))]
-        return pa.record_batch(columns, [*kept, "n_words", "n_hit", "items", "spans"])
+            spans.append([dict(zip(_SPAN.names, t)) for t in sorted(true, key=lambda t: (t[2], t[3], t[0]))])
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in _SPAN.names]))
+        return pa.record_batch([*(part.column(c) for c in kept), pa.array(n_words.astype(np.int64)), pa.array(n_hit, pa.int64()), pa.array(spans, kind)], [*kept, "n_words", "n_hit", "spans"])
 
     return map_slices(both, rows, schema, limit=_SLICE)
 
 
+def _with_items(found: DataFrame, owned: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of a written frame with spans, and the sorted items of each row's spans."""
+    keyed = written_table(found.withColumn("_row", F.monotonically_increasing_id()), "matched")
+    owners = keyed.select("_row", F.explode("spans.owner").alias("owner")).filter("owner IS NOT NULL").distinct()
+    listed = owners.join(owned, "owner").groupBy("_row").agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
+    none = F.array().cast(ArrayType(StringType()))
+    return keyed.join(listed, "_row", "left").select(*kept, F.coalesce("_items", none).alias("items"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = 13, slop: int = 0) -> DataFrame:
+    """(doc_id, text, n_words, n_hit, spans, items) of every row of ``docs``; see ``matches``."""
+    windows, owned = query_windows(items, width)
+    return _with_items(matches(docs, windows, slop), owned, ["doc_id", "text", "n_words", "n_hit", "spans"])
+
+
 def is_contaminated():
     """A document is contaminated if at least one word in twenty is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
@@ -235,10 +269,13 @@ def is_contaminated():
 
 def contamination_report(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of (doc_id, text)."""
-    found = contamination(docs.select("doc_id", "text"), items, width)
+    windows, owned = query_windows(items, width)
+    narrow = matches(docs.select("doc_id", "text"), windows).select("doc_id", "n_words", "n_hit", "spans")
+    found = _with_items(narrow, owned, ["doc_id", "n_words", "n_hit"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array("items")).cast("binary"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 13) -> DataFrame:
     """``docs`` without the contaminated rows."""
-    return unpacked(contamination(packed(docs), items, width, rest=("_rest",)).filter(~is_contaminated()), docs.columns)
+    windows = query_windows(items, width)[0]
+    return unpacked(matches(packed(docs), windows, rest=("_rest",)).filter(~is_contaminated()), docs.columns)

@@ -213,6 +213,35 @@ def test_op3_proximity(spark):
     assert near == {1: 5, 2: 3, 3: 0}
 
 
+def test_op3_one_passage_in_many_items(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    items = spark.createDataFrame([(f"i{k:03d}", f"{passage} own{k}") for k in range(300)] + [("i000", passage), (None, passage), ("z", "p1 p2 p3 p4")], "item_id string, text string")
+    docs = spark.createDataFrame([(d, f"head{d} {passage} own{d} tail") for d in range(200)], "doc_id long, text string")
+    windows, owned = decontamination.query_windows(items, 13)
+    # 18 shared windows, one of each item, one of four words
+    assert windows.count() == 18 + 300 + 1 and owned.count() == 300 + 300 + 1
+    index, _ = decontamination.build_index(docs)
+    assert decontamination.candidates(index, windows).count() == 200 * 18 + 200 + 200
+    got = decontamination.contamination(docs, items).collect()
+    everyone = [f"i{k:03d}" for k in range(300)] + ["z"]
+    assert len(got) == 200 and all(r["items"] == everyone and r["n_hit"] == 31 and len(r["spans"]) == 20 for r in got)
+    digest = hashlib.sha256(",".join(everyone).encode()).hexdigest()
+    assert {tuple(r)[2:] for r in decontamination.contamination_report(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()} == {(31, 301, digest, True)}
+
+
+def test_op3_terms_come_in_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "_TERMS_A_ROW", 2)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(40)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(str(i), " ".join(texts[i].split()[3:6]) if i % 2 else f"x{i} y{i} z{i}") for i in range(400)], "item_id string, text string")
+    terms = items.selectExpr("explode(split(text, ' ')) AS w").selectExpr("xxhash64(w) AS term")
+    sizes = [len(r["wanted"]) for r in decontamination._by_bucket(terms).collect()]
+    assert max(sizes) <= 16 and sum(sizes) == terms.distinct().count()
+    want = {i: sorted(r["item_id"] for r in items.collect() if f" {r['text']} " in f" {t} ") for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["items"] for r in decontamination.contamination(docs, items, 3).collect()} == want
+
+
 # 4: token counts
 
 
