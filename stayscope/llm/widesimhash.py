@@ -17,9 +17,11 @@ fingerprints share a variant at most, whatever the size.
 Equal sets of shingles collapse first. Fingerprints of one Arrow batch that share
 a variant in large numbers are linked before the shuffle and one of each linked
 set goes on for that variant, so that a large group of near copies meets as a few
-rows a batch; which one goes on differs by variant, so a link that only another of
-the set has to a row of another batch is found by another variant, if it is. Edges
-are spanning forests, never all pairs. No row is dropped or capped.
+rows a batch; which one goes on differs by variant. The others are held back, not
+dropped: once components are known, those whose variant has rows of more than one
+component meet all its rows of other components, in pairs of blocks of bounded size,
+so every link of the held rows counts, too. Rows of one component need no more links
+among themselves. Edges are spanning forests, never all pairs. No row is dropped or capped.
 
 Defined cases: a text of fewer words than the shingle is one shingle of them all;
 without words, or for null, the fingerprint is zero and is linked like any other.
@@ -44,6 +46,10 @@ _GROUPS = 5  # of a segment, one of them the wildcard
 _CROWD = 16  # rows of one batch under one variant from which they are linked before the shuffle
 _SPAN = 64  # rows under one variant that are compared by their 64 bits; more all go on
 _SKETCH_LIMIT = 20  # of 64 bits: 3.5 standard deviations above the mean at 0.8
+_BLOCK = 2000  # rows of a block when held rows meet other components
+# kinds of rows under a variant: it goes on; it goes on for others of its batch, too; it is held back; an edge; it matters to held rows alone
+_SENT, _LEADS, _HELD, _EDGE, _MET = range(5)
+_ROWS = "key long, node long, other long, kind byte"
 
 
 @dataclass(frozen=True)
@@ -133,13 +139,8 @@ def _forest(fps: np.ndarray, limit: int) -> tuple[list[tuple[int, int]], list[in
     return edges, roots
 
 
-def _edge_key(a: np.ndarray) -> np.ndarray:
-    """Negative keys that spread edges over the tasks of the shuffle."""
-    return -1 - (a & 0xFFFFF)
-
-
 def _variants(nodes: DataFrame, cut: Shape) -> DataFrame:
-    """(key, node, other): variants with 64 bits from outside their segment; with negative keys, edges found in one batch."""
+    """(key, node, other, kind): variants with 64 bits from outside their segment; and edges found in one batch."""
     half = cut.segments // 2
 
     def run(batches):
@@ -154,31 +155,34 @@ def _variants(nodes: DataFrame, cut: Shape) -> DataFrame:
             order = np.argsort(keys, kind="stable")
             first = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
             size = np.diff(np.r_[first, len(keys)])
-            goes, pairs = np.ones(len(keys), bool), set()
+            kind, pairs = np.full(len(keys), _SENT, np.int8), set()
             for at, n in zip(first[size >= _CROWD], size[size >= _CROWD]):
                 # another order for each variant, so another root goes on
                 own = order[at : at + n]
                 own = own[np.argsort(mix(place[own].astype(np.uint64) ^ np.uint64(keys[own[0]])))]
                 edges, roots = _forest(fps[place[own]], cut.limit)
                 pairs.update((int(place[own[a]]), int(place[own[b]])) for a, b in edges)
-                goes[own] = False
-                goes[own[roots]] = True
-            sent = order[goes[order]]
-            other = np.where(upper[sent], fps[place[sent], -1], fps[place[sent], 0]).view(np.int64)
+                if edges:
+                    kind[own] = _HELD
+                    kind[own[roots]] = _LEADS
+            other = np.where(upper[order], fps[place[order], -1], fps[place[order], 0]).view(np.int64)
             a, b = (node[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
-            yield pa.record_batch([pa.array(np.r_[keys[sent], _edge_key(a)]), pa.array(np.r_[node[place[sent]], a]), pa.array(np.r_[other, b])], ["key", "node", "other"])
+            ends = np.full(len(a), -1), np.full(len(a), _EDGE, np.int8)
+            yield pa.record_batch([pa.array(np.r_[keys[order], ends[0]]), pa.array(np.r_[node[place[order]], a]), pa.array(np.r_[other, b]), pa.array(np.r_[kind[order], ends[1]])], ["key", "node", "other", "kind"])
 
-    return nodes.mapInArrow(run, "key long, node long, other long")
+    return nodes.mapInArrow(run, _ROWS)
 
 
 def _candidates(variants: DataFrame) -> DataFrame:
-    """The rows of ``variants`` with another row of their key near by 64 bits, and the edges."""
+    """The rows of ``variants`` with another row of their key near by 64 bits, the held rows with all others of their key, and the edges."""
 
     def run(batches):
         for table in whole_groups(batches, ["key"]):
-            key, other = table.column("key").to_numpy(), table.column("other").to_numpy().view(np.uint64)
-            near = key < 0
-            at = np.flatnonzero(~near)
+            kind = table.column("kind").to_numpy()
+            yield from table.filter(pa.array((kind == _HELD) | (kind == _EDGE))).to_batches()
+            table = table.filter(pa.array(kind <= _LEADS))
+            key, other, kind = table.column("key").to_numpy(), table.column("other").to_numpy().view(np.uint64), table.column("kind").to_numpy()
+            near, at = np.zeros(len(key), bool), np.arange(len(key))
             for step in range(1, _SPAN + 1):
                 at = at[at + step < len(key)]
                 at = at[key[at] == key[at + step]]
@@ -189,10 +193,14 @@ def _candidates(variants: DataFrame) -> DataFrame:
             else:
                 # keys of more rows go on whole
                 near |= np.isin(key, key[at])
-            yield from table.filter(pa.array(near)).to_batches()
+            crowded = np.isin(key, np.unique(key[kind == _LEADS]))
+            table = table.set_column(table.schema.get_field_index("kind"), "kind", pa.array(np.where(near, kind, _MET).astype(np.int8)))
+            yield from table.filter(pa.array(near | crowded)).to_batches()
 
     parts = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return variants.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, node long, other long")
+    # held rows and edges only pass through, spread by their nodes
+    spread = F.when(F.col("kind").isin(_HELD, _EDGE), F.col("node"))
+    return variants.repartition(parts, "key", spread).sortWithinPartitions("key").mapInArrow(run, _ROWS)
 
 
 def _verified(rows: DataFrame, cut: Shape) -> DataFrame:
@@ -217,12 +225,68 @@ def _verified(rows: DataFrame, cut: Shape) -> DataFrame:
     return rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(key, low, high, node, other, root, upper): for rows (key, node, other, root) of keys with several roots, the pairs of blocks they meet in.
+
+    Rows of a key's most frequent root have blocks of their own, which meet all blocks of the
+    other rows; these meet each other, too. ``upper`` rows are those of the block ``high``.
+    """
+    each = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("key").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).filter("all > most.n")
+    blocks = sizes.select("key", F.col("most.root").alias("most"), F.ceil(F.col("most.n") / _BLOCK).alias("a"), F.ceil((F.col("all") - F.col("most.n")) / _BLOCK).alias("b"))
+    # a written table, whose size Spark knows
+    rows = rows.join(written_table(blocks, "crowd-blocks"), "key")
+    large, drawn = F.col("root") == F.col("most"), F.xxhash64("node")
+    own = rows.withColumn("block", F.when(large, F.pmod(drawn, "a")).otherwise(F.col("a") + F.pmod(drawn, "b")))
+    met = own.withColumn("with", F.explode(F.sequence(F.when(large, F.col("a")).otherwise(F.lit(0)), F.col("a") + F.col("b") - 1)))
+    pair = F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")
+    return met.select("key", *pair, "node", "other", "root", (F.col("block") >= F.col("with")).alias("upper"))
+
+
+def _across(dealt: DataFrame) -> DataFrame:
+    """(key, node) of the rows of ``_dealt`` that are near by 64 bits to a row of another root in their pair of blocks; a new key for each pair."""
+    names = ["key", "low", "high"]
+
+    def run(batches):
+        for table in whole_groups(batches, names, rows=10_000):
+            of = [table.column(c).to_numpy() for c in names]
+            root, other = table.column("root").to_numpy(), table.column("other").to_numpy().view(np.uint64)
+            upper, near = table.column("upper").to_numpy(), np.zeros(table.num_rows, bool)
+            first = np.flatnonzero(np.r_[True, np.any([v[1:] != v[:-1] for v in of], axis=0)])
+            for a, b in zip(first, np.r_[first[1:], table.num_rows]):
+                high = a + np.flatnonzero(upper[a:b])
+                low = high if of[1][a] == of[2][a] else a + np.flatnonzero(~upper[a:b])
+                for at in range(0, len(high), 200):
+                    some = high[at : at + 200, None]
+                    hit = (np.bitwise_count(other[some] ^ other[low]) <= _SKETCH_LIMIT) & (root[some] != root[low])
+                    near[low[hit.any(axis=0)]] = near[some[hit.any(axis=1), 0]] = True
+            yield from table.filter(pa.array(near)).select([*names, "node"]).to_batches()
+
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(parts, *names).sortWithinPartitions(*names).mapInArrow(run, "key long, low long, high long, node long")
+    return found.select(F.xxhash64(*names).alias("key"), "node")
+
+
+def _held_links(found: DataFrame, edges: DataFrame, nodes: DataFrame, cut: Shape) -> DataFrame | None:
+    """(a, b): what links the held rows of ``found`` to rows of their key in other components of ``edges``; none if no row is held."""
+    crowds = written_table(found.filter(F.col("kind") == _HELD).select("key").distinct(), "crowds")
+    if crowds.isEmpty():
+        return None
+    rows = found.filter(F.col("kind") != _EDGE).join(crowds, "key", "left_semi").join(components(edges), "node", "left")
+    rows = written_table(rows.select("key", "node", "other", F.coalesce("root", "node").alias("root")), "crowd-rows")
+    across = written_table(_across(_dealt(rows)), "crowd-candidates")
+    return _verified(across.join(nodes, "node").select("key", "node", "fp"), cut)
+
+
 def links(nodes: DataFrame, cut: Shape) -> DataFrame:
-    """(a, b): edges that connect the linked fingerprints of (node, fp), directly or by steps; ``nodes`` is read twice."""
+    """(a, b): edges that connect the linked fingerprints of (node, fp), directly or by steps; ``nodes`` is read two or three times."""
     found, path = written_path(_candidates(_variants(nodes, cut)), "wide-candidates")
-    rows = found.filter("key >= 0").select("key", "node").join(nodes, "node").select("key", "node", "fp")
-    edges = _verified(rows, cut).unionByName(found.filter("key < 0").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
+    rows = found.filter(F.col("kind") <= _LEADS).select("key", "node").join(nodes, "node").select("key", "node", "fp")
+    edges = _verified(rows, cut).unionByName(found.filter(F.col("kind") == _EDGE).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")))
     edges = written_table(edges.distinct(), "wide-links")
+    more = _held_links(found, edges, nodes, cut)
+    if more is not None:
+        edges = written_table(edges.unionByName(more).distinct(), "wide-links")
     delete_path(nodes.sparkSession, path)
     return edges
 

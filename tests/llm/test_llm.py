@@ -474,6 +474,48 @@ def test_wide_simhash_of_one_large_group(spark):
     assert kept == [*range(50), 100]
 
 
+def test_wide_simhash_links_of_rows_held_in_their_batch(spark, monkeypatch):
+    """Only one row of a large group goes on from its batch; another of the group alone has the link to the next batch."""
+    rng = np.random.default_rng(17)
+    cut = widesimhash.shape(1000)
+    width = 64 * cut.longs
+    segment = lambda s, n, low, high: 25 * s + 5 * rng.permutation(5)[:n] + rng.integers(low, high, n)
+
+    def flipped(bits, places):
+        out = bits.copy()
+        out[places] ^= 1
+        return out
+
+    assert cut.group_bits == 5 and cut.limit < 120
+    batches = [[], []]
+    for group in range(3):
+        base = rng.integers(0, 2, width).astype(np.uint8)
+        # all of a group share the variants of segment 0; ``far`` shares no other with ``bridge``, and is beyond the limit for the rest
+        bridge = flipped(base, np.concatenate([segment(s, 4, 0, 2) for s in range(1, 23)]))
+        far = flipped(bridge, np.concatenate([segment(s, 4, 2, 5) for s in range(1, 23)]))
+        batches[0] += [*(flipped(base, segment(1 + k % 22, 2, 0, 5)) for k in range(40)), bridge]
+        # a second crowd holds the partner back, too
+        batches[1] += [far, *(flipped(far, segment(1 + k % 22, 2, 0, 5)) for k in range(40 if group else 0))]
+    rows = [(1000 * b + i, np.packbits(x, bitorder="little").tobytes()) for b, batch in enumerate(batches) for i, x in enumerate(batch)]
+    parts = [[r for r in rows if r[0] // 1000 == b] for b in (0, 1)]
+    nodes = spark.createDataFrame(spark.sparkContext.parallelize(parts, 2).flatMap(list), "node long, fp binary")
+    prints = np.array([np.frombuffer(x, "<u8") for _, x in rows])
+    keys, ids = widesimhash.variant_keys(prints, cut), np.array([i for i, _ in rows])
+    differ = np.bitwise_count(prints[:, None] ^ prints[None])
+    sketch = np.where(np.arange(keys.shape[1]) < cut.segments // 2 * 5, differ[:, :, -1:], differ[:, :, :1])
+    near = (differ.sum(axis=2) <= cut.limit) & ((keys[:, None] == keys[None]) & (sketch <= 20)).any(axis=2)
+    across = [(a, b) for a, b in zip(*np.nonzero(near)) if ids[a] < 1000 <= ids[b]]
+    assert across and all(ids[a] % 41 == 40 for a, _ in across)
+    want = brute_components(prints, lambda i, j: near[i, j])
+    for block in (2000, 7):
+        monkeypatch.setattr(widesimhash, "_BLOCK", block)
+        edges = [(r["a"], r["b"]) for r in widesimhash.links(nodes, cut).collect()]
+        at = {i: k for k, i in enumerate(ids.tolist())}
+        assert all(differ[at[a], at[b]].sum() <= cut.limit for a, b in edges)
+        joined = {frozenset((at[a], at[b])) for a, b in edges}
+        assert brute_components(prints, lambda i, j: frozenset((i, j)) in joined) == want and len(set(want)) == 3
+
+
 def test_wide_simhash_odd(spark, odd, none):
     kept = widesimhash.keep_one(odd)
     assert kept.columns == odd.columns and kept.filter("doc_id in (2, 3, 10)").count() == 0 and kept.filter("doc_id = 1").count() == 1
