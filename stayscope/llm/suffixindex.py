@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,9 @@ from stayscope.session import delete_path, written_path, written_table
 
 _BASE = 0x27BB2EE687B0B0FD
 _LAST = 2**63 - 1
-#: Positions that are hashed at once; longer texts are cut with an overlap of a window
-_BLOCK = 4 << 20
+#: Positions that are hashed at once, few enough for a core's cache; longer texts are cut with an overlap of a window
+_BLOCK = 1 << 16
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _SALTS = 64
 _GONE = "doc_key long, id long, low long, high long"
 
@@ -58,31 +60,36 @@ class Repeats:
     rows: int = 3000
 
 
+@lru_cache(maxsize=8)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    return powers(_BASE, n), powers(pow(_BASE, -1, 2**64), n)
+
+
 def _prefix_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    up, down = powers(_BASE, len(data) + 1), powers(pow(_BASE, -1, 2**64), len(data) + 1)
-    byte = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
-    total = np.r_[np.uint64(0), np.cumsum(byte[data] * up[:-1])]
+    up, down = _powers(1 << len(data).bit_length())
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     return mix((total[size:] - total[:-size]) * down[: len(data) - size + 1])
 
 
 def stretches(texts: list[bytes], size: Repeats):
     """All texts as one array, and of each stretch: its text, first byte there, number of suffixes and prefix."""
     data, begin = joined(texts)
+    # the byte after a text is not its own, so the last windows begin before these
+    last = np.maximum(begin[1:] - size.length, begin[:-1])
+    edges = np.unique(np.r_[begin[:-1], last])
     found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
     for a in range(0, max(len(data) - size.length + 1, 0), _BLOCK):
-        block = data[a : a + _BLOCK + size.length - 1]
-        if len(block) < size.length:
-            break
-        key = _prefix_hashes(block, size.prefix)
+        key = _prefix_hashes(data[a : a + _BLOCK + size.length - 1], size.prefix)
         at = least_run(key, size.length - size.prefix + 1)
-        place = np.arange(a, a + len(at))
-        of = np.searchsorted(begin, place, "right") - 1
-        whole = place + size.length < begin[of + 1]  # the byte after a text is not its own
-        change = np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1]) | (whole[1:] != whole[:-1])]
+        change = np.r_[True, at[1:] != at[:-1]]
+        change[edges[slice(*np.searchsorted(edges, (a, a + len(at))))] - a] = True
         first = np.flatnonzero(change)
         n = np.diff(np.r_[first, len(at)])
-        real = whole[first]
-        found.append((of[first][real], place[first][real], n[real], key[at[first]][real]))
+        of = np.searchsorted(begin, a + first, "right") - 1
+        real = a + first < last[of]
+        found.append((of[real], a + first[real], n[real], key[at[first[real]]]))
     return data, begin, *(np.concatenate(x) for x in zip(*found))
 
 
@@ -110,8 +117,10 @@ def _wanted(keyed: DataFrame, size: Repeats) -> DataFrame:
 
     def own(part: pa.RecordBatch) -> pa.RecordBatch:
         *_, of, _, _, key = stretches(text_bytes(part), size)
-        row = np.unique(np.rec.fromarrays([of, key], names="of,key"))
-        return pa.record_batch([pa.array(row.key.copy().view(np.int64)), part.column("doc_key").take(pa.array(row.of))], ["prefix", "doc_key"])
+        order = np.lexsort((key, of))
+        of, key = of[order], key[order]
+        new = np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])][: len(of)]
+        return pa.record_batch([pa.array(key[new].view(np.int64)), part.column("doc_key").take(pa.array(of[new]))], ["prefix", "doc_key"])
 
     shared = map_slices(keyed.select("text"), counts, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1")
     met = map_slices(keyed.select("doc_key", "text"), own, "prefix long, doc_key long").join(shared, "prefix")

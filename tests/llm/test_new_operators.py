@@ -294,6 +294,21 @@ def test_op13_long_texts_are_cut_with_overlap(spark, monkeypatch):
     assert suffix_rows(suffixindex.repeat_report(df, size)) == sorted(brute_suffix_report(docs, 40), key=str)
 
 
+def test_op13_hashes_in_blocks_of_a_core_s_cache(monkeypatch):
+    rng, seen, plain = random.Random(3), [], suffixindex._prefix_hashes
+    text = "".join(rng.choice("abcdefgh \n") for _ in range(150_000)).encode()
+    texts = [b"", text, b"x" * 99, b"y" * 100, text[70_001:90_000] + text, b"", b"z" * 101]
+    monkeypatch.setattr(suffixindex, "_prefix_hashes", lambda data, size: seen.append(len(data)) or plain(data, size))
+    data, begin, of, place, n, key = suffixindex.stretches(texts, suffixindex.Repeats())
+    assert max(seen) <= 1 << 17 and sum(seen) >= len(data)
+    starts = np.concatenate([np.arange(a, a + k) for a, k in zip(place, n)])
+    assert starts.tolist() == [begin[i] + k for i, t in enumerate(texts) for k in range(len(t) - 99)]
+    assert (np.repeat(of, n) == np.searchsorted(begin, starts, "right") - 1).all()
+    # equal windows have equal prefixes, wherever a block ends
+    prefixes, each = {}, np.repeat(key, n).tolist()
+    assert all(prefixes.setdefault(data[a : a + 100].tobytes(), k) == k for a, k in zip(starts.tolist(), each))
+
+
 def test_op13_odd(spark):
     schema = "doc_id long, text string, id string, doc_key int, gone string, n_chars long, low long"
     long = "".join(random.Random(4).choice("abcdef ") for _ in range(300))
