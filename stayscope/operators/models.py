@@ -8,12 +8,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayscope.operators import forest
 from stayscope.operators.neighbours import nearest
 from stayscope.operators.ordered import exact_quantiles, global_positions, running_totals
 from stayscope.session import written_table
@@ -104,12 +105,8 @@ def fit_lr(train: DataFrame, cols: Sequence[str], label: str, c: float = 1.0, ma
 
 
 def fit_rf(train: DataFrame, cols: Sequence[str], label: str, trees: int = 100, depth: int = 30, seed: int = 42) -> PipelineModel:
-    """Random forest; 30 is the deepest that Spark grows, a leaf may end earlier."""
-    stages = [
-        VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"),
-        RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", impurity="gini", seed=seed),
-    ]
-    return Pipeline(stages=stages).fit(train)
+    """Random forest; 30 is the deepest that Spark grows, a leaf may end earlier. See ``forest``; runs at once."""
+    return PipelineModel([VectorAssembler(inputCols=list(cols), outputCol="features", handleInvalid="keep"), forest.fit(train, cols, label, trees, depth, seed)])
 
 
 @dataclass(frozen=True)
